@@ -1,0 +1 @@
+"""Alignment is a batch job: there is no streaming operator in scope, so none is defined."""

@@ -1,25 +1,35 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Storing intermediate tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Stores ``df`` in the checkpoint folder of the session and reads on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    folder of its own; elsewhere a missing setting is an error, since a machine-local folder is lost with
-    its executor.
+    Only a local session without that setting gets a folder of its own; elsewhere a missing setting is
+    an error, since a machine-local folder is lost with its executor.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tripleweave-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tripleweave-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the checkpoint folder and reads on from there.
+
+    For tables that feed several later steps: they are computed once, a lost executor costs only what
+    came after, and the planner knows their true size, so joins with small ones broadcast and others do not.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/tripleweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.config import MAX_HSO, MAX_JCN, MAX_LCH, MAX_LESK, MAX_RES
 from tripleweave.functions.stem import stem
-from tripleweave.operators.checkpoints import cut_lineage
+from tripleweave.operators.checkpoints import stored
 
 # Pointer names, parts of speech in lookup order, endings of inflected forms.
 HYPERNYM, HYPONYM, ANTONYM = "hypernym", "hyponym", "antonym"
@@ -157,7 +157,7 @@ def hypernym_paths(chosen: DataFrame, pointers: DataFrame) -> DataFrame:
     finished = []
     while True:
         step = open_paths.join(up, "tip", "left")
-        step = cut_lineage(
+        step = stored(
             step.withColumn("parent", F.when(~F.array_contains("path", F.col("parent")), F.col("parent")))
         )
         finished.append(step.filter("parent is null").select("synset", "path"))

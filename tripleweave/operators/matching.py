@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tripleweave.config import LEVEL_DEFAULT, LEVEL_THRESHOLDS, LITERAL_THRESHOLD, PARENT_THRESHOLD, Thresholds
 from tripleweave.functions import text
 from tripleweave.operators.blocking import blocked_side, common_value_counts
+from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.filters import above, non_reflexive, not_null_values
 from tripleweave.operators.predicates import lexical_pairs
 from tripleweave.operators.value_join import exact_pairs, literal_pairs
@@ -309,7 +310,7 @@ def match_leaves(
 
     The result is that of ``match_leaves_of_blocks`` on the full block table.
     """
-    side1, side2 = blocked_side(t1, pairs, 1), blocked_side(t2, pairs, 2)
+    side1, side2 = stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2))
     return match_sides(side1, side2, mode, skip_lowest, sims)
 
 
@@ -317,14 +318,14 @@ def match_sides(
     side1: DataFrame, side2: DataFrame, mode: str = "string", skip_lowest: bool = True, sims: DataFrame | None = None
 ) -> DataFrame:
     """``match_leaves`` on the two factored block tables."""
-    partners = partner_values(side1, similar_values(side1, side2, mode, sims=sims))
+    partners = stored(partner_values(side1, similar_values(side1, side2, mode, sims=sims)))
     classes1, classes2 = _classes(side1, partners), _classes(side2, None)
-    profiles1, profiles2 = _profiled(classes1), _profiled(classes2)
-    plan = key_plan(profiles1, profiles2, block_density(side1, side2, partners), skip_lowest)
+    profiles1, profiles2 = stored(_profiled(classes1)), stored(_profiled(classes2))
+    plan = stored(key_plan(profiles1, profiles2, block_density(side1, side2, partners), skip_lowest))
 
-    left = classes1.join(profiles1.select("s", F.col("g").alias("g1")), "s").withColumnRenamed("s", "s1")
+    left = profiles1.select(F.col("s").alias("s1"), F.col("g").alias("g1"), F.inline("profile").alias("b", "kind"))
     rows1 = partners.join(left, ["s1", "b"])
-    right = classes2.join(profiles2.select("s", F.col("g").alias("g2")), "s")
+    right = profiles2.select("s", F.col("g").alias("g2"), F.inline("profile").alias("b", "kind"))
     rows2 = side2.join(right, ["s", "b"]).withColumnRenamed("s", "s2")
 
     found = non_reflexive(candidate_pairs(rows1, rows2, plan))

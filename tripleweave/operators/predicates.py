@@ -21,6 +21,7 @@ from tripleweave.config import (
 )
 from tripleweave.functions import text
 from tripleweave.functions.terms import lower_ending, uri_ending
+from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.value_join import equal_pairs, token_pairs, with_tokens
 
 
@@ -43,7 +44,7 @@ def _scored_by_words(
     left: DataFrame, right: DataFrame, sims: DataFrame | None, word_threshold: float, cut: float, keys: list[str]
 ) -> DataFrame:
     """Word-overlap scores of candidate pairs (both with ``tokens``), counted as joined word rows."""
-    words = similar_words(_words(left), _words(right), sims, word_threshold).select("x", "y").distinct()
+    words = stored(similar_words(_words(left), _words(right), sims, word_threshold).select("x", "y").distinct())
     pairs = token_pairs(left, right, words, cut, keys).select(*keys, "v1", "n1", "v2", "n2").distinct()
     w1 = left.select(*keys, F.col("v").alias("v1"), F.explode("tokens").alias("x"))
     w2 = right.select(*keys, F.col("v").alias("v2"), F.explode("tokens").alias("y"))
@@ -75,7 +76,7 @@ def lexical_pairs(
     """
     keys = keys or []
     tokens: Callable[[str], Column] = text.name_tokens if names else text.value_tokens
-    left, right = with_tokens(values1, tokens), with_tokens(values2, tokens)
+    left, right = stored(with_tokens(values1, tokens)), stored(with_tokens(values2, tokens))
     equal = equal_pairs(left, right, keys).withColumn("score", F.lit(1.0))
     if not names:
         left, right = left.filter("not blank"), right.filter("not blank")
@@ -108,7 +109,8 @@ def lexical_pairs(
 
 
 def _distinct_predicates(triples: DataFrame) -> DataFrame:
-    return triples.select("p").distinct().select("p", uri_ending("p").alias("v")).filter(F.col("v").isNotNull())
+    names = triples.select("p").distinct().select("p", uri_ending("p").alias("v"))
+    return stored(names.filter(F.col("v").isNotNull()))
 
 
 def _back_to_predicates(pairs: DataFrame, names1: DataFrame, names2: DataFrame) -> DataFrame:
@@ -161,7 +163,9 @@ def match_terms(
     its partner, which the counts ``copies1 * copies2`` carry instead of repeated rows.
     """
     word = Thresholds.from_string(threshold).lexical
-    lists = [t.groupBy(F.col("term").alias("v")).agg(F.count(F.lit(1)).alias("copies")) for t in (terms1, terms2)]
+    lists = [
+        stored(t.groupBy(F.col("term").alias("v")).agg(F.count(F.lit(1)).alias("copies"))) for t in (terms1, terms2)
+    ]
     pairs = lexical_pairs(lists[0].select("v"), lists[1].select("v"), word, threshold, sims, names, None, True)
     return (
         pairs.join(lists[0].toDF("v1", "copies1"), "v1")
@@ -188,7 +192,7 @@ def similar_relations(
     relations: DataFrame, sims: DataFrame | None = None, threshold: float = RELATION_THRESHOLD
 ) -> DataFrame:
     """Pairs ``(term1, id1, term2, id2, score)`` of a relation dictionary with similar lower-case endings."""
-    names = relations.select("term", "id", lower_ending("term").alias("v"))
+    names = stored(relations.select("term", "id", lower_ending("term").alias("v")))
     distinct = names.select("v").distinct()
     pairs = lexical_pairs(distinct, distinct, threshold, threshold, sims, names=True)
     left = names.select(F.col("term").alias("term1"), F.col("id").alias("id1"), F.col("v").alias("v1"))

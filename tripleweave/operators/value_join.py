@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.config import MAX_TOKENS
 from tripleweave.functions import text
+from tripleweave.operators.checkpoints import stored
 
 _EPS = 1e-9
 
@@ -195,12 +196,13 @@ def _differ() -> Column:
 
 def literal_pairs(values1: DataFrame, values2: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """``(keys, v1, v2, score)`` of all value pairs with ``literal_sim`` strictly above the threshold."""
-    left, right = with_tokens(values1), with_tokens(values2)
+    left, right = stored(with_tokens(values1)), stored(with_tokens(values2))
     equal = equal_pairs(left, right, keys).withColumn("score", F.lit(1.0))
 
     left, right = left.filter("not blank"), right.filter("not blank")
     many1, many2 = left.filter("n > 1"), right.filter("n > 1")
-    sims = edit_pairs(_vocabulary(many1), _vocabulary(many2), threshold, [], strict=False).toDF("x", "y")
+    words = [stored(_vocabulary(d)) for d in (many1, many2)]
+    sims = stored(edit_pairs(*words, threshold, [], strict=False).toDF("x", "y"))
     score = text.jaccard_ratio(
         text.token_hits(F.col("tokens1"), F.col("tokens2"), threshold), F.col("n1"), F.col("n2")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripleweave.config import PREDICATE_THRESHOLD
 from tripleweave.functions.terms import is_uri, lexical_form, local_name
 from tripleweave.operators.blocking import blocked_side, common_predicate_clusters
-from tripleweave.operators.checkpoints import cut_lineage
+from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.evaluate import compression
 from tripleweave.operators.filters import drop_meta_predicates, dedupe_triples, entity_names, literal_triples, non_reflexive
 from tripleweave.operators.matching import match_leaves, partner_values, similar_values
@@ -56,7 +56,7 @@ def neighbour_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFra
 
     Values are joined by similarity per block and carried back to the subjects; the block table is not formed.
     """
-    side1, side2 = blocked_side(t1, pairs, 1), blocked_side(t2, pairs, 2)
+    side1, side2 = stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2))
     partners = partner_values(side1, similar_values(side1, side2))
     rows = partners.join(side2.select(F.col("s").alias("s2"), "b", "v"), ["b", "v"])
     return non_reflexive(rows).groupBy("s1", "s2").agg(F.max("top").alias("score"))
@@ -71,16 +71,17 @@ def deduce_relations(
     partners, predicates matched anew, and subjects with a similar value become matches. Lineage is cut
     after each round but the last, so a lost executor costs one round at most.
     """
-    known = matches.select("s1", "s2", "score", F.lit(0).alias("stage"))
+    known = stored(matches.select("s1", "s2", "score", F.lit(0).alias("stage")))
     for stage in range(1, rounds + 1):
-        around1 = substitute_matched(neighbour_triples(t1, known.select(F.col("s1").alias("s"))), known)
-        around2 = neighbour_triples(t2, known.select(F.col("s2").alias("s")))
+        around1 = stored(neighbour_triples(t1, known.select(F.col("s1").alias("s"))))
+        around1 = stored(substitute_matched(around1, known))
+        around2 = stored(neighbour_triples(t2, known.select(F.col("s2").alias("s"))))
         pairs = match_predicates(around1, around2, sims=sims)
         found = neighbour_matches(around1, around2, pairs)
         new = found.join(known.select("s1", "s2"), ["s1", "s2"], "left_anti")
         known = known.unionByName(new.select("s1", "s2", "score", F.lit(stage).alias("stage")))
         if stage < rounds:
-            known = cut_lineage(known)
+            known = stored(known)
     return known
 
 

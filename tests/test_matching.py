@@ -5,7 +5,7 @@ import pytest
 import tiny
 from pyspark.sql import functions as F
 
-from tripleweave.operators import blocking, matching, predicates
+from tripleweave.operators import blocking, key_sets, matching, predicates
 from tripleweave.operators.filters import literal_triples
 from tripleweave.plans import align
 
@@ -129,7 +129,7 @@ def test_key_sets_hit_every_match():
             for b in range(n)
         ]
         need = {1: 0.95, 2: 0.9, 3: 0.8}.get(n, 0.7) * n
-        sets = [set(s) for s in matching._key_sets(entries, 1000, 1000, need)]
+        sets = [set(s) for s in key_sets.key_sets(entries, 1000, 1000, need)]
         weight = {e["b"]: (e["kind1"] * e["kind2"]) or float("inf") for e in entries}
         for mask in range(1, 2**n):
             similar = {b for b in range(n) if mask >> b & 1}

@@ -50,6 +50,21 @@ def block_by_predicate(t1: DataFrame, t2: DataFrame, pairs: DataFrame, salt: int
     return left.join(right.select("*", parts), ["p2", "part"]).select("s1", "literal1", "s2", "literal2", "p1", "p2")
 
 
+def block_rows_of_pairs(side1: DataFrame, side2: DataFrame, found: DataFrame) -> DataFrame:
+    """Block rows ``(s1, literal1, s2, literal2, b)`` of given subject pairs, from both factored tables."""
+    left = side1.select(F.col("s").alias("s1"), "b", F.col("v").alias("literal1"), "m")
+    right = side2.select(F.col("s").alias("s2"), "b", F.col("v").alias("literal2"), F.col("m").alias("m2"))
+    rows = found.select("s1", "s2").distinct().join(left, "s1").join(right, ["s2", "b"])
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m") * F.col("m2")))
+    return rows.select("s1", "literal1", "s2", "literal2", "b", copies.alias("copy")).drop("copy")
+
+
+def partners_per_level(profiles1: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(s1, count, partners)``: how many subjects of graph 2 share ``count`` with each subject of graph 1."""
+    per_profile = clusters.groupBy("profile1", "count").agg(F.sum("subjects2").alias("partners"))
+    return profiles1.toDF("s1", "profile1").join(per_profile, "profile1").select("s1", "count", "partners")
+
+
 def block_sizes(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows the block table has per predicate pair, from counts per side."""
     sides = [

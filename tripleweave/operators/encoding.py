@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleweave.operators.checkpoints import stored
+
 
 def merge_graphs(t1: DataFrame, t2: DataFrame) -> DataFrame:
     return t1.select("s", "p", "o").unionByName(t2.select("s", "p", "o"))
 
 
-def dictionary(terms: DataFrame, buckets: int = 16384) -> DataFrame:
-    """``(term, id)``: dense ids from 0, the same for the same set of terms on any cluster.
+def dictionary(terms: DataFrame) -> DataFrame:
+    """``(term, id)``: dense ids from 0 in term order, the same for the same set of terms on any cluster.
 
-    Terms are divided into buckets by hash, numbered inside their bucket, and shifted by the sizes of
-    the buckets before. Only the bucket sizes (at most ``buckets`` rows) meet in one window; no task
-    sorts more than a bucket.
+    Terms are range-partitioned and stored with the number of their range; an id is the place inside the
+    range plus the sizes of the ranges before. Only one size per range meets in a single window.
     """
-    hashed = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("term")) - 1
-    numbered = hashed.withColumn("place", place)
-    return numbered.join(F.broadcast(shifts), "bucket").select("term", (F.col("shift") + F.col("place")).alias("id"))
+    ranged = stored(
+        terms.select("term").distinct().repartitionByRange("term").withColumn("range", F.spark_partition_id())
+    )
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("term")) - 1
+    numbered = ranged.withColumn("place", place).join(shifts, "range")
+    return numbered.select("term", (F.col("shift") + F.col("place")).alias("id"))
 
 
 def entity_ids(triples: DataFrame) -> DataFrame:

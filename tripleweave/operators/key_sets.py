@@ -1,0 +1,54 @@
+"""Choice of the blocks two subjects must agree on; runs on rows of profile pairs, not of subjects."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb, prod
+
+import pandas as pd
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
+_MAX_SETS = 64
+
+
+def key_sets(entries: list[dict], n1: int, n2: int, need: float) -> list[list[int]]:
+    """Sets of blocks such that a pair scoring above ``need`` has similar values in all blocks of one set.
+
+    Blocks are ordered from rare to frequent matches. With the frequent tail left out, the pair still
+    needs ``size`` similar blocks among the rest as long as tail and ``size - 1`` best blocks cannot reach
+    ``need``; every ``size``-subset of the rest is then a set. The cheapest size wins.
+    """
+    blocks = sorted(entries, key=lambda e: (e["density"], e["b"]))
+    weights = [float("inf") if not (e["kind1"] and e["kind2"]) else float(e["kind1"] * e["kind2"]) for e in blocks]
+    best, best_cost = [[e["b"]] for e in blocks], float("inf")
+    for size in (1, 2, 3):
+        if size > 1 and float("inf") in weights:
+            break
+        for head in range(size, len(blocks) + 1):
+            rest = sum(sorted(weights[:head], reverse=True)[: size - 1])
+            if sum(weights[head:]) + rest > need:
+                continue
+            if comb(head, size) > _MAX_SETS and size > 1:
+                break
+            sets = list(combinations(blocks[:head], size))
+            cost = sum(
+                n1 * prod(max(e["spread"], 1.0) for e in s) + n1 * n2 * prod(e["density"] for e in s) for s in sets
+            )
+            if cost < best_cost:
+                best, best_cost = [[e["b"] for e in s] for s in sets], cost
+            break
+    return best
+
+
+def plan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            entries = [dict(e) if isinstance(e, dict) else e.asDict() for e in r.entries]
+            need = r.threshold * r.count
+            rows += [(r.g1, r.g2, r.count, s) for s in key_sets(entries, r.n1, r.n2, need)]
+        yield pd.DataFrame(rows, columns=["g1", "g2", "count", "blocks"])

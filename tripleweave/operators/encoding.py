@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.operators.checkpoints import stored
@@ -83,9 +83,9 @@ def term_of_id(ids: DataFrame, wanted: int | DataFrame) -> DataFrame:
     return ids.filter(F.col("id") == wanted) if isinstance(wanted, int) else ids.join(wanted, "id", "left_semi")
 
 
-def matrix_row(entries: DataFrame, i: int) -> DataFrame:
+def matrix_row(entries: DataFrame, i: int | Column) -> DataFrame:
     return entries.filter(F.col("i") == i)
 
 
-def matrix_cell(entries: DataFrame, i: int, j: int) -> DataFrame:
+def matrix_cell(entries: DataFrame, i: int | Column, j: int | Column) -> DataFrame:
     return entries.filter((F.col("i") == i) & (F.col("j") == j)).select("value")

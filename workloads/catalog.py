@@ -16,7 +16,8 @@ from tripleweave.operators import blocking, encoding, evaluate, filters, lexicon
 from tripleweave.operators.checkpoints import stored
 from tripleweave.plans import align
 from tripleweave.sources.ntriples import parse_statements, with_term_columns
-from tripleweave.sources.tables import alignment_cells, predicate_histogram
+from tripleweave.sources import tables
+from tripleweave.sources.tables import predicate_histogram
 from workloads import graphs as g
 from workloads import sqltext as q
 
@@ -366,3 +367,345 @@ def similar_relations(spark, sf):
     merged = encoding.merge_graphs(*graph(spark, sf, g.CATALOGUE, g.SHOP))
     found = predicates.similar_relations(encoding.relation_ids(merged))
     return found.withColumn("score", F.round("score", 6))
+
+
+# --- blocking ------------------------------------------------------------------------------------------
+
+
+def _sides(spec1: list, spec2: list, literals: bool = True, pair_sql: str | None = None) -> str:
+    """Blocked sides ``a`` and ``b`` ``(s, p1, p2, v)``, one row per statement."""
+    only = " WHERE o NOT LIKE '<%'" if literals else ""
+    pair_sql = pair_sql or f"{_name_scores(spec1, spec2)} SELECT predicate1, predicate2 FROM sc WHERE score > 0.7"
+    return f"""pp AS MATERIALIZED ({pair_sql}),
+a AS MATERIALIZED (SELECT * FROM (SELECT s, predicate1 AS p1, predicate2 AS p2, {q.comparable('o')} AS v
+  FROM (SELECT * FROM ({rows(spec1, meta=False)}){only}) JOIN pp ON p = predicate1) WHERE v IS NOT NULL),
+b AS MATERIALIZED (SELECT * FROM (SELECT s, predicate1 AS p1, predicate2 AS p2, {q.comparable('o')} AS v
+  FROM (SELECT * FROM ({rows(spec2, meta=False)}){only}) JOIN pp ON p = predicate2) WHERE v IS NOT NULL),
+pc AS MATERIALIZED (SELECT s1, s2, count(*) AS n FROM (SELECT a.s AS s1, b.s AS s2, a.p1, a.p2
+  FROM (SELECT DISTINCT s, p1, p2 FROM a) a JOIN (SELECT DISTINCT s, p1, p2 FROM b) b ON a.p1 = b.p1 AND a.p2 = b.p2) GROUP BY s1, s2)"""
+
+
+def _leaves(spec1: list, spec2: list, test: str | None = None, whole: str | None = None, exact: bool = False,
+            pair_sql: str | None = None) -> str:
+    """Scored value pairs ``vp`` and matches ``m`` over the full set of subject pairs."""
+    sim = "CASE WHEN x.v = y.v THEN 1.0 ELSE 0.0 END" if exact else q.literal_sim("x.v", "y.v", "x.t", "y.t", 0.7, test, whole)
+    return f"""{_sides(spec1, spec2, pair_sql=pair_sql)},
+va AS MATERIALIZED (SELECT p1, p2, v, {q.value_tokens('v')} AS t FROM (SELECT DISTINCT p1, p2, v FROM a)),
+vb AS MATERIALIZED (SELECT p1, p2, v, {q.value_tokens('v')} AS t FROM (SELECT DISTINCT p1, p2, v FROM b)),
+vp AS MATERIALIZED (SELECT * FROM (SELECT x.p1, x.p2, x.v AS v1, y.v AS v2, {sim} AS score
+  FROM va x JOIN vb y ON x.p1 = y.p1 AND x.p2 = y.p2) WHERE score > 0.7),
+tot AS (SELECT a.s AS s1, b.s AS s2, sum(score) AS total FROM a JOIN vp ON a.p1 = vp.p1 AND a.p2 = vp.p2 AND a.v = vp.v1
+  JOIN b ON b.p1 = vp.p1 AND b.p2 = vp.p2 AND b.v = vp.v2 GROUP BY a.s, b.s),
+m AS MATERIALIZED (SELECT s1, s2, total / n AS score, n FROM tot JOIN pc USING (s1, s2), (SELECT min(n) AS lo, max(n) AS hi FROM pc)
+  WHERE s1 <> s2 AND (n > lo OR lo = hi)
+  AND total / n > CASE n WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.8 ELSE 0.7 END)"""
+
+
+def _blocked(spark, sf, spec1, spec2, literals=True):
+    """Both graphs, their matched predicates and factored block tables."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (spec1, spec2))
+    pairs = align.predicate_pairs(t1, t2)
+    keep = filters.literal_triples if literals else (lambda t: t)
+    sides = [stored(blocking.blocked_side(keep(t), pairs, n)) for n, t in ((1, t1), (2, t2))]
+    return t1, t2, pairs, *sides
+
+
+@register(f"""WITH {_sides(g.CATALOGUE, g.SHOP, literals=False)},
+x AS (SELECT p1, p2, count(*) AS n, count(DISTINCT s) AS k FROM a GROUP BY p1, p2), y AS (SELECT p1, p2, count(*) AS n, count(DISTINCT s) AS k FROM b GROUP BY p1, p2)
+SELECT x.p1 AS predicate1, x.p2 AS predicate2, x.k AS subjects1, y.k AS subjects2, x.n * y.n AS blocked_rows FROM x JOIN y USING (p1, p2)""")
+def block_sizes(spark, sf):
+    """Rows of the block table per pair of predicates."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return blocking.block_sizes(t1, t2, align.predicate_pairs(t1, t2))
+
+
+@register(f"""WITH {_sides(g.CATALOGUE, g.SHOP)}
+SELECT n AS "count", count(*) AS pairs, n * count(*) AS comparisons FROM pc GROUP BY n""")
+def cluster_level_stats(spark, sf):
+    """Subject pairs and comparisons per number of shared predicates."""
+    t1, t2, pairs, _, _ = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
+    clusters = align.cluster_subjects(t1, t2, pairs)
+    return blocking.cluster_level_stats(clusters).withColumn("pairs", F.col("pairs").cast("bigint"))
+
+
+@register(f"WITH {_sides(g.CATALOGUE, g.SHOP)} SELECT DISTINCT n AS \"count\" FROM pc")
+def cluster_levels(spark, sf):
+    *_, side1, side2 = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
+    return blocking.cluster_levels(blocking.common_predicate_clusters(side1, side2))
+
+
+@register(f"""WITH {_sides(g.CATALOGUE, g.SHOP)}
+SELECT s1, n AS "count", count(*) AS partners FROM pc GROUP BY s1, n""")
+def common_predicate_counts(spark, sf):
+    """Per subject and number of shared predicates: its partners in the other graph."""
+    *_, side1, side2 = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
+    return blocking.partners_per_level(
+        blocking.profiles(side1), blocking.common_predicate_clusters(side1, side2)
+    )
+
+
+@register(f"""WITH {_sides(g.CATALOGUE, g.SHOP)},
+r AS (SELECT x.s AS s1, y.s AS s2, sum(x.n * y.n)::BIGINT AS c FROM (SELECT s, p1, p2, count(*) AS n FROM a GROUP BY s, p1, p2) x
+  JOIN (SELECT s, p1, p2, count(*) AS n FROM b GROUP BY s, p1, p2) y USING (p1, p2) GROUP BY x.s, y.s)
+SELECT s1, c AS "count", count(*) AS partners FROM r GROUP BY s1, c""")
+def common_value_counts(spark, sf):
+    """Per subject and number of value pairs: its partners in the other graph."""
+    *_, side1, side2 = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
+    return blocking.partners_per_level(
+        blocking.profiles(side1, rows=True), blocking.common_value_clusters(side1, side2)
+    )
+
+
+@register(f"""WITH {_sides(g.CATALOGUE, g.SHOP, literals=False)}
+SELECT n AS "count", count(*) AS pairs, n * count(*) AS comparisons FROM pc GROUP BY n""")
+def blocking_evaluation(spark, sf):
+    """Levels when URI statements are blocked too."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return blocking.cluster_level_stats(align.blocking_evaluation(t1, t2))
+
+
+@register(f"""WITH a AS (SELECT s, p, v, count(*) AS m FROM (SELECT s, p, {q.literal_or_ending('o')} AS v FROM ({rows(g.CATALOGUE)})) GROUP BY s, p, v),
+b AS (SELECT s, p, v, count(*) AS m FROM (SELECT s, p, {q.literal_or_ending('o')} AS v FROM ({rows(g.EDITION)})) GROUP BY s, p, v)
+SELECT a.s AS s1, b.s AS s2, sum(a.m * b.m)::BIGINT AS "count" FROM a JOIN b ON a.p IS NOT DISTINCT FROM b.p AND a.v IS NOT DISTINCT FROM b.v
+GROUP BY a.s, b.s HAVING count(*) >= 4""")
+def shared_value_ranking(spark, sf):
+    """Subjects of two editions ranked by shared statements, from four shared values on."""
+    return blocking.shared_value_counts(*graph(spark, sf, g.CATALOGUE, g.EDITION), min_shared=4)
+
+
+# --- matching ------------------------------------------------------------------------------------------
+
+
+def _rounded(df: DataFrame, column: str = "score") -> DataFrame:
+    return df.withColumn(column, F.round(column, 6))
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.SHOP)} SELECT s1, s2, round(score, 6) AS score FROM m")
+def align_entities(spark, sf):
+    """Entity matches between catalogue and shop by literal values."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return _rounded(align.align_entities(t1, t2))
+
+
+_SAME = f"SELECT DISTINCT p AS predicate1, p AS predicate2 FROM ({g.sql(g.EDITION)})"
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.EDITION, exact=True, pair_sql=_SAME)} SELECT s1, s2, round(score, 6) AS score FROM m")
+def align_exact(spark, sf):
+    """Entity matches between two editions by identical values under identical predicates."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.EDITION))
+    return _rounded(align.align_entities(t1, t2, align.predicate_pairs(t1, t2, exact=True), mode="exact"))
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.SHOP, q.EQUAL_WORDS, '0.0')} SELECT s1, s2, round(score, 6) AS score FROM m")
+def align_lexical(spark, sf):
+    """Entity matches by equal words only."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return _rounded(align.align_entities(t1, t2, mode="lexical"))
+
+
+@register(f"""WITH {_leaves(g.CATALOGUE, g.SHOP)}
+SELECT p1 AS predicate1, p2 AS predicate2, v1, v2, round(score, 6) AS score FROM vp""")
+def similar_values(spark, sf):
+    """Similar literals under matched predicates."""
+    _, _, pairs, side1, side2 = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
+    found = matching.similar_values(side1, side2).join(blocking.with_block(pairs), "b")
+    return _rounded(found.select("predicate1", "predicate2", "v1", "v2", "score"))
+
+
+_EVIDENCE = f"""WITH {_leaves(g.CATALOGUE, g.SHOP)},
+br AS (SELECT m.s1, a.v AS literal1, m.s2, b.v AS literal2, a.p1, a.p2 FROM m JOIN a ON a.s = m.s1 JOIN b ON b.s = m.s2 AND a.p1 = b.p1 AND a.p2 = b.p2),
+ev AS (SELECT br.s1, br.literal1, br.s2, br.literal2, score FROM br JOIN vp ON vp.p1 = br.p1 AND vp.p2 = br.p2 AND vp.v1 = literal1 AND vp.v2 = literal2)"""
+
+
+def _evidence(spark, sf):
+    _, _, _, side1, side2 = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
+    found = stored(matching.match_sides(side1, side2))
+    return stored(blocking.block_rows_of_pairs(side1, side2, found)), found
+
+
+@register(f"{_EVIDENCE} SELECT s1, s2, literal1, literal2 FROM br")
+def match_evidence(spark, sf):
+    """Block rows of all matched pairs."""
+    blocks, _ = _evidence(spark, sf)
+    return blocks.select("s1", "s2", "literal1", "literal2")
+
+
+@register(f"{_EVIDENCE} SELECT s1, s2, round(score, 6) AS score FROM ev")
+def score_blocked(spark, sf):
+    """Scores of the similar values of all matched pairs."""
+    blocks, _ = _evidence(spark, sf)
+    return _rounded(matching.score_blocked(blocks))
+
+
+@register(f"""{_EVIDENCE}, c AS (SELECT s1, s2, count(*) AS n FROM br GROUP BY s1, s2)
+SELECT s1, s2, round(sum(score) / any_value(n), 6) AS score FROM ev JOIN c USING (s1, s2) GROUP BY s1, s2
+HAVING sum(score) / any_value(n) > 0.7""")
+def aggregate_matches(spark, sf):
+    """Matched pairs by summed score over all their value pairs."""
+    blocks, _ = _evidence(spark, sf)
+    scored = matching.score_blocked(blocks)
+    return _rounded(matching.aggregate_matches(scored, blocking.common_value_counts(blocks)))
+
+
+@register(f"""WITH {_leaves(g.CATALOGUE, g.SHOP)}
+SELECT m.s1, a.v AS literal1, m.s2, b.v AS literal2 FROM m JOIN a ON a.s = m.s1 JOIN b ON b.s = m.s2 AND a.p1 = b.p1 AND a.p2 = b.p2 WHERE n = 3""")
+def literals_of_cluster(spark, sf):
+    """Block rows of the matched pairs that share three predicates."""
+    blocks, _ = _evidence(spark, sf)
+    named = blocks.select("*", F.col("b").alias("p1"), F.col("b").alias("p2"))
+    return matching.literals_of_cluster(blocks, blocking.common_predicate_counts(named), 3)
+
+
+# --- neighbourhood -------------------------------------------------------------------------------------
+
+_LINKS = f"SELECT s AS s1, '<{g.B}/party/' || regexp_extract(s, '([0-9]+)>$', 1) || '>' AS s2 FROM ({rows(g.GEO)}) WHERE p = '{OWL_SAME_AS}'"
+
+
+def _linked(spark, sf):
+    t = stored(graph(spark, sf, g.GEO)[0])
+    links = t.filter(F.col("p") == OWL_SAME_AS).select(F.col("s").alias("s1"), F.col("o").alias("s2"))
+    return t, links
+
+
+_AROUND = f"""t AS MATERIALIZED ({rows(g.GEO)}), l AS ({_LINKS}),
+nodes AS (SELECT o AS node FROM t WHERE o IN (SELECT s1 FROM l) UNION SELECT o FROM t WHERE s IN (SELECT s1 FROM l)),
+r AS MATERIALIZED (SELECT DISTINCT s, p, o FROM t WHERE s IN (SELECT node FROM nodes) OR o IN (SELECT node FROM nodes))"""
+
+
+@register(f"WITH {_AROUND} SELECT * FROM r")
+def neighbour_triples(spark, sf):
+    """Triples around all linked customers."""
+    t, links = _linked(spark, sf)
+    return neighbours.neighbour_triples(t, links.select(F.col("s1").alias("s")))
+
+
+@register(f"WITH {_AROUND} SELECT * FROM t WHERE s NOT IN (SELECT s1 FROM l) AND o NOT IN (SELECT s1 FROM l)")
+def untouched_triples(spark, sf):
+    t, links = _linked(spark, sf)
+    return neighbours.untouched_triples(t, links)
+
+
+@register(f"""WITH {_AROUND} SELECT DISTINCT coalesce(x.s2, r.s) AS s, r.p, coalesce(y.s2, r.o) AS o
+FROM r LEFT JOIN l x ON r.s = x.s1 LEFT JOIN l y ON r.o = y.s1""")
+def substitute_matched(spark, sf):
+    """Neighbour triples with linked customers replaced by their partners."""
+    t, links = _linked(spark, sf)
+    around = neighbours.neighbour_triples(t, links.select(F.col("s1").alias("s")))
+    return neighbours.substitute_matched(around, links)
+
+
+@register(f"""WITH c AS (SELECT {g.uri(g.A + '/c/', g.code(f"'{g.A}' || cast(c_custkey as string)"))} AS s1,
+  {g.uri(g.B + '/c/', g.code(f"'{g.B}' || cast(c_custkey as string)"))} AS s2, c_custkey FROM customer),
+d AS (SELECT DISTINCT {g.uri(g.A + '/o/', g.code(f"'{g.A}' || cast(x.o_orderkey as string)"))} AS s1,
+  {g.uri(g.B + '/o/', g.code(f"'{g.B}' || cast(y.o_orderkey as string)"))} AS s2 FROM orders x JOIN orders y USING (o_custkey))
+SELECT s1, s2, 1.0 AS score, 0 AS stage FROM c UNION ALL SELECT s1, s2, 1.0, 1 FROM d""")
+def deduce_relations(spark, sf):
+    """Customers matched by code; their orders follow through the neighbourhood."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.TRADE1, g.TRADE2))
+    found = align.align_entities(t1, t2)
+    return _rounded(align.deduce_relations(t1, t2, found))
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.SHOP)} SELECT s1 AS s, '{OWL_SAME_AS}' AS p, s2 AS o FROM m")
+def same_as_triples(spark, sf):
+    return neighbours.same_as_triples(align_entities(spark, sf))
+
+
+# --- encoding ------------------------------------------------------------------------------------------
+
+_CODES = f"""t AS MATERIALIZED (SELECT s, p, o FROM ({rows(g.CATALOGUE)}) UNION ALL SELECT s, p, o FROM ({rows(g.SHOP)})),
+e AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT s AS term FROM t UNION SELECT o FROM t)),
+r AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT p AS term FROM t)),
+x AS MATERIALIZED (SELECT s, p, o, a.id AS s_id, r.id AS p_id, b.id AS o_id FROM t JOIN e a ON s = a.term JOIN r ON p = r.term JOIN e b ON o = b.term)"""
+
+
+def _merged(spark, sf):
+    return stored(encoding.merge_graphs(*graph(spark, sf, g.CATALOGUE, g.SHOP)))
+
+
+def _encoded(spark, sf):
+    t = _merged(spark, sf)
+    entities = stored(encoding.entity_ids(t))
+    return encoding.encode_triples(t, entities, encoding.relation_ids(t)), entities
+
+
+@register(f"WITH {_CODES} SELECT * FROM e")
+def entity_ids(spark, sf):
+    return encoding.entity_ids(_merged(spark, sf))
+
+
+@register(f"WITH {_CODES} SELECT * FROM r")
+def relation_ids(spark, sf):
+    return encoding.relation_ids(_merged(spark, sf))
+
+
+@register(f"WITH {_CODES} SELECT * FROM x")
+def encode_triples(spark, sf):
+    return _encoded(spark, sf)[0]
+
+
+@register(f"WITH {_CODES} SELECT s_id AS i, o_id AS j, p_id::DOUBLE AS value FROM x")
+def adjacency_entries(spark, sf):
+    return encoding.adjacency_entries(_encoded(spark, sf)[0])
+
+
+@register(f"WITH {_CODES} SELECT count(*) AS rows, count(*) AS columns FROM e")
+def matrix_size(spark, sf):
+    return encoding.matrix_size(encoding.entity_ids(_merged(spark, sf)))
+
+
+@register(f"""WITH {_CODES} SELECT 's' AS place, s AS term, s_id AS id FROM x UNION ALL SELECT 'p', p, p_id FROM x
+UNION ALL SELECT 'o', o, o_id FROM x""")
+def node_id_columns(spark, sf):
+    """Subjects, predicates and objects with their ids."""
+    parts = encoding.node_id_columns(stored(_encoded(spark, sf)[0]))
+    tagged = [d.select(F.lit(n).alias("place"), "term", "id") for n, d in zip("spo", parts)]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+@register(f"WITH {_CODES} SELECT s_id AS i, o_id AS j, p_id::DOUBLE AS value FROM x WHERE s_id = (SELECT max(s_id) FROM x)")
+def matrix_row(spark, sf):
+    """Entries of the last non-empty matrix row."""
+    entries = stored(encoding.adjacency_entries(_encoded(spark, sf)[0]))
+    return encoding.matrix_row(entries, entries.agg(F.max("i").alias("i")).scalar())
+
+
+@register(f"WITH {_CODES} SELECT term, id FROM e WHERE id IN (SELECT o_id FROM x WHERE p = '{RDF_TYPE}')")
+def term_of_id(spark, sf):
+    """Class names looked up by id."""
+    encoded, entities = _encoded(spark, sf)
+    used = encoded.filter(F.col("p") == RDF_TYPE).select(F.col("o_id").alias("id"))
+    return encoding.term_of_id(entities, used).select("term", "id")
+
+
+# --- evaluation ----------------------------------------------------------------------------------------
+
+
+@register("""SELECT '<http://a.example/supplier/' || s_suppkey || '>' AS s1, '<http://a.example/nation/' || s_nationkey || '>' AS s2,
+  1.0::DOUBLE AS measure FROM supplier""")
+def alignment_cells(spark, sf):
+    """Pairs of an alignment in cell form."""
+    return tables.alignment_cells(*graph(spark, sf, g.CELLS))
+
+
+@register(f"""WITH {_leaves(g.CATALOGUE, g.SHOP)},
+gold AS (SELECT {g.uri(g.A + '/part/', 'cast(p_partkey as string)')} AS s1, {g.uri(g.B + '/item/', 'md5(cast(p_partkey as string))')} AS s2 FROM part),
+f AS (SELECT s1, s2 FROM m), d AS (SELECT s1, s2 FROM f UNION SELECT s2, s1 FROM f),
+c AS (SELECT (SELECT count(*) FROM gold) AS gold_pairs, (SELECT count(*) FROM f) AS found_pairs,
+  (SELECT count(*) FROM (SELECT * FROM gold EXCEPT SELECT * FROM d)) AS missed,
+  (SELECT count(*) FROM (SELECT * FROM d EXCEPT SELECT * FROM gold)) AS extra,
+  (SELECT count(*) FROM (SELECT * FROM gold INTERSECT SELECT * FROM d)) AS hits,
+  (SELECT count(*) FROM (SELECT * FROM d EXCEPT SELECT * FROM gold) WHERE contains(s1, 'item') AND contains(s2, 'item')) AS part_extras,
+  (SELECT count(*) FROM d WHERE NOT (contains(s1, 'item') AND contains(s2, 'item'))) AS other_found)
+SELECT *, round(hits / found_pairs, 6) AS precision, round(hits / gold_pairs, 6) AS recall,
+  round(2.0 * (hits / found_pairs) * (hits / gold_pairs) / (hits / found_pairs + hits / gold_pairs), 6) AS f1 FROM c""")
+def evaluate_alignment(spark, sf):
+    """Catalogue-shop matches against the parts they were made from."""
+    gold = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.expr(g.uri(g.A + "/part/", g.num("p_partkey"))).alias("s1"), F.expr(g.uri(g.B + "/item/", g.code("p_partkey"))).alias("s2")
+    )
+    result = evaluate.evaluate_alignment(gold, stored(align_entities(spark, sf)), "item")
+    for c in ("precision", "recall", "f1"):
+        result = _rounded(result, c)
+    return result

@@ -167,6 +167,15 @@ def hypernym_paths(chosen: DataFrame, pointers: DataFrame) -> DataFrame:
         open_paths = longer.select("synset", F.array_append("path", F.col("parent")).alias("path"), F.col("parent").alias("tip"))
 
 
+def paths_of_all_nodes(paths: DataFrame) -> DataFrame:
+    """Adds the paths of every node on the way: the rest of a path is a path of the node it starts at."""
+    rests = F.transform(
+        F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", i, F.size("path"))
+    )
+    rest = paths.select(F.explode(rests).alias("path"))
+    return rest.select(F.get("path", F.lit(0)).alias("synset"), "path").distinct()
+
+
 def ancestors(paths: DataFrame) -> DataFrame:
     """``(synset, ancestor, distance)`` over all paths, a synset being its own ancestor at 0."""
     rows = paths.select("synset", F.posexplode("path").alias("distance", "ancestor"))
@@ -254,7 +263,7 @@ def hirst_st_onge(pairs: DataFrame, pointers: DataFrame) -> DataFrame:
     """
     wanted = pairs.select("left", "right").distinct()
     starts = wanted.select(F.col("left").alias("src")).unionByName(wanted.select(F.col("right").alias("src"))).distinct()
-    climb = _climb(starts, pointers)
+    climb = stored(_climb(starts, pointers))
     left = climb.select(F.col("src").alias("left"), "node", F.col("steps").alias("up"))
     right = climb.select(F.col("src").alias("right"), F.col("node").alias("top"), F.col("steps").alias("down"))
     side = pointers.filter(F.col("ptr_type") == ANTONYM)
@@ -278,9 +287,9 @@ def hirst_st_onge(pairs: DataFrame, pointers: DataFrame) -> DataFrame:
 
 def taxonomy_similarity(pairs: DataFrame, paths: DataFrame, freq: DataFrame) -> DataFrame:
     """``(left, right, path, lch, wup, res, lin, jcn)`` of synset pairs with a common ancestor."""
-    up = ancestors(paths)
+    up = stored(ancestors(paths))
     depth = min_depth(paths)
-    ic = information_content(up, freq)
+    ic = stored(information_content(up, freq))
     common = (
         _common(pairs, up)
         .join(depth.select(F.col("synset").alias("ancestor"), (F.col("depth") + 1).alias("deep")), "ancestor")
@@ -315,14 +324,12 @@ def taxonomy_similarity(pairs: DataFrame, paths: DataFrame, freq: DataFrame) ->
 
 def synset_similarity(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """All eight measures of synset pairs ``(left, right)`` that have a common ancestor."""
+    pairs = stored(pairs.select("left", "right").distinct())
     ends = pairs.select(F.explode(F.array("left", "right")).alias("synset"))
-    relevant = ends.unionByName(lexicon.freq.select("synset"))
-    paths = hypernym_paths(relevant, lexicon.pointers)
-    all_nodes = paths.select(F.explode("path").alias("synset")).distinct()
-    paths = hypernym_paths(all_nodes, lexicon.pointers)
+    paths = stored(paths_of_all_nodes(hypernym_paths(ends.unionByName(lexicon.freq.select("synset")), lexicon.pointers)))
     return (
         taxonomy_similarity(pairs, paths, lexicon.freq)
-        .join(_gloss_overlap(pairs.select("left", "right").distinct(), lexicon.synsets), ["left", "right"], "left")
+        .join(_gloss_overlap(pairs, lexicon.synsets), ["left", "right"], "left")
         .join(hirst_st_onge(pairs, lexicon.pointers), ["left", "right"], "left")
         .fillna(0.0, ["lesk", "hso"])
     )
@@ -334,7 +341,8 @@ def mean_similarity(measures: DataFrame) -> DataFrame:
         F.col("path") + F.col("lch") / MAX_LCH + F.col("wup") + F.col("res") / MAX_RES + F.col("jcn") / MAX_JCN
         + F.col("lin") + F.col("lesk") / MAX_LESK + F.col("hso") / MAX_HSO
     )
-    return measures.select("left", "right", F.round(F.coalesce(total, F.lit(0.0)) / 8.0, 2).alias("sim"))
+    mean = F.coalesce(total, F.lit(0.0)) / 8.0
+    return measures.select("left", "right", (F.floor(mean * 100.0 + 0.5) / 100.0).alias("sim"))
 
 
 def word_similarity(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:

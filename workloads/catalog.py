@@ -19,6 +19,7 @@ from tripleweave.sources.ntriples import parse_statements, with_term_columns
 from tripleweave.sources import tables
 from tripleweave.sources.tables import predicate_histogram
 from workloads import graphs as g
+from workloads import lexicons as lx
 from workloads import sqltext as q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -709,3 +710,138 @@ def evaluate_alignment(spark, sf):
     for c in ("precision", "recall", "f1"):
         result = _rounded(result, c)
     return result
+
+
+# --- lexicon -------------------------------------------------------------------------------------------
+
+_LEX = f"WITH RECURSIVE {lx.SQL}"
+
+
+@register(f"{_LEX} SELECT c_name AS term, 'noun' AS pos, 1 AS sense_no, synset FROM customer JOIN nodes ON name = lower(c_name)")
+def senses_of(spark, sf):
+    """First noun senses of the customers' names."""
+    names = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_name").alias("term"))
+    return lexicon.senses_of(names, lx.tables(spark, sf).senses, "noun", 1)
+
+
+@register(f"{_LEX} SELECT synset, 0 AS position, name AS lemma FROM nodes")
+def lemmas_of(spark, sf):
+    """First words of all synsets."""
+    synsets = lx.tables(spark, sf).synsets
+    return lexicon.lemmas_of(synsets, synsets, position=0)
+
+
+@register(f"{_LEX} SELECT high AS synset, low AS related FROM edges")
+def related(spark, sf):
+    """Hyponyms of all synsets."""
+    lex = lx.tables(spark, sf)
+    return lexicon.related(lex.synsets, lex.pointers, lexicon.HYPONYM)
+
+
+@register(f"{_LEX} SELECT synset, ancestor, distance::INT AS distance FROM up")
+def hypernym_closure(spark, sf):
+    """All ancestors with their distance."""
+    lex = lx.tables(spark, sf)
+    return lexicon.ancestors(lexicon.hypernym_paths(lex.synsets, lex.pointers))
+
+
+@register(f"{_LEX} SELECT f.synset, path[-1] AS root, d::INT AS depth FROM full_paths f JOIN depth USING (synset)")
+def root_hypernyms(spark, sf):
+    """Root and depth of all synsets."""
+    lex = lx.tables(spark, sf)
+    paths = stored(lexicon.hypernym_paths(lex.synsets, lex.pointers))
+    return lexicon.root_hypernyms(paths).join(lexicon.min_depth(paths), "synset")
+
+
+def _party_paths(spark, sf):
+    lex = lx.tables(spark, sf)
+    parties = lex.synsets.filter(F.col("synset").rlike("^[cs]"))
+    return stored(lexicon.hypernym_paths(parties, lex.pointers)), stored(lx.trading_pairs(spark, sf))
+
+
+@register(f'{_LEX} SELECT a AS "left", b AS "right", common FROM lcs')
+def lowest_common_hypernym(spark, sf):
+    """Nearest common place of all customers and their suppliers."""
+    paths, pairs = _party_paths(spark, sf)
+    return lexicon.lowest_common_hypernym(pairs, lexicon.ancestors(paths))
+
+
+@register(f"""{_LEX} SELECT a AS "left", b AS "right", array_to_string(x.path[:list_position(x.path, common)], '/') AS left_path,
+  array_to_string(y.path[:list_position(y.path, common)], '/') AS right_path
+FROM lcs JOIN full_paths x ON x.synset = a JOIN full_paths y ON y.synset = b""")
+def shortest_hypernym_path(spark, sf):
+    """Ways of customers and suppliers to their nearest common place."""
+    paths, pairs = _party_paths(spark, sf)
+    ways = lexicon.shortest_hypernym_path(pairs, paths, lexicon.ancestors(paths))
+    return ways.select(
+        "left", "right", F.array_join("left_path", "/").alias("left_path"), F.array_join("right_path", "/").alias("right_path")
+    )
+
+
+@register(f"""{_LEX}, parts AS (SELECT synset, string_split(rtrim(gloss, ';'), ';') AS p FROM nodes)
+SELECT synset, array_to_string(list_filter(p, lambda x: NOT (trim(x) LIKE '"%"')), ';') AS definition,
+  array_to_string(list_transform(list_filter(p, lambda x: trim(x) LIKE '"%"'), lambda x: trim(x)), '|') AS examples FROM parts""")
+def gloss_parts(spark, sf):
+    parts = lexicon.gloss_parts(lx.tables(spark, sf).synsets)
+    return parts.withColumn("examples", F.array_join("examples", "|"))
+
+
+@register(f"{_LEX} SELECT synset, round(ic, 6) AS ic, root_freq::BIGINT AS root_freq FROM ic")
+def information_content(spark, sf):
+    lex = lx.tables(spark, sf)
+    up = stored(lexicon.ancestors(lexicon.hypernym_paths(lex.synsets, lex.pointers)))
+    return _rounded(lexicon.information_content(up, lex.freq), "ic")
+
+
+_SEVEN = ", ".join(f"round({m}, 6) AS {m}" for m in ("hso", "jcn", "lch", "lin", "res", "wup", "lesk"))
+
+
+@register(f'WITH RECURSIVE {lx.MEASURES} SELECT a AS "left", b AS "right", round(path, 6) AS path, {_SEVEN} FROM measures')
+def synset_similarity(spark, sf):
+    """Eight measures of all customers and their suppliers."""
+    found = lexicon.synset_similarity(lx.trading_pairs(spark, sf), lx.tables(spark, sf))
+    for m in ("path", "hso", "jcn", "lch", "lin", "res", "wup", "lesk"):
+        found = _rounded(found, m)
+    return found
+
+
+def _named_pairs(spark, sf):
+    """Trading pairs by the names of both parties."""
+    lex = lx.tables(spark, sf)
+    name = lex.senses.select("synset", "lemma")
+    pairs = lx.trading_pairs(spark, sf)
+    return lex, (
+        pairs.join(name.toDF("left", "x"), "left").join(name.toDF("right", "y"), "right").select("x", "y")
+    )
+
+
+@register(f"""WITH RECURSIVE {lx.MEASURES} SELECT na.name AS x, nb.name AS y, {_SEVEN} FROM measures
+JOIN nodes na ON na.synset = a JOIN nodes nb ON nb.synset = b""")
+def word_pair_report(spark, sf):
+    """Seven measures per pair of names."""
+    lex, pairs = _named_pairs(spark, sf)
+    found = lexicon.word_pair_report(pairs, lex)
+    for m in ("hso", "jcn", "lch", "lin", "res", "wup", "lesk"):
+        found = _rounded(found, m)
+    return found
+
+
+@register(f"""WITH RECURSIVE {lx.MEASURES} SELECT na.name AS x, nb.name AS y, coalesce(sim, 0.0) AS sim FROM pairs
+LEFT JOIN mean USING (a, b) JOIN nodes na ON na.synset = a JOIN nodes nb ON nb.synset = b""")
+def word_similarity(spark, sf):
+    """Mean similarity of the names of customers and suppliers."""
+    lex, pairs = _named_pairs(spark, sf)
+    return lexicon.word_similarity(pairs, lex)
+
+
+@register("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS lemma FROM part),
+t AS (SELECT lemma || 's' AS term FROM w UNION SELECT upper(lemma) FROM w UNION SELECT lemma || 'xyz' FROM w)
+SELECT term, coalesce(x.lemma, y.lemma) AS base FROM t LEFT JOIN w x ON x.lemma = lower(term)
+LEFT JOIN w y ON lower(term) = y.lemma || 's' WHERE coalesce(x.lemma, y.lemma) IS NOT NULL""")
+def base_form(spark, sf):
+    """Dictionary forms of inflected words of part names."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    words = stored(part.select(F.explode(F.split("p_name", " ")).alias("lemma")).distinct())
+    senses = words.select("lemma", F.lit("noun").alias("pos"))
+    forms = F.array(F.concat("lemma", F.lit("s")), F.upper("lemma"), F.concat("lemma", F.lit("xyz")))
+    return lexicon.base_form(words.select(F.explode(forms).alias("term")), senses)

@@ -52,14 +52,19 @@ def string_distance_sim(a: Column | str, b: Column | str) -> Column:
 
 
 def within_edit_reach(a: Column | str, b: Column | str, threshold: float, strict: bool = False) -> Column:
-    """``string_distance_sim`` at or above the threshold; lengths are tested before the distance."""
+    """``string_distance_sim`` at or above (``strict``: above) the threshold.
+
+    The number of edits that still reach it bounds the distance computation, which stops beyond; lengths
+    that differ by more are not compared at all.
+    """
     a, b = _col(a), _col(b)
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    bound = F.lit(2.0) * (2 * short - long) / F.nullif(short + long, F.lit(0))
-    score = string_distance_sim(a, b)
-    if strict:
-        return (bound > threshold) & (score > threshold)
-    return (bound >= threshold) & (score >= threshold)
+    short, total = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    cap = F.floor(short - total * (threshold / 2.0) + 1e-9).cast("int")
+    edits = F.call_function("levenshtein", a, b, cap)
+    score = F.lit(2.0) * (short - edits) / F.nullif(total, F.lit(0))
+    reached = score > threshold if strict else score >= threshold
+    comparable = (total > 0) & (F.abs(F.length(a) - F.length(b)) <= cap)
+    return F.when(comparable, (edits >= 0) & reached).otherwise(False)
 
 
 def jaccard_ratio(hits: Column, n1: Column, n2: Column) -> Column:

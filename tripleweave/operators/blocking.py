@@ -10,10 +10,11 @@ counts per pair of profiles; there are few profiles even when there are many sub
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import comparable_value, literal_or_ending
+from tripleweave.operators.checkpoints import stored
 
 
 def with_block(pairs: DataFrame) -> DataFrame:
@@ -166,51 +167,78 @@ def cluster_by_subjects(clusters: DataFrame) -> DataFrame:
 # --- subjects that share predicate and value -----------------------------------------------------------
 
 
-_RANKED_FEATURES = 4096  # subjects with more features look all of them up instead of sorting them
+_COMBINED_FEATURES = 24  # subjects with up to so many features are looked up by pairs of features
 
 
-def _rarest_features(features: DataFrame, min_shared: int) -> DataFrame:
-    """All but the ``min_shared - 1`` most frequent features of each subject."""
-    counted = features.join(features.groupBy("s").agg(F.count(F.lit(1)).alias("features")), "s")
-    order = Window.partitionBy("s").orderBy("f", "p", "v")
-    ranked = counted.filter(F.col("features") <= _RANKED_FEATURES).withColumn("rank", F.row_number().over(order))
-    rare = ranked.filter(F.col("rank") <= F.col("features") - min_shared + 1).drop("rank")
-    return rare.unionByName(counted.filter(F.col("features") > _RANKED_FEATURES))
+def _features(triples: DataFrame) -> DataFrame:
+    """``(s, p, v, m)``: statements with the same predicate and value, counted."""
+    rows = triples.select("s", "p", literal_or_ending("o").alias("v"))
+    return rows.groupBy("s", "p", "v").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _same_feature() -> Column:
+    return F.col("l.p").eqNullSafe(F.col("r.p")) & F.col("l.v").eqNullSafe(F.col("r.v"))
+
+
+def _lookup_keys(common: DataFrame, min_shared: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys ``(s, k)`` of one graph: feature pairs and single features of small subjects, single ones of large.
+
+    With features in one order for both graphs (rare first), the first ``c`` features a pair shares lie
+    among the first ``features - min_shared + c`` of either subject.
+    """
+    sizes = common.groupBy("s").agg(F.count(F.lit(1)).alias("features")).filter(F.col("features") >= min_shared)
+    sized = common.join(sizes, "s").select("s", "features", F.struct("f", F.xxhash64("p", "v").alias("h")).alias("e"))
+    small = (
+        sized.filter(F.col("features") <= _COMBINED_FEATURES)
+        .groupBy("s", "features")
+        .agg(F.sort_array(F.collect_list("e")).alias("es"))
+    )
+
+    def first(c: int) -> Column:
+        head = F.slice("es", F.lit(1), (F.col("features") - min_shared + c).cast("int"))
+        return F.transform(head, lambda e: e["h"])
+
+    hs = first(2)
+    pairs = F.flatten(F.transform(hs, lambda x, i: F.transform(
+        F.slice(hs, i + 2, F.size(hs)), lambda y: F.struct(x.alias("x"), y.alias("y"))
+    )))
+    large = sized.filter(F.col("features") > _COMBINED_FEATURES).select("s", F.col("e.h").alias("k"))
+    return small.select("s", F.explode(pairs).alias("k")), small.select("s", F.explode(first(1)).alias("k")), large
 
 
 def shared_value_counts(t1: DataFrame, t2: DataFrame, min_shared: int = 1) -> DataFrame:
     """``(s1, s2, count)``: statement pairs with the same predicate and the same value, largest first.
 
-    ``min_shared`` keeps pairs with at least that many different shared (predicate, value) features. Such a
-    pair shares one of any ``features - min_shared + 1`` features of its first subject, so only that many
-    of the rarest are looked up; features half of the graph has are looked up only by subjects with nothing rarer.
+    ``min_shared`` keeps pairs with at least that many different shared (predicate, value) features. From
+    two on, pairs are found by two rare features together; features half of a graph has are not joined on
+    alone. With the default of one, the result is every pair that shares anything, as large as that is.
     """
-    sides = []
-    for t, n in ((t1, 1), (t2, 2)):
-        rows = t.select("s", "p", literal_or_ending("o").alias("v"))
-        sides.append(rows.groupBy("s", "p", "v").agg(F.count(F.lit(1)).alias("m")))
-    left, right = sides
-    feature = ["p", "v"]
-    freq = right.groupBy(*feature).agg(F.count(F.lit(1)).alias("f"))
-    same = F.col("l.p").eqNullSafe(F.col("r.p")) & F.col("l.v").eqNullSafe(F.col("r.v"))
-    matched = (
-        left.alias("l").join(freq.alias("r"), same).select("l.s", "l.p", "l.v", "l.m", "r.f")
-    )
-    looked_up = matched if min_shared == 1 else _rarest_features(matched, min_shared)
-    pairs = (
-        looked_up.alias("l").join(right.alias("r"), same)
-        .select(F.col("l.s").alias("s1"), F.col("r.s").alias("s2"), F.col("l.m").alias("m1"), F.col("r.m").alias("m2"))
-    )
-    if min_shared > 1:
-        seen = pairs.select("s1", "s2").distinct()
-        other = right.select(F.col("s").alias("s2"), "p", "v", F.col("m").alias("m2"))
+    left, right = (stored(_features(t)) for t in (t1, t2))
+    if min_shared == 1:
+        pairs = left.alias("l").join(right.alias("r"), _same_feature()).select(
+            F.col("l.s").alias("s1"), F.col("r.s").alias("s2"), F.col("l.m").alias("m1"), F.col("r.m").alias("m2")
+        )
+    else:
+        counts = [d.groupBy("p", "v").agg(F.count(F.lit(1)).alias("f")) for d in (left, right)]
+        freq = stored(
+            counts[0].alias("l").join(counts[1].alias("r"), _same_feature())
+            .select("l.p", "l.v", (F.col("l.f") * F.col("r.f")).alias("f"))
+        )
+        sides = [
+            _lookup_keys(d.alias("l").join(freq.alias("r"), _same_feature()).select("l.s", "l.p", "l.v", "r.f"), min_shared)
+            for d in (left, right)
+        ]
+        found = None
+        for i, j in ((0, 0), (1, 2), (2, 1), (2, 2)):
+            met = sides[0][i].withColumnRenamed("s", "s1").join(sides[1][j].withColumnRenamed("s", "s2"), "k")
+            found = met.select("s1", "s2") if found is None else found.unionByName(met.select("s1", "s2"))
+        theirs = found.distinct().join(right.select(F.col("s").alias("s2"), "p", "v", F.col("m").alias("m2")), "s2")
         mine = left.select(F.col("s").alias("s1"), "p", "v", F.col("m").alias("m1"))
-        full = seen.join(other, "s2").alias("l").join(
-            mine.alias("r"), same & (F.col("l.s1") == F.col("r.s1"))
+        pairs = theirs.alias("l").join(mine.alias("r"), _same_feature() & (F.col("l.s1") == F.col("r.s1"))).select(
+            "l.s1", "l.s2", "r.m1", "l.m2"
         )
-        pairs = full.select("l.s1", "l.s2", "r.m1", "l.m2")
-    counts = pairs.groupBy("s1", "s2").agg(
+    counted = pairs.groupBy("s1", "s2").agg(
         F.sum(F.col("m1") * F.col("m2")).alias("count"), F.count(F.lit(1)).alias("features")
     )
-    kept = counts.filter(F.col("features") >= min_shared).select("s1", "s2", "count")
+    kept = counted.filter(F.col("features") >= min_shared).select("s1", "s2", "count")
     return kept.orderBy(F.desc("count"), "s1", "s2")

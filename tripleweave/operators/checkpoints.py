@@ -23,6 +23,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitions a compact table over all tasks before a step that multiplies its rows or is heavy per row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder and reads on from there.
 

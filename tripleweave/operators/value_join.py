@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.config import MAX_TOKENS
 from tripleweave.functions import text
-from tripleweave.operators.checkpoints import stored
+from tripleweave.operators.checkpoints import spread, stored
 
 _EPS = 1e-9
 
@@ -72,7 +72,9 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: list[s
 
     A text cut into more pieces than it has edits keeps one piece unharmed, so that piece occurs in the
     partner at nearly the same place. Only the ``edits + 1`` pieces that are rarest on the other side are
-    looked up: pieces all texts share (a common prefix) drop out.
+    looked up: pieces all texts share (a common prefix) drop out. Of these, the i-th may be off by at most
+    ``i - 1`` from the left and ``edits + 1 - i`` from the right: were it further off, the edits spent there
+    would leave another looked-up piece unharmed (G. Li et al., Pass-Join, 2011).
     """
     texts = left.filter(F.length("v") > 0).select(*keys, "v", F.length("v").alias("len"))
     texts = texts.withColumn("q", _piece(F.col("len"), threshold))
@@ -84,7 +86,7 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: list[s
 
     short = _longest_of_size_one(threshold)
     reach = math.ceil(short * (4.0 - threshold) / (2.0 + threshold)) if short < 399 else None
-    other = right.filter(F.length("v") > 0).select(*keys, "v", F.length("v").alias("len"))
+    other = spread(right.filter(F.length("v") > 0).select(*keys, "v", F.length("v").alias("len")), "v")
     sizes = F.when(F.col("len") >= 3, F.array(F.lit(2), F.lit(3))).when(F.col("len") == 2, F.array(F.lit(2)))
     sizes = F.coalesce(sizes, F.array().cast("array<int>"))
     if reach is None:
@@ -103,11 +105,19 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: list[s
     wanted = (
         pieces.join(load, on, "left")
         .withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("load").isNotNull() & (F.col("rank") <= _edits(F.col("len"), threshold) + 1))
+        .filter(F.col("rank") <= _edits(F.col("len"), threshold) + 1)
+        .withColumn("place", F.row_number().over(Window.partitionBy(*keys, "v").orderBy("pos")))
+        .filter(F.col("load").isNotNull())
         .drop("rank", "load")
     )
-    joined = side(wanted, on, 1).join(side(windows, on, 2), on)
-    near = F.abs(F.col("pos1") - F.col("pos2")) <= _edits(F.col("len1"), threshold)
+    # Both sides grew by exploding, which size estimates do not see: never broadcast them, and leave
+    # frequent pieces to the skew handling of the sort-merge join.
+    joined = side(wanted, on, 1).join(side(windows, on, 2).hint("merge"), on)
+    shift = F.col("pos2") - F.col("pos1")
+    from_right = F.abs(shift - (F.col("len2") - F.col("len1")))
+    near = (F.abs(shift) < F.col("place1")) & (
+        from_right <= _edits(F.col("len1"), threshold) + 1 - F.col("place1")
+    )
     hit = text.within_edit_reach("v1", "v2", threshold, strict)
     return joined.filter(near & hit).select(*keys, "v1", "v2").distinct()
 

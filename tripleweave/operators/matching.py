@@ -112,7 +112,7 @@ def match_leaves_of_blocks(
     Every pair lies on one level only, so all levels are scored in one pass with the threshold as a column.
     """
     if skip_lowest:
-        clusters = _without_lowest(clusters, clusters)
+        clusters = without_lowest(clusters, clusters)
     total = score_blocked(blocks, mode, sims=sims).groupBy("s1", "s2").agg(F.sum("score").alias("total"))
     scored = total.join(clusters.select("s1", "s2", "count"), ["s1", "s2"]).select(
         "s1", "s2", (F.col("total") / F.col("count")).alias("score"), "count"
@@ -120,7 +120,7 @@ def match_leaves_of_blocks(
     return non_reflexive(scored).filter(F.col("score") > level_threshold(F.col("count"))).drop("count")
 
 
-def _without_lowest(rows: DataFrame, levels: DataFrame) -> DataFrame:
+def without_lowest(rows: DataFrame, levels: DataFrame) -> DataFrame:
     """Drops the smallest ``count``, unless it is the only one."""
     ends = levels.agg(F.min("count").alias("lo"), F.max("count").alias("hi"))
     low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
@@ -216,7 +216,7 @@ def key_plan(profiles1: DataFrame, profiles2: DataFrame, density: DataFrame, ski
         .agg(F.count(F.lit(1)).alias("count"), F.collect_list(entry).alias("entries"))
     )
     if skip_lowest:
-        pairs = _without_lowest(pairs, pairs)
+        pairs = without_lowest(pairs, pairs)
     pairs = pairs.withColumn("threshold", level_threshold(F.col("count")))
     return pairs.mapInPandas(plan_batches, "g1 bigint, g2 bigint, count bigint, blocks array<bigint>")
 

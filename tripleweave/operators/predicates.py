@@ -108,6 +108,73 @@ def lexical_pairs(
     return result
 
 
+def score_pairs(
+    pairs: DataFrame, word_threshold: float, sims: DataFrame | None = None, names: bool = False
+) -> DataFrame:
+    """``(v1, v2, score)`` of given pairs, dissimilar ones included; the measures are those of ``lexical_pairs``.
+
+    Word pairs of each value pair (at most 25) are looked up in ``sims`` by an equi-join and counted.
+    """
+    tokens = text.name_tokens if names else text.value_tokens
+    listed = stored(
+        pairs.select("v1", "v2").distinct().select("v1", "v2", tokens("v1").alias("t1"), tokens("v2").alias("t2"))
+    )
+    words = listed.select("v1", "v2", F.explode("t1").alias("x"), "t2").select(
+        "v1", "v2", "x", F.explode("t2").alias("y")
+    )
+    alike = text.ci_equal("x", "y")
+    if sims is None:
+        whole = listed.select("v1", "v2", F.lit(0.0).alias("whole"))
+        near = words.withColumn("hit", alike)
+    else:
+        known = sims.select("x", "y", "sim").distinct()
+        near = words.join(known, ["x", "y"], "left").withColumn(
+            "hit", alike | (F.coalesce("sim", F.lit(0.0)) >= word_threshold)
+        )
+        whole = listed.join(known.toDF("v1", "v2", "sim"), ["v1", "v2"], "left").select(
+            "v1", "v2", F.coalesce("sim", F.lit(0.0)).alias("whole")
+        )
+    hits = near.groupBy("v1", "v2").agg(F.count_if("hit").alias("hits"))
+    n1, n2 = F.size("t1"), F.size("t2")
+    several = (n1 > 1) | (n2 > 1) if names else (n1 > 1) & (n2 > 1)
+
+    def blank(t: str) -> Column:
+        return (F.size(t) == 1) & (F.get(t, F.lit(0)) == "")
+
+    score = F.when(text.ci_equal("v1", "v2"), 1.0)
+    if not names:
+        score = score.when(blank("t1") | blank("t2"), 0.0)
+    score = score.when(several, text.jaccard_ratio(F.col("hits"), n1, n2)).otherwise(F.col("whole"))
+    return listed.join(hits, ["v1", "v2"]).join(whole, ["v1", "v2"]).select("v1", "v2", score.alias("score"))
+
+
+def predicates_equal(pairs: DataFrame, threshold: float, sims: DataFrame | None = None) -> DataFrame:
+    """``(v1, v2)`` of the given name pairs that score strictly above the threshold."""
+    return score_pairs(pairs, threshold, sims, names=True).filter(F.col("score") > threshold).select("v1", "v2")
+
+
+def value_scores(pairs: DataFrame, limits: Thresholds, sims: DataFrame | None = None) -> DataFrame:
+    """``(v1, v2, score)`` of comparable values.
+
+    Two URI endings (marked by ``<``) are compared as names, and a score above the lexicon threshold
+    becomes the string threshold; a URI ending and a literal score 0; literals are compared as values.
+    """
+    both = pairs.select("v1", "v2").distinct()
+    marked1, marked2 = F.col("v1").startswith("<"), F.col("v2").startswith("<")
+    endings = stored(
+        both.filter(marked1 & marked2).select("v1", "v2", F.expr("substr(v1, 2)").alias("e1"), F.expr("substr(v2, 2)").alias("e2"))
+    )
+    filled = endings.filter((F.col("e1") != "") & (F.col("e2") != ""))
+    named = score_pairs(filled.select(F.col("e1").alias("v1"), F.col("e2").alias("v2")), limits.lexical, sims, names=True)
+    raised = F.when(F.col("score") > limits.lexical, F.lit(limits.string)).otherwise(F.col("score"))
+    uris = endings.join(named.toDF("e1", "e2", "score"), ["e1", "e2"], "left").select(
+        "v1", "v2", F.coalesce(raised, F.lit(0.0)).alias("score")
+    )
+    mixed = both.filter(marked1 != marked2).select("v1", "v2", F.lit(0.0).alias("score"))
+    texts = both.filter(~marked1 & ~marked2).select("v1", "v2", text.literal_sim("v1", "v2", limits.string).alias("score"))
+    return uris.unionByName(mixed).unionByName(texts)
+
+
 def _distinct_predicates(triples: DataFrame) -> DataFrame:
     names = triples.select("p").distinct().select("p", uri_ending("p").alias("v"))
     return stored(names.filter(F.col("v").isNotNull()))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tripleweave.config import PREDICATE_THRESHOLD
 from tripleweave.functions.terms import is_uri, lexical_form, local_name
-from tripleweave.operators.blocking import blocked_side, common_predicate_clusters
+from tripleweave.operators.blocking import blocked_side, common_predicate_clusters, profile_pairs, profiles
 from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.evaluate import compression
 from tripleweave.operators.filters import drop_meta_predicates, dedupe_triples, entity_names, literal_triples, non_reflexive
-from tripleweave.operators.matching import match_leaves, partner_values, similar_values
+from tripleweave.operators.matching import match_leaves, partner_values, similar_values, without_lowest
 from tripleweave.operators.neighbours import neighbour_triples, substitute_matched
 from tripleweave.operators.predicates import equal_predicates, match_predicates, match_terms
 
@@ -52,24 +52,51 @@ def align_entities(
 
 
 def neighbour_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(s1, s2, score)`` of subjects of neighbour graphs that share a similar value (best score per pair).
+    """``(s1, s2, score)`` of subjects of neighbour graphs that share a similar value (best score per pair)."""
+    return similar_subjects(stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2)))
 
-    Values are joined by similarity per block and carried back to the subjects; the block table is not formed.
+
+def similar_subjects(side1: DataFrame, side2: DataFrame) -> DataFrame:
+    """Subject pairs with similar values in some block, with their best score.
+
+    Values are joined by similarity per block and carried back to the subjects; the block table is not
+    formed. The result has one row for every pair that shares a value, however frequent that value is.
     """
-    side1, side2 = stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2))
     partners = partner_values(side1, similar_values(side1, side2))
     rows = partners.join(side2.select(F.col("s").alias("s2"), "b", "v"), ["b", "v"])
     return non_reflexive(rows).groupBy("s1", "s2").agg(F.max("top").alias("score"))
 
 
+def value_level_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame, skip_lowest: bool = True) -> DataFrame:
+    """``(s1, s2, score)`` of all subject pairs with one pair of similar literals, the lowest level left out.
+
+    These are the rows before scores are summed per pair; there is one for every pair that shares a value.
+    """
+    sides = [stored(blocked_side(literal_triples(t), pairs, n)) for n, t in ((1, t1), (2, t2))]
+    found = similar_subjects(*sides)
+    if not skip_lowest:
+        return found
+    tables = [stored(profiles(d)) for d in sides]
+    levels = stored(profile_pairs(*tables).select("profile1", "profile2", F.col("predicates").alias("count")))
+    kept = without_lowest(levels, levels).select("profile1", "profile2")
+    return (
+        found.join(tables[0].toDF("s1", "profile1"), "s1")
+        .join(tables[1].toDF("s2", "profile2"), "s2")
+        .join(kept, ["profile1", "profile2"])
+        .select("s1", "s2", "score")
+    )
+
+
 def deduce_relations(
-    t1: DataFrame, t2: DataFrame, matches: DataFrame, rounds: int = 1, sims: DataFrame | None = None
+    t1: DataFrame, t2: DataFrame, matches: DataFrame, rounds: int = 1, sims: DataFrame | None = None,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Matches extended through the neighbourhood, ``(s1, s2, score, stage)``.
 
     Per round: triples around the matches on both sides, matched terms of graph 1 replaced by their
-    partners, predicates matched anew, and subjects with a similar value become matches. Lineage is cut
-    after each round but the last, so a lost executor costs one round at most.
+    partners, predicates matched anew, and subjects with a similar value become matches. ``earlier`` adds
+    pairs known from single values (``value_level_matches``) to the result of the first round. Each round's
+    tables are stored, so a lost executor costs part of a round at most.
     """
     known = stored(matches.select("s1", "s2", "score", F.lit(0).alias("stage")))
     for stage in range(1, rounds + 1):
@@ -78,6 +105,9 @@ def deduce_relations(
         around2 = stored(neighbour_triples(t2, known.select(F.col("s2").alias("s"))))
         pairs = match_predicates(around1, around2, sims=sims)
         found = neighbour_matches(around1, around2, pairs)
+        if earlier is not None and stage == 1:
+            both = found.unionByName(earlier.select("s1", "s2", "score"))
+            found = both.groupBy("s1", "s2").agg(F.max("score").alias("score"))
         new = found.join(known.select("s1", "s2"), ["s1", "s2"], "left_anti")
         known = known.unionByName(new.select("s1", "s2", "score", F.lit(stage).alias("stage")))
         if stage < rounds:

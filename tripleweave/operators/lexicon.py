@@ -114,7 +114,7 @@ def base_form(terms: DataFrame, senses: DataFrame, exceptions: DataFrame | None
         forms.append((order, kind, 0, F.lit(True), low))
         for rank, (ending, new) in enumerate(ENDINGS.get(kind, [])):
             cut = F.concat(F.expr(f"left(lower(term), length(term) - {len(ending)})"), F.lit(new))
-            forms.append((order, kind, rank + 2, low.endswith(ending) & (F.length("term") > len(ending)), cut))
+            forms.append((order, kind, rank + 2, low.endswith(ending), cut))
     guesses = F.filter(
         F.array(*[
             F.struct(

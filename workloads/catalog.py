@@ -131,7 +131,7 @@ _LABELS = """SELECT DISTINCT p_name || ', ' || p_brand || ' (' || p_type || ')'
 
 
 @register(f"""WITH l AS ({_LABELS}), t AS (SELECT a, b, {q.value_tokens('a')} AS ta, {q.value_tokens('b')} AS tb FROM l)
-SELECT a, b, lower(a) = lower(b) AS same, levenshtein(a, b) AS edits, round({q.edit_sim('a', 'b')}, 6) AS edit_sim,
+SELECT a, b, lower(a) = lower(b) AS same, levenshtein(a, b)::INTEGER AS edits, round({q.edit_sim('a', 'b')}, 6) AS edit_sim,
   round({q.literal_sim('a', 'b', 'ta', 'tb', 0.7)}, 6) AS value_sim,
   coalesce({q.literal_sim('a', 'b', 'ta', 'tb', 0.5)} > 0.5, false) AS alike
 FROM t""")
@@ -600,7 +600,7 @@ def substitute_matched(spark, sf):
   {g.uri(g.B + '/c/', g.code(f"'{g.B}' || cast(c_custkey as string)"))} AS s2, c_custkey FROM customer),
 d AS (SELECT DISTINCT {g.uri(g.A + '/o/', g.code(f"'{g.A}' || cast(x.o_orderkey as string)"))} AS s1,
   {g.uri(g.B + '/o/', g.code(f"'{g.B}' || cast(y.o_orderkey as string)"))} AS s2 FROM orders x JOIN orders y USING (o_custkey))
-SELECT s1, s2, 1.0 AS score, 0 AS stage FROM c UNION ALL SELECT s1, s2, 1.0, 1 FROM d""")
+SELECT s1, s2, 1.0::DOUBLE AS score, 0 AS stage FROM c UNION ALL SELECT s1, s2, 1.0::DOUBLE, 1 FROM d""")
 def deduce_relations(spark, sf):
     """Customers matched by code; their orders follow through the neighbourhood."""
     t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.TRADE1, g.TRADE2))

@@ -34,6 +34,9 @@ def bag(columns: list[str], rows) -> tuple[list[str], Counter]:
     return sorted(columns), Counter(tuple(_value(r[i]) for i in order) for r in rows)
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def differences(spark, con, name: str, query, oracle: str, sf_dir: str) -> str | None:
     """Null when both sides agree, else what differs."""
     df = query(spark, sf_dir)
@@ -42,6 +45,10 @@ def differences(spark, con, name: str, query, oracle: str, sf_dir: str) -> str |
     want = bag([d[0] for d in cur.description], cur.fetchall())
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
+    theirs = {d[0]: str(d[1]) for d in cur.description}
+    other = {c: (t, theirs[c]) for c, t in df.dtypes if _TYPES.get(t) != theirs[c]}
+    if other:
+        return f"types {other}"
     if got[1] != want[1]:
         extra, missing = got[1] - want[1], want[1] - got[1]
         return (

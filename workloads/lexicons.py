@@ -83,7 +83,7 @@ MEASURES = SQL + f""", measures AS MATERIALIZED (SELECT a, b, 1.0 / (len + 1) AS
   CASE WHEN NOT (ia.ic > 0 AND ib.ic > 0) THEN 0.0 WHEN ia.ic + ib.ic - 2.0 * ic.ic <= 0 THEN 1.0 / -ln((ic.root_freq - 0.01) / ic.root_freq)
     ELSE 1.0 / (ia.ic + ib.ic - 2.0 * ic.ic) END AS jcn,
   len(list_intersect({_WORDS.format(g='na.gloss')}, {_WORDS.format(g='nb.gloss')}))::DOUBLE AS lesk,
-  CASE WHEN len > 5 THEN 0.0 ELSE 8.0 - len - 1 END AS hso
+  CASE WHEN len > 5 THEN 0.0::DOUBLE ELSE 8.0::DOUBLE - len - 1 END AS hso
   FROM lcs JOIN depth da ON da.synset = a JOIN depth db ON db.synset = b JOIN depth dc ON dc.synset = common
   JOIN ic ON ic.synset = common JOIN ic ia ON ia.synset = a JOIN ic ib ON ib.synset = b
   JOIN nodes na ON na.synset = a JOIN nodes nb ON nb.synset = b),

@@ -18,7 +18,13 @@ from tripleweave.operators.checkpoints import stored
 
 
 def with_block(pairs: DataFrame) -> DataFrame:
-    """Predicate pairs with the block number ``b``."""
+    """Predicate pairs with the block number ``b``.
+
+    Store the result before it meets triples: predicates are few and frequent, and with the size of the
+    pairs known the join is a broadcast instead of a shuffle of all triples onto a few predicates.
+    """
+    if "b" in pairs.columns:
+        return pairs
     return pairs.select("predicate1", "predicate2", F.xxhash64("predicate1", "predicate2").alias("b")).distinct()
 
 
@@ -40,6 +46,7 @@ def block_by_predicate(t1: DataFrame, t2: DataFrame, pairs: DataFrame, salt: int
     The product of a frequent predicate is divided over ``salt`` tasks: side 1 is dealt out by row hash,
     side 2 is repeated for each part.
     """
+    pairs = pairs.select("predicate1", "predicate2").distinct()
     v1, v2 = comparable_value("o").alias("literal1"), comparable_value("o").alias("literal2")
     left = (
         t1.select(F.col("s").alias("s1"), F.col("p").alias("p1"), v1, F.pmod(F.xxhash64("s", "o"), F.lit(salt)).alias("part"))
@@ -68,13 +75,14 @@ def partners_per_level(profiles1: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def block_sizes(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows the block table has per predicate pair, from counts per side."""
-    sides = [
-        blocked_side(t, pairs, n).groupBy("b").agg(
-            F.sum("m").alias(f"rows{n}"), F.count_distinct("s").alias(f"subjects{n}")
+    pairs = stored(with_block(pairs))
+    sides = []
+    for n, t in ((1, t1), (2, t2)):
+        per_subject = blocked_side(t, pairs, n).groupBy("b", "s").agg(F.sum("m").alias("rows"))
+        sides.append(
+            per_subject.groupBy("b").agg(F.sum("rows").alias(f"rows{n}"), F.count(F.lit(1)).alias(f"subjects{n}"))
         )
-        for n, t in ((1, t1), (2, t2))
-    ]
-    joined = with_block(pairs).join(sides[0], "b").join(sides[1], "b")
+    joined = pairs.join(sides[0], "b").join(sides[1], "b")
     return joined.select(
         "predicate1", "predicate2", "subjects1", "subjects2", (F.col("rows1") * F.col("rows2")).alias("blocked_rows")
     )

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from tripleweave.config import LEVEL_DEFAULT, LEVEL_THRESHOLDS, LITERAL_THRESHOLD, PARENT_THRESHOLD, Thresholds
 from tripleweave.functions import text
-from tripleweave.operators.blocking import blocked_side, common_value_counts
+from tripleweave.operators.blocking import blocked_side, common_value_counts, with_block
 from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.filters import above, non_reflexive, not_null_values
 from tripleweave.operators.key_sets import plan_batches
 from tripleweave.operators.predicates import lexical_pairs
 from tripleweave.operators.value_join import exact_pairs, literal_pairs
 
-_FEW_ROWS = 8  # statements of one subject in one block up to which they may be combined with other blocks
+_FEW_ROWS = (1, 2, 4, 8)  # steps of a bound on the statements of one subject in one block
 _FEW_PARTNERS = 4096  # likewise for the similar values of one subject in one block
 
 
@@ -167,9 +167,14 @@ def partner_values(side1: DataFrame, similar: DataFrame) -> DataFrame:
 
 
 def _classes(side: DataFrame, partners: DataFrame | None) -> DataFrame:
-    """``(s, b, kind)``: bound on a subject's weight in a block. 1 one statement, 8 a few, 0 no bound known."""
+    """``(s, b, kind)``: bound on a subject's weight in a block, 0 where none is known.
+
+    One statement weighs at most 1; bounds of several go in steps so that there are few profiles.
+    """
     rows = side.groupBy("s", "b").agg(F.sum("m").alias("rows"))
-    kind = F.when(F.col("rows") == 1, 1).when(F.col("rows") <= _FEW_ROWS, _FEW_ROWS).otherwise(0)
+    kind = F.lit(0)
+    for bound in reversed(_FEW_ROWS):
+        kind = F.when(F.col("rows") <= bound, bound).otherwise(kind)
     if partners is None:
         return rows.select("s", "b", kind.alias("kind"))
     seen = partners.groupBy(F.col("s1").alias("s"), "b").agg(
@@ -266,6 +271,7 @@ def match_leaves(
 
     The result is that of ``match_leaves_of_blocks`` on the full block table.
     """
+    pairs = stored(with_block(pairs))
     side1, side2 = stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2))
     return match_sides(side1, side2, mode, skip_lowest, sims)
 

@@ -45,7 +45,8 @@ def _scored_by_words(
 ) -> DataFrame:
     """Word-overlap scores of candidate pairs (both with ``tokens``), counted as joined word rows."""
     words = stored(similar_words(_words(left), _words(right), sims, word_threshold).select("x", "y").distinct())
-    pairs = token_pairs(left, right, words, cut, keys).select(*keys, "v1", "n1", "v2", "n2").distinct()
+    pairs = token_pairs(left, right, words, cut, keys).filter("n1 > 1 or n2 > 1")
+    pairs = pairs.select(*keys, "v1", "n1", "v2", "n2").distinct()
     w1 = left.select(*keys, F.col("v").alias("v1"), F.explode("tokens").alias("x"))
     w2 = right.select(*keys, F.col("v").alias("v2"), F.explode("tokens").alias("y"))
     return (
@@ -85,11 +86,8 @@ def lexical_pairs(
         high = F.col("score") >= cut if inclusive else F.col("score") > cut
         return scored.filter(high & (F.lower("v1") != F.lower("v2")))
 
-    parts = [equal]
-    sides = [(left.filter("n > 1"), right.filter("n > 1"))]
-    if names:
-        sides = [(left.filter("n > 1"), right), (left.filter("n <= 1"), right.filter("n > 1"))]
-    parts += [reached(_scored_by_words(a, b, sims, word_threshold, cut, keys)) for a, b in sides]
+    several = (left, right) if names else (left.filter("n > 1"), right.filter("n > 1"))
+    parts = [equal, reached(_scored_by_words(*several, sims, word_threshold, cut, keys))]
 
     if sims is not None:
         a = left.filter("n <= 1").select(*keys, F.col("v").alias("v1"))

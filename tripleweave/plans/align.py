@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from tripleweave.config import PREDICATE_THRESHOLD
 from tripleweave.functions.terms import is_uri, lexical_form, local_name
-from tripleweave.operators.blocking import blocked_side, common_predicate_clusters, profile_pairs, profiles
+from tripleweave.operators.blocking import (
+    blocked_side,
+    common_predicate_clusters,
+    profile_pairs,
+    profiles,
+    with_block,
+)
 from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.evaluate import compression
 from tripleweave.operators.filters import drop_meta_predicates, dedupe_triples, entity_names, literal_triples, non_reflexive
@@ -32,13 +38,14 @@ def predicate_pairs(
 
 def cluster_subjects(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters of subjects by number of shared literal predicates, in factored form."""
+    pairs = stored(with_block(pairs))
     sides = [blocked_side(literal_triples(t), pairs, n) for n, t in ((1, t1), (2, t2))]
     return common_predicate_clusters(*sides)
 
 
 def blocking_evaluation(t1: DataFrame, t2: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Clusters over all statements, URIs included, in factored form."""
-    pairs = predicate_pairs(t1, t2) if pairs is None else pairs
+    pairs = stored(with_block(predicate_pairs(t1, t2) if pairs is None else pairs))
     return common_predicate_clusters(blocked_side(t1, pairs, 1), blocked_side(t2, pairs, 2))
 
 
@@ -53,6 +60,7 @@ def align_entities(
 
 def neighbour_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(s1, s2, score)`` of subjects of neighbour graphs that share a similar value (best score per pair)."""
+    pairs = stored(with_block(pairs))
     return similar_subjects(stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2)))
 
 
@@ -72,6 +80,7 @@ def value_level_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame, skip_low
 
     These are the rows before scores are summed per pair; there is one for every pair that shares a value.
     """
+    pairs = stored(with_block(pairs))
     sides = [stored(blocked_side(literal_triples(t), pairs, n)) for n, t in ((1, t1), (2, t2))]
     found = similar_subjects(*sides)
     if not skip_lowest:

@@ -405,7 +405,7 @@ m AS MATERIALIZED (SELECT s1, s2, total / n AS score, n FROM tot JOIN pc USING (
 def _blocked(spark, sf, spec1, spec2, literals=True):
     """Both graphs, their matched predicates and factored block tables."""
     t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (spec1, spec2))
-    pairs = align.predicate_pairs(t1, t2)
+    pairs = stored(blocking.with_block(align.predicate_pairs(t1, t2)))
     keep = filters.literal_triples if literals else (lambda t: t)
     sides = [stored(blocking.blocked_side(keep(t), pairs, n)) for n, t in ((1, t1), (2, t2))]
     return t1, t2, pairs, *sides

@@ -100,6 +100,8 @@ def test_similar_values_equal_brute_force(spark):
     values |= {v[: len(v) // 2] + "x" + v[len(v) // 2 :] for v in list(values)[:30]}
     values |= {" ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 7))) for _ in range(60)}
     values |= {"", "a-b", "New York, New York", "new new new", "Ünïcode wörter", "prefix00001", "prefix00002"}
+    tail = " ".join(WORDS * 3)
+    values |= {"Red Gear Bolt " + tail, "red gear bolt " + tail.upper(), "reds gears bolts " + tail, "x" * 100, "x" * 90 + "y" * 5}
     ordered = sorted(values)
     left, right = ordered[::2], ordered[1::2] + ordered[:10]
     frames = [spark.createDataFrame([(1, v) for v in side], "b int, v string") for side in (left, sorted(set(right)))]

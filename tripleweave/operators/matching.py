@@ -24,7 +24,7 @@ from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.filters import above, non_reflexive, not_null_values
 from tripleweave.operators.key_sets import plan_batches
 from tripleweave.operators.predicates import lexical_pairs
-from tripleweave.operators.value_join import exact_pairs, literal_pairs
+from tripleweave.operators.value_join import exact_pairs, literal_pairs, short_key
 
 _FEW_ROWS = (1, 2, 4, 8)  # steps of a bound on the statements of one subject in one block
 _FEW_PARTNERS = 4096  # likewise for the similar values of one subject in one block
@@ -146,16 +146,21 @@ def match_parents(blocks: DataFrame, earlier: DataFrame, mode: str = "any", sims
 
 def similar_values(
     side1: DataFrame, side2: DataFrame, mode: str = "string", threshold: float = LITERAL_THRESHOLD,
-    sims: DataFrame | None = None,
+    sims: DataFrame | None = None, as_keys: bool = False,
 ) -> DataFrame:
     """``(b, v1, v2, score)`` of the similar values of each block of two ``blocked_side`` tables."""
     values1, values2 = (d.select("b", "v").distinct() for d in (side1, side2))
     if mode == "exact":
-        return exact_pairs(values1, values2, ["b"])
+        return exact_pairs(*(keyed(d) if as_keys else d for d in (values1, values2)), ["b"])
     if mode == "lexical":
         word = Thresholds.from_string(threshold).lexical
-        return lexical_pairs(values1, values2, word, threshold, sims, keys=["b"])
-    return literal_pairs(values1, values2, threshold, ["b"])
+        return lexical_pairs(values1, values2, word, threshold, sims, keys=["b"], as_keys=as_keys)
+    return literal_pairs(values1, values2, threshold, ["b"], as_keys)
+
+
+def keyed(table: DataFrame) -> DataFrame:
+    """A table of values ``v`` with long texts replaced by their join keys."""
+    return table.withColumn("v", short_key("v"))
 
 
 def partner_values(side1: DataFrame, similar: DataFrame) -> DataFrame:
@@ -280,7 +285,9 @@ def match_sides(
     side1: DataFrame, side2: DataFrame, mode: str = "string", skip_lowest: bool = True, sims: DataFrame | None = None
 ) -> DataFrame:
     """``match_leaves`` on the two factored block tables."""
-    partners = stored(partner_values(side1, similar_values(side1, side2, mode, sims=sims)))
+    similar = similar_values(side1, side2, mode, sims=sims, as_keys=True)
+    side1, side2 = keyed(side1), keyed(side2)
+    partners = stored(partner_values(side1, similar))
     classes1, classes2 = _classes(side1, partners), _classes(side2, None)
     profiles1, profiles2 = stored(_profiled(classes1)), stored(_profiled(classes2))
     plan = stored(key_plan(profiles1, profiles2, block_density(side1, side2, partners), skip_lowest))

@@ -22,7 +22,7 @@ from tripleweave.config import (
 from tripleweave.functions import text
 from tripleweave.functions.terms import lower_ending, uri_ending
 from tripleweave.operators.checkpoints import stored
-from tripleweave.operators.value_join import equal_pairs, token_pairs, with_tokens
+from tripleweave.operators.value_join import by_key, equal_pairs, side, texts_of, token_pairs, with_tokens
 
 
 def similar_words(words1: DataFrame, words2: DataFrame, sims: DataFrame | None, threshold: float) -> DataFrame:
@@ -68,6 +68,7 @@ def lexical_pairs(
     names: bool = False,
     keys: list[str] | None = None,
     inclusive: bool = False,
+    as_keys: bool = False,
 ) -> DataFrame:
     """``(keys, v1, v2, score)`` above ``cut`` (at it too when ``inclusive``) for distinct values ``v``.
 
@@ -78,32 +79,23 @@ def lexical_pairs(
     keys = keys or []
     tokens: Callable[[str], Column] = text.name_tokens if names else text.value_tokens
     left, right = stored(with_tokens(values1, tokens)), stored(with_tokens(values2, tokens))
-    equal = equal_pairs(left, right, keys).withColumn("score", F.lit(1.0))
-    if not names:
-        left, right = left.filter("not blank"), right.filter("not blank")
-
-    def reached(scored: DataFrame) -> DataFrame:
-        high = F.col("score") >= cut if inclusive else F.col("score") > cut
-        return scored.filter(high & (F.lower("v1") != F.lower("v2")))
-
-    several = (left, right) if names else (left.filter("n > 1"), right.filter("n > 1"))
-    parts = [equal, reached(_scored_by_words(*several, sims, word_threshold, cut, keys))]
+    equal = equal_pairs(left, right, keys, "k").withColumn("score", F.lit(1.0))
+    worth = (left, right) if names else (left.filter("not blank"), right.filter("not blank"))
+    several = worth if names else tuple(d.filter("n > 1") for d in worth)
+    alike = _scored_by_words(*(by_key(d) for d in several), sims, word_threshold, cut, keys)
 
     if sims is not None:
-        a = left.filter("n <= 1").select(*keys, F.col("v").alias("v1"))
-        b = right.select(*keys, F.col("v").alias("v2"), F.col("n").alias("m"))
-        whole = sims.select(F.col("x").alias("v1"), F.col("y").alias("v2"), F.col("sim").alias("score"))
-        one = a.join(whole, "v1").join(b if not names else b.filter("m <= 1"), [*keys, "v2"])
-        parts.append(reached(one.select(*keys, "v1", "v2", "score")))
-        if not names:
-            a = left.filter("n > 1").select(*keys, F.col("v").alias("v1"))
-            one = a.join(whole, "v1").join(b.filter("m <= 1"), [*keys, "v2"])
-            parts.append(reached(one.select(*keys, "v1", "v2", "score")))
-
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part.select(*keys, "v1", "v2", "score"))
-    return result
+        whole = sims.select(F.col("x").alias("v1"), F.col("y").alias("v2"), F.col("sim").alias("score")).distinct()
+        a, b = (side(d.select(*keys, "v", "k", "n"), keys, n) for n, d in ((1, worth[0]), (2, worth[1])))
+        one = a.join(whole, "v1").join(b, [*keys, "v2"])
+        single = (F.col("n1") <= 1) & (F.col("n2") <= 1) if names else (F.col("n1") <= 1) | (F.col("n2") <= 1)
+        alike = alike.unionByName(
+            one.filter(single).select(*keys, F.col("k1").alias("v1"), F.col("k2").alias("v2"), "score")
+        )
+
+    high = F.col("score") >= cut if inclusive else F.col("score") > cut
+    found = equal.unionByName(alike.filter(high).join(equal.drop("score"), [*keys, "v1", "v2"], "left_anti"))
+    return found if as_keys else texts_of(found, left, right, keys)
 
 
 def score_pairs(

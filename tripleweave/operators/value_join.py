@@ -19,12 +19,20 @@ from tripleweave.functions import text
 from tripleweave.operators.checkpoints import spread, stored
 
 _EPS = 1e-9
+_LONG = 80  # length from which a text is represented by its digest
+
+
+def short_key(c: Column | str) -> Column:
+    """Stands for a value in joins: short texts themselves, a digest for long ones, so that these travel once."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.length(c) > _LONG, F.concat(F.lit("\x01"), F.sha2(c, 256))).otherwise(c)
 
 
 def with_tokens(values: DataFrame, tokens: Callable[[str], Column] = text.value_tokens) -> DataFrame:
-    """Adds the words of ``v``, their number and whether nothing is left after cleaning."""
+    """Adds the join key ``k`` of ``v``, its words, their number and whether nothing is left after cleaning."""
     return values.withColumn("tokens", tokens("v")).select(
         "*",
+        short_key("v").alias("k"),
         F.size("tokens").alias("n"),
         ((F.size("tokens") == 1) & (F.get("tokens", F.lit(0)) == "")).alias("blank"),
     )
@@ -35,12 +43,28 @@ def side(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{c}{n}") for c in df.columns if c not in keys])
 
 
-def equal_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, v1, v2)`` with equal non-empty text, case aside."""
-    low = [d.filter(d.v != "").select(*keys, "v", F.lower("v").alias("low")) for d in (left, right)]
+def equal_pairs(left: DataFrame, right: DataFrame, keys: list[str], column: str = "v") -> DataFrame:
+    """``(keys, v1, v2)`` with equal non-empty text, case aside; ``column`` of both sides is returned."""
     on = [*keys, "low"]
-    joined = side(low[0], on, 1).join(side(low[1], on, 2), on)
-    return joined.select(*keys, "v1", "v2")
+    low = [
+        d.filter(d.v != "").select(*keys, F.col(column).alias("v"), short_key(F.lower("v")).alias("low"))
+        for d in (left, right)
+    ]
+    return side(low[0], on, 1).join(side(low[1], on, 2), on).select(*keys, "v1", "v2")
+
+
+def by_key(values: DataFrame) -> DataFrame:
+    """Values with words, represented by their join keys."""
+    return values.drop("v").withColumnRenamed("k", "v")
+
+
+def texts_of(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of join keys ``(keys, v1, v2, score)`` with their texts instead."""
+    out = pairs.select(*keys, F.col("v1").alias("k1"), F.col("v2").alias("k2"), "score")
+    for n, values in ((1, left), (2, right)):
+        known = values.select(*keys, F.col("k").alias(f"k{n}"), F.col("v").alias(f"v{n}"))
+        out = out.join(known, [*keys, f"k{n}"])
+    return out.select(*keys, "v1", "v2", "score")
 
 
 # --- edit similarity -----------------------------------------------------------------------------------
@@ -200,17 +224,18 @@ def _vocabulary(values: DataFrame) -> DataFrame:
     return values.select(F.explode("tokens").alias("v")).filter("v != ''").distinct()
 
 
-def _differ() -> Column:
-    return F.lower("v1") != F.lower("v2")
-
+def literal_pairs(
+    values1: DataFrame, values2: DataFrame, threshold: float, keys: list[str], as_keys: bool = False
+) -> DataFrame:
+    """``(keys, v1, v2, score)`` of all value pairs with ``literal_sim`` strictly above the threshold.
 
-def literal_pairs(values1: DataFrame, values2: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """``(keys, v1, v2, score)`` of all value pairs with ``literal_sim`` strictly above the threshold."""
+    With ``as_keys`` the values are given by their ``short_key``.
+    """
     left, right = stored(with_tokens(values1)), stored(with_tokens(values2))
-    equal = equal_pairs(left, right, keys).withColumn("score", F.lit(1.0))
+    equal = equal_pairs(left, right, keys, "k").withColumn("score", F.lit(1.0))
 
-    left, right = left.filter("not blank"), right.filter("not blank")
-    many1, many2 = left.filter("n > 1"), right.filter("n > 1")
+    worth = [d.filter("not blank") for d in (left, right)]
+    many1, many2 = (by_key(d.filter("n > 1")) for d in worth)
     words = [stored(_vocabulary(d)) for d in (many1, many2)]
     sims = stored(edit_pairs(*words, threshold, [], strict=False).toDF("x", "y"))
     score = text.jaccard_ratio(
@@ -218,21 +243,23 @@ def literal_pairs(values1: DataFrame, values2: DataFrame, threshold: float, keys
     )
     worded = (
         token_pairs(many1, many2, sims, threshold, keys)
-        .filter(_differ())
         .withColumn("score", score)
         .filter(F.col("score") > threshold)
         .select(*keys, "v1", "v2", "score")
         .distinct()
     )
 
-    one1, one2 = left.filter("n <= 1"), right.filter("n <= 1")
+    one1, one2 = (d.filter("n <= 1").select(*keys, "v") for d in worth)
+    long1, long2 = (d.filter("n > 1").select(*keys, "v") for d in worth)
     edited = (
-        edit_pairs(one1, right, threshold, keys, strict=True)
-        .unionByName(edit_pairs(_near_length(many1, one2, threshold, keys), one2, threshold, keys, strict=True))
-        .filter(_differ())
+        edit_pairs(one1, one2.unionByName(_near_length(long2, one1, threshold, keys)), threshold, keys, strict=True)
+        .unionByName(edit_pairs(_near_length(long1, one2, threshold, keys), one2, threshold, keys, strict=True))
         .withColumn("score", text.string_distance_sim("v1", "v2"))
+        .select(*keys, short_key("v1").alias("v1"), short_key("v2").alias("v2"), "score")
     )
-    return equal.unionByName(worded).unionByName(edited)
+    alike = worded.unionByName(edited).join(equal.drop("score"), [*keys, "v1", "v2"], "left_anti")
+    found = equal.unionByName(alike)
+    return found if as_keys else texts_of(found, left, right, keys)
 
 
 def _near_length(values: DataFrame, others: DataFrame, threshold: float, keys: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from tripleweave.operators.blocking import (
 from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.evaluate import compression
 from tripleweave.operators.filters import drop_meta_predicates, dedupe_triples, entity_names, literal_triples, non_reflexive
-from tripleweave.operators.matching import match_leaves, partner_values, similar_values, without_lowest
+from tripleweave.operators.matching import keyed, match_leaves, partner_values, similar_values, without_lowest
 from tripleweave.operators.neighbours import neighbour_triples, substitute_matched
 from tripleweave.operators.predicates import equal_predicates, match_predicates, match_terms
 
@@ -70,7 +70,9 @@ def similar_subjects(side1: DataFrame, side2: DataFrame) -> DataFrame:
     Values are joined by similarity per block and carried back to the subjects; the block table is not
     formed. The result has one row for every pair that shares a value, however frequent that value is.
     """
-    partners = partner_values(side1, similar_values(side1, side2))
+    similar = similar_values(side1, side2, as_keys=True)
+    side1, side2 = keyed(side1), keyed(side2)
+    partners = partner_values(side1, similar)
     rows = partners.join(side2.select(F.col("s").alias("s2"), "b", "v"), ["b", "v"])
     return non_reflexive(rows).groupBy("s1", "s2").agg(F.max("top").alias("score"))
 

@@ -179,7 +179,7 @@ def camel_words(spark, sf):
     return part.select("name", F.array_join(text.split_camel("name"), "|").alias("words"))
 
 
-@register()
+@register(q.stems("SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS word FROM documents") + " WHERE word <> ''")
 def stem_vocabulary(spark, sf):
     """Stems of all words of the documents."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -103,3 +103,58 @@ def name_sim(a: str, b: str, t1: str, t2: str) -> str:
         f"(CASE WHEN {a} <> '' AND lower({a}) = lower({b}) THEN 1.0 WHEN len({t1}) > 1 OR len({t2}) > 1 "
         f"THEN {ratio(hits(t1, t2, EQUAL_WORDS), f'len({t1})', f'len({t2})')} ELSE 0.0 END)"
     )
+
+
+def stems(words: str) -> str:
+    """``(word, stem)`` for a query with a column ``word``: one step of the stemmer per subquery."""
+    from tripleweave.functions import stem as rules
+
+    def m0(x: str) -> str:
+        return f"regexp_matches({x}, '[aeiouy][^aeiouy]')"
+
+    def m1(x: str) -> str:
+        return f"regexp_matches({x}, '[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]')"
+
+    def short_end(x: str) -> str:
+        return f"regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+
+    def double_end(x: str) -> str:
+        return f"(length({x}) > 2 AND right({x}, 1) = left(right({x}, 2), 1) AND NOT regexp_matches(right({x}, 1), '[aeiouy]'))"
+
+    def swap(table: list[tuple[str, str]], long_enough) -> str:
+        cases = []
+        for ending, new in table:
+            part = f"left(w, length(w) - {len(ending)})"
+            held = f"{part} || 'e'" if ending == "er" else part
+            cases.append(f"WHEN w LIKE '%{ending}' THEN CASE WHEN {long_enough(f'({held})')} THEN {part} || '{new}' ELSE w END")
+        return f"CASE WHEN length(w) < 3 THEN w {' '.join(cases)} ELSE w END"
+
+    def repaired(x: str) -> str:
+        return (
+            f"CASE WHEN {x} LIKE '%at' OR {x} LIKE '%bl' OR {x} LIKE '%iz' THEN {x} || 'e' "
+            f"WHEN {double_end(x)} AND right({x}, 1) NOT IN ('l', 's', 'z') THEN left({x}, length({x}) - 1) "
+            f"WHEN {m0(x)} AND NOT {m1(x)} AND {short_end(x)} THEN {x} || 'e' ELSE {x} END"
+        )
+
+    def vowel(x: str) -> str:
+        return f"regexp_matches({x}, '[aeiouy]')"
+
+    ed, ing = "left(w, length(w) - 2)", "left(w, length(w) - 3)"
+    steps = [
+        "regexp_replace(regexp_replace(w, '([aeiou])y', '\\1Y', 'g'), '^y', 'Y')",
+        f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN {ed} WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {m0(ing)} THEN left(w, length(w) - 1) ELSE w END "
+        f"WHEN w LIKE '%ed' THEN CASE WHEN {vowel(ed)} THEN {repaired(f'({ed})')} ELSE w END "
+        f"WHEN w LIKE '%ing' AND {vowel(ing)} THEN {repaired(f'({ing})')} ELSE w END",
+        f"CASE WHEN w LIKE '%Y' OR (w LIKE '%y' AND {vowel('left(w, length(w) - 1)')}) THEN left(w, length(w) - 1) || 'i' ELSE w END",
+        swap(rules._SECOND, m0),
+        swap(rules._THIRD, m0),
+        swap(rules._FOURTH, m1),
+        f"CASE WHEN length(w) >= 3 AND w LIKE '%e' AND ({m1('w')} OR ({m0('w')} AND NOT {short_end('left(w, length(w) - 1)')})) "
+        "THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN length(w) >= 3 AND w LIKE '%l' AND {double_end('w')} AND {m1('w')} THEN left(w, length(w) - 1) ELSE w END",
+    ]
+    query = f"SELECT word, word AS w FROM ({words})"
+    for step in steps:
+        query = f"SELECT word, CASE WHEN length(word) < 3 THEN word ELSE {step} END AS w FROM ({query})"
+    return f"SELECT word, w AS stem FROM ({query})"

@@ -123,19 +123,19 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: list[s
         .select(*keys, "v", "len", "pos", F.expr("substring(v, pos, q)").alias("gram"))
     )
 
+    # Pieces and windows grew by exploding, which size estimates do not see: never broadcast them, and
+    # leave frequent ones to the skew handling of the sort-merge join.
     on = [*keys, "gram"]
     load = windows.groupBy(*on).agg(F.count(F.lit(1)).alias("load"))
     rank = Window.partitionBy(*keys, "v").orderBy(F.coalesce("load", F.lit(0)), "pos")
     wanted = (
-        pieces.join(load, on, "left")
+        pieces.join(load.hint("merge"), on, "left")
         .withColumn("rank", F.row_number().over(rank))
         .filter(F.col("rank") <= _edits(F.col("len"), threshold) + 1)
         .withColumn("place", F.row_number().over(Window.partitionBy(*keys, "v").orderBy("pos")))
         .filter(F.col("load").isNotNull())
         .drop("rank", "load")
     )
-    # Both sides grew by exploding, which size estimates do not see: never broadcast them, and leave
-    # frequent pieces to the skew handling of the sort-merge join.
     joined = side(wanted, on, 1).join(side(windows, on, 2).hint("merge"), on)
     shift = F.col("pos2") - F.col("pos1")
     from_right = F.abs(shift - (F.col("len2") - F.col("len1")))

@@ -47,7 +47,18 @@ def unpacked(content: bytes) -> bytes:
     """All members of a file, one after another; a file that isn't compressed stays as it is."""
     if content[:2] != b"\x1f\x8b":
         return content
-    return gzip.decompress(content)
+    out, at = [], 0
+    view = memoryview(content)
+    while at < len(content):
+        one = zlib.decompressobj(31)
+        while not one.eof:
+            part = view[at : at + 4096]
+            if not part:
+                raise ValueError("the last member is cut off")
+            out.append(one.decompress(part))
+            at += len(part)
+        at -= len(one.unused_data)
+    return b"".join(out)
 
 
 def base32_sha1(data: bytes) -> str:

@@ -31,7 +31,7 @@ class _Ends:
         """The farthest end up to ``target`` that is known; or, hopefully, that there may be."""
         k = bisect_right(self.known, target)
         at = self.known[k - 1]
-        if not hopeful or at == target or self.known[min(k, len(self.known) - 1)] in self.closed:
+        if not hopeful or at == target or k == len(self.known) or self.known[k] in self.closed:
             return at
         return target
 
@@ -48,6 +48,14 @@ class _Ends:
                 return out
         return None
 
+    def steps(self, capacity: int, shards: int, hopeful: bool) -> list[int]:
+        """As many greedy cuts as there are shards, wherever they get."""
+        out, at = [], 0
+        for _ in range(shards):
+            at = max(at, self.reach(at + capacity, hopeful))
+            out.append(at)
+        return out
+
     def least(self, low: int, shards: int, hopeful: bool) -> int:
         high = self.known[-1]
         low = min(low, high)
@@ -57,54 +65,53 @@ class _Ends:
         return low
 
 
-def capacity_and_cuts(ordered: DataFrame, shards: int, looked_at: int = LOOKED_AT) -> tuple[int, list[int]]:
-    """The smallest feasible capacity, and where to cut, in running sums of ``bytes`` over ``ordered``
-    (``before``: the sum before each group; ``bytes``: its size, at least 1).
-
-    The driver holds a bounded number of group ends. With them, the greedy check gives a capacity that surely does and
-    one below which surely none does; where their greedy cuts differ, it asks for more ends in between, until both
-    capacities are equal. Then cuts are put as near to equal shards as that capacity allows.
-    """
-    row = ordered.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
-    if row["total"] is None:
-        return 0, []
-    total, low = int(row["total"]), max(int(row["most"]), -(-int(row["total"]) // shards))
+def search(total: int, most: int, shards: int, looked_at: int, look) -> tuple[int, list[int]]:
+    """The smallest feasible capacity and where to cut. ``look(windows, step)`` gives, for every stretch of ``step``
+    from the first window on, the last group end that lies in a window, and how many ends do."""
+    low = max(most, -(-total // shards))
     ends = _Ends(total)
     windows = [(0, total)]
     while True:
         step = max(1, -(-sum(b - a for a, b in windows) // looked_at))
-        end = F.col("before") + F.col("bytes")
-        inside = F.lit(False)
-        for a, b in windows:
-            inside = inside | end.between(a + 1, b)
-        slot = (end - 1 - windows[0][0]) / F.lit(step)
-        rows = ordered.filter(inside).groupBy(F.floor(slot).alias("slot")).agg(F.max(end).alias("end"), F.count(F.lit(1)).alias("n"))
-        found = sorted((int(r["end"]), int(r["n"])) for r in rows.collect())
+        found = sorted(look(windows, step))
         ends.add([e for e, _ in found], [n for _, n in found])
         sure = ends.least(low, shards, False)
         hoped = ends.least(low, shards, True)
         if sure == hoped:
             return sure, _even_cuts(ends, sure, shards)
-        lows, highs = ends.cuts(hoped, shards, False), ends.cuts(sure, shards, True)
-        lows = lows or _pessimistic(ends, hoped, shards)
+        lows, highs = ends.steps(hoped, shards, False), ends.steps(sure, shards, True)
         windows = []
         for a, b in zip(lows, highs):
-            a, b = min(a, b), max(a, b)
-            left = ends.known[max(0, bisect_right(ends.known, a) - 1)]
-            right = ends.known[min(len(ends.known) - 1, bisect_left(ends.known, b + 1))]
+            left = ends.known[max(0, bisect_right(ends.known, min(a, b)) - 1)]
+            right = ends.known[min(len(ends.known) - 1, bisect_left(ends.known, max(a, b) + 1))]
             if windows and left <= windows[-1][1]:
                 windows[-1] = (windows[-1][0], max(right, windows[-1][1]))
             else:
                 windows.append((left, right))
 
 
-def _pessimistic(ends: _Ends, capacity: int, shards: int) -> list[int]:
-    """Greedy cuts that may stop short of the end."""
-    out, at = [], 0
-    for _ in range(shards):
-        at = ends.reach(at + capacity, False)
-        out.append(at)
-    return out
+def capacity_and_cuts(ordered: DataFrame, shards: int, looked_at: int = LOOKED_AT) -> tuple[int, list[int]]:
+    """The smallest feasible capacity, and where to cut, in running sums of ``bytes`` over ``ordered``
+    (``before``: the sum before each group; ``bytes``: its size, at least 1).
+
+    The driver holds a bounded number of group ends. With them, the greedy check gives a capacity that surely does and
+    one below which surely none does; where their greedy cuts differ, it asks for more ends in between, until both
+    capacities are equal. Then cuts are put as near to equal shards as that capacity allows.
+    """
+    row = ordered.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
+    if row["total"] is None:
+        return 0, []
+
+    def look(windows: list[tuple[int, int]], step: int) -> list[tuple[int, int]]:
+        end = F.col("before") + F.col("bytes")
+        inside = F.lit(False)
+        for a, b in windows:
+            inside = inside | end.between(a + 1, b)
+        slot = F.floor((end - 1 - windows[0][0]) / F.lit(step))
+        rows = ordered.filter(inside).groupBy(slot.alias("slot")).agg(F.max(end).alias("end"), F.count(F.lit(1)).alias("n"))
+        return [(int(r["end"]), int(r["n"])) for r in rows.collect()]
+
+    return search(int(row["total"]), int(row["most"]), shards, looked_at, look)
 
 
 def _even_cuts(ends: _Ends, capacity: int, shards: int) -> list[int]:

@@ -22,10 +22,11 @@ class _Ends:
         self.known = [0, total]
         self.closed: set[int] = set()  # known ends with no unknown one right before them
 
-    def add(self, ends: list[int], counts: list[int]) -> None:
-        """``counts``: groups from the known end before each end up to it."""
-        self.known = sorted({*self.known, *ends})
-        self.closed.update(e for e, n in zip(ends, counts) if n == 1)
+    def add(self, found: list[tuple[int, int, int]]) -> None:
+        """First and last end, and the number of ends, of stretches without a gap between them."""
+        self.known = sorted({*self.known, *(e for first, last, _ in found for e in (first, last))})
+        self.closed.update(first for first, _, _ in found)
+        self.closed.update(last for _, last, n in found if n <= 2)
 
     def reach(self, target: int, hopeful: bool) -> int:
         """The farthest end up to ``target`` that is known; or, hopefully, that there may be."""
@@ -67,14 +68,13 @@ class _Ends:
 
 def search(total: int, most: int, shards: int, looked_at: int, look) -> tuple[int, list[int]]:
     """The smallest feasible capacity and where to cut. ``look(windows, step)`` gives, for every stretch of ``step``
-    from the first window on, the last group end that lies in a window, and how many ends do."""
+    from the first window on, the first and the last group end that lie in a window, and how many do."""
     low = max(most, -(-total // shards))
     ends = _Ends(total)
-    windows = [(0, total)]
+    windows, step = [(0, total)], 2 * total
     while True:
-        step = max(1, -(-sum(b - a for a, b in windows) // looked_at))
-        found = sorted(look(windows, step))
-        ends.add([e for e, _ in found], [n for _, n in found])
+        step = max(1, min(step // 2, -(-sum(b - a for a, b in windows) // looked_at)))
+        ends.add(look(windows, step))
         sure = ends.least(low, shards, False)
         hoped = ends.least(low, shards, True)
         if sure == hoped:
@@ -102,14 +102,16 @@ def capacity_and_cuts(ordered: DataFrame, shards: int, looked_at: int = LOOKED_A
     if row["total"] is None:
         return 0, []
 
-    def look(windows: list[tuple[int, int]], step: int) -> list[tuple[int, int]]:
+    def look(windows: list[tuple[int, int]], step: int) -> list[tuple[int, int, int]]:
         end = F.col("before") + F.col("bytes")
         inside = F.lit(False)
         for a, b in windows:
             inside = inside | end.between(a + 1, b)
         slot = F.floor((end - 1 - windows[0][0]) / F.lit(step))
-        rows = ordered.filter(inside).groupBy(slot.alias("slot")).agg(F.max(end).alias("end"), F.count(F.lit(1)).alias("n"))
-        return [(int(r["end"]), int(r["n"])) for r in rows.collect()]
+        rows = ordered.filter(inside).groupBy(slot.alias("slot")).agg(
+            F.min(end).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("n")
+        )
+        return [(int(r["first"]), int(r["last"]), int(r["n"])) for r in rows.collect()]
 
     return search(int(row["total"]), int(row["most"]), shards, looked_at, look)
 

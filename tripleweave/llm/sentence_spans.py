@@ -17,8 +17,9 @@ from tripleweave.llm.common import stored, text_runs
 SPAN_SENTENCES = 2
 SPAN_WORDS = 12
 
-#: Sentences end with . ! ? (and closing quotes or brackets) before white space, or with a line.
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
+#: Sentences end with . ! ? (and closing quotes or brackets) before white space, or with a line. Their clauses, which
+#: end with , ; or : there, count as sentences of their own, so that a passage's cut-off ends are short.
+_END = re.compile(r"[.!?,;:]+[\"')\]]*\s+|\n\s*")
 
 _digest, _run_digest = xxhash.xxh3_128_digest, xxhash.xxh3_128_intdigest
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tripleweave.llm.common import offsets_of, take_lists, text_runs, typed
 
 #: Different pre-tokens whose ids a worker remembers.
-CACHE_SLICES = 600_000
+CACHE_SLICES = 400_000
 #: Longer pre-tokens are merged one by one with a heap.
 WIDE = 48
 #: Characters per row of the scan.

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tripleweave.operators.checkpoints import stored
 
 #: Bytes of text that one step inside a task works on at once; a longer single text is taken alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def row_runs(sizes: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from tripleweave.llm.common import list_offsets, offsets_of, take_lists
 
 #: Different words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 _encoders: dict[str, WordEncoder] = {}
 

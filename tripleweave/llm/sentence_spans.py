@@ -30,7 +30,7 @@ _LAST = (1 << 63) - 1
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the text's sentences, each with what ends it and the white space behind; together they are the text."""
     cuts = [m.end() for m in _END.finditer(text)]
-    cuts = [0, *cuts] if not cuts or cuts[-1] == len(text) else [0, *cuts, len(text)]
+    cuts = [0, *cuts] if cuts and cuts[-1] == len(text) else [0, *cuts, len(text)]
     return list(zip(cuts, cuts[1:]))
 
 

@@ -97,3 +97,16 @@ def test_predicate_histogram(spark, graph, tmp_path):
     assert [r.triples for r in rows] == sorted((r.triples for r in rows), reverse=True)
     tables.write_predicate_histogram(triples, str(tmp_path / "histogram"))
     assert spark.read.csv(str(tmp_path / "histogram"), sep="\t").count() == len(rows)
+
+
+def test_statement_shapes(spark):
+    from tripleweave.sources.ntriples import parse_statements, rejected_lines
+
+    shapes = {
+        '<a><b>"x".': '"x"', '<a> <b> "x" . # note': '"x"', '<a> <b> "x" <g> .': '"x"', "<a> <b> Acme Inc. .": "Acme Inc.",
+        '<a> <b> "say \\"hi\\" . # now"@en .': '"say \\"hi\\" . # now"@en', "<a> <b> C# language .": "C# language", "<a>\t<b>\t<c>": "<c>",
+    }
+    bad = ['<a> "x" .', '<a> <b> "open .', "<a> <b> ."]
+    lines = spark.createDataFrame([(x,) for x in [*shapes, *bad, "# c", " "]], "value string")
+    assert [r["o"] for r in parse_statements(lines).collect()] == list(shapes.values())
+    assert [r[0] for r in rejected_lines(lines).collect()] == bad

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; elsewhere a missing setting is
-    an error, since a machine-local folder is lost with its executor.
-    """
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tripleweave-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tripleweave-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -19,10 +19,6 @@ from tripleweave.operators.checkpoints import stored
 
 # Pointer names, parts of speech in lookup order, endings of inflected forms.
 HYPERNYM, HYPONYM, ANTONYM = "hypernym", "hyponym", "antonym"
-POINTERS = [
-    "hyponym", "hypernym", "part_meronym", "part_holonym", "substance_meronym", "substance_holonym",
-    "member_holonym", "entailment", "entailed_by", "antonym",
-]
 PARTS_OF_SPEECH = ["noun", "verb", "adj", "adv"]
 ENDINGS = {
     "noun": [("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"),
@@ -323,15 +319,15 @@ def taxonomy_similarity(pairs: DataFrame, paths: DataFrame, freq: DataFrame) ->
 
 
 def synset_similarity(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All eight measures of synset pairs ``(left, right)`` that have a common ancestor."""
+    """All eight measures of synset pairs ``(left, right)``; those that need a common ancestor are 0 without one."""
     pairs = stored(pairs.select("left", "right").distinct())
     ends = pairs.select(F.explode(F.array("left", "right")).alias("synset"))
     paths = stored(paths_of_all_nodes(hypernym_paths(ends.unionByName(lexicon.freq.select("synset")), lexicon.pointers)))
     return (
-        taxonomy_similarity(pairs, paths, lexicon.freq)
+        pairs.join(taxonomy_similarity(pairs, paths, lexicon.freq), ["left", "right"], "left")
         .join(_gloss_overlap(pairs, lexicon.synsets), ["left", "right"], "left")
         .join(hirst_st_onge(pairs, lexicon.pointers), ["left", "right"], "left")
-        .fillna(0.0, ["lesk", "hso"])
+        .fillna(0.0)
     )
 
 

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from tripleweave.functions import terms
 from tripleweave.operators.filters import dedupe_triples, drop_meta_predicates
 
-# Fixed value: one statement per line, terms divided by blanks or tabs, closing dot optional.
-_STATEMENT = r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(.*?)[ \t]*\.?\s*$"
+# One statement per line: blanks between terms are optional where a term's end shows, a graph term may follow, then
+# the closing dot and a comment, both optional. An object that is no URI, blank node or quoted literal is bare text.
+_URI, _NODE = r"<[^>]*>", r"_:[^\s<\"]+"
+_QUOTED = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?'
+_STATEMENT = rf'^\s*({_URI}|{_NODE})\s*({_URI})\s*({_URI}|{_NODE}|{_QUOTED}|[^"<\s.].*?)\s*(?:{_URI}\s*)?(?:\.\s*(?:#.*)?)?$'
+_NO_STATEMENT = r"^\s*(?:#.*)?$"
 
 
 def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Statement lines to triples. Comment lines, empty lines and lines of another shape are left out."""
+    """Statement lines to triples. Comments and empty lines say nothing; for others see ``rejected_lines``."""
     line = F.col(column)
     parts = [F.regexp_extract(line, _STATEMENT, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]
-    return (
-        lines.filter(~line.rlike(r"^\s*#") & line.rlike(_STATEMENT)).select(*parts).filter(F.col("o") != "")
-    )
+    return lines.filter(~line.rlike(_NO_STATEMENT) & line.rlike(_STATEMENT)).select(*parts)
+
+
+def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are neither statements nor empty nor comments, as they are."""
+    line = F.col(column)
+    return lines.filter(~line.rlike(_NO_STATEMENT) & ~line.rlike(_STATEMENT))
 
 
 def read_ntriples(spark: SparkSession, path: str, sep: str | None = None, drop_meta: bool = False) -> DataFrame:

@@ -77,15 +77,15 @@ lcs AS MATERIALIZED (SELECT a, b, arg_min(ancestor, d2) AS common, min(d1 + d2)
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(list_filter(string_split(rtrim({g}, ';'), ';'), lambda x: NOT (trim(x) LIKE '\"%\"')), ';')), '[^a-z0-9]+'), lambda w: w <> ''))"
 
-MEASURES = SQL + f""", measures AS MATERIALIZED (SELECT a, b, 1.0 / (len + 1) AS path, -ln((len + 1) / 40.0) AS lch,
-  2.0 * (dc.d + 1) / (da.d + db.d + 2) AS wup, ic.ic AS res,
-  CASE WHEN ia.ic > 0 AND ib.ic > 0 THEN 2.0 * ic.ic / (ia.ic + ib.ic) ELSE 0.0 END AS lin,
-  CASE WHEN NOT (ia.ic > 0 AND ib.ic > 0) THEN 0.0 WHEN ia.ic + ib.ic - 2.0 * ic.ic <= 0 THEN 1.0 / -ln((ic.root_freq - 0.01) / ic.root_freq)
-    ELSE 1.0 / (ia.ic + ib.ic - 2.0 * ic.ic) END AS jcn,
-  len(list_intersect({_WORDS.format(g='na.gloss')}, {_WORDS.format(g='nb.gloss')}))::DOUBLE AS lesk,
-  CASE WHEN len > 5 THEN 0.0::DOUBLE ELSE 8.0::DOUBLE - len - 1 END AS hso
-  FROM lcs JOIN depth da ON da.synset = a JOIN depth db ON db.synset = b JOIN depth dc ON dc.synset = common
-  JOIN ic ON ic.synset = common JOIN ic ia ON ia.synset = a JOIN ic ib ON ib.synset = b
-  JOIN nodes na ON na.synset = a JOIN nodes nb ON nb.synset = b),
+MEASURES = SQL + f""", measures AS MATERIALIZED (SELECT a, b, coalesce(1.0 / (len + 1), 0.0) AS path, coalesce(-ln((len + 1) / 40.0), 0.0) AS lch,
+  coalesce(2.0 * (dc.d + 1) / (da.d + db.d + 2), 0.0) AS wup, coalesce(ic.ic, 0.0) AS res,
+  CASE WHEN ia.ic > 0 AND ib.ic > 0 THEN coalesce(2.0 * ic.ic / (ia.ic + ib.ic), 0.0) ELSE 0.0 END AS lin,
+  coalesce(CASE WHEN NOT (ia.ic > 0 AND ib.ic > 0) THEN 0.0 WHEN ia.ic + ib.ic - 2.0 * ic.ic <= 0 THEN 1.0 / -ln((ic.root_freq - 0.01) / ic.root_freq)
+    ELSE 1.0 / (ia.ic + ib.ic - 2.0 * ic.ic) END, 0.0) AS jcn,
+  coalesce(len(list_intersect({_WORDS.format(g='na.gloss')}, {_WORDS.format(g='nb.gloss')})), 0)::DOUBLE AS lesk,
+  CASE WHEN len IS NULL OR len > 5 THEN 0.0::DOUBLE ELSE 8.0::DOUBLE - len - 1 END AS hso
+  FROM pairs LEFT JOIN lcs USING (a, b) LEFT JOIN depth da ON da.synset = a LEFT JOIN depth db ON db.synset = b
+  LEFT JOIN depth dc ON dc.synset = common LEFT JOIN ic ON ic.synset = common LEFT JOIN ic ia ON ia.synset = a LEFT JOIN ic ib ON ib.synset = b
+  LEFT JOIN nodes na ON na.synset = a LEFT JOIN nodes nb ON nb.synset = b),
 mean AS (SELECT a, b, floor(((path + lch / 3.6888794541139363 + wup + res / 8.993171126404793 + jcn / 12876699.500047589 + lin
   + lesk / 19.0 + hso / 200.0) / 8.0) * 100.0 + 0.5) / 100.0 AS sim FROM measures)"""

@@ -15,7 +15,7 @@ from workloads.catalog import QUERIES  # noqa: E402
 
 HEADLINE = [
     "prepared_triples", "term_values", "cleaned_texts", "stem_vocabulary", "graph_profile", "type_histogram",
-    "predicate_frequency", "match_predicates", "rank_predicates", "compare_literals", "compare_texts",
+    "predicate_frequency", "match_predicates", "rank_predicates", "compare_literals", "compare_entities",
     "cluster_level_stats", "common_predicate_counts", "shared_value_ranking", "align_entities", "align_exact",
     "align_lexical", "deduce_relations", "neighbour_triples", "substitute_matched", "encode_triples",
     "evaluate_alignment", "synset_similarity", "word_similarity",

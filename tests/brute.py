@@ -39,7 +39,7 @@ def literal_sim(a: str, b: str, th: float) -> float:
     ca, cb = clean(a), clean(b)
     if not ca or not cb:
         return 0.0
-    ta, tb = ca.split(" ")[:5], cb.split(" ")[:5]
+    ta, tb = ca.split(" "), cb.split(" ")
     if len(ta) > 1 and len(tb) > 1:
         return ratio(sum(edit_sim(x, y) >= th for x in ta for y in tb), len(ta), len(tb))
     return edit_sim(a, b)

@@ -5,7 +5,7 @@ import pytest
 import tiny
 from pyspark.sql import functions as F
 
-from tripleweave.operators import blocking, key_sets, matching, predicates
+from tripleweave.operators import blocking, key_sets, matching, predicates, value_join
 from tripleweave.operators.filters import literal_triples
 from tripleweave.plans import align
 
@@ -118,6 +118,31 @@ def test_similar_values_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_texts_equal_brute_force(spark, seed):
+    """All words count: behind the fifth one, and repeated ones as often as they are there."""
+    rng = random.Random(seed)
+    base = " ".join(rng.choice(WORDS) for _ in range(40))
+    texts = {" ".join(rng.choices(WORDS + [f"rare{i}x{i}" for i in range(60)], k=rng.randint(2, 45))) for _ in range(12)}
+    texts |= {base, "red gear bolt plate york " + base, base + " trailing", "one two three four five six", "one two three four five 7777"}
+    texts |= {"the " * 12 + "end", "the the end of", "single", "singles", "", "new york new york", "a-b"}
+    values = sorted(texts)
+    left, right = values[::2] + values[1:6], values[1::2] + values[:6]
+    frames = [spark.createDataFrame([(1, v) for v in sorted(set(d))], "b int, v string") for d in (left, right)]
+    grid = spark.createDataFrame([(a, b) for a in set(left) for b in set(right)], "v1 string, v2 string")
+
+    def plain(score):
+        return score if score == float("inf") else round(score, 6)
+
+    scored = {(r.v1, r.v2): plain(r.score) for r in value_join.literal_scores(grid, 0.7).collect()}
+    want = {(a, b): plain(brute.literal_sim(a, b, 0.7)) for a in set(left) for b in set(right)}
+    assert scored == want
+    for cut in (0.7, 0.3):
+        found = {(r.v1, r.v2): plain(r.score) for r in value_join.literal_pairs(*frames, cut, ["b"]).collect()}
+        near = {(a, b): plain(brute.literal_sim(a, b, cut)) for a in set(left) for b in set(right)}
+        assert found == {k: s for k, s in near.items() if s > cut}
+
+
 def test_key_sets_hit_every_match():
     """Any way to exceed the needed score is similar in all blocks of some planned set."""
     rng = random.Random(3)

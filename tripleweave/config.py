@@ -17,7 +17,6 @@ RELATION_THRESHOLD = 0.5  # relation names inside one merged graph, strict >
 PARENT_THRESHOLD = 0.93  # mean value score of a neighbour pair, strict >
 LEVEL_THRESHOLDS = {1: 0.95, 2: 0.90, 3: 0.80}  # by number of shared predicates
 LEVEL_DEFAULT = 0.70
-MAX_TOKENS = 5  # words of a name or value that are compared
 
 # Upper ends used to bring the lexicon measures to [0, 1].
 MAX_LCH = 3.6888794541139363

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripleweave.config import MAX_TOKENS
 from tripleweave.functions.terms import _col
 
 # Patterns that define what a word is.
@@ -34,13 +33,13 @@ def split_camel(c: Column | str) -> Column:
 
 
 def value_tokens(c: Column | str) -> Column:
-    """The leading words of a value that take part in comparison."""
-    return F.slice(F.split(clean_text(c), " "), 1, MAX_TOKENS)
+    """The words of a value."""
+    return F.split(clean_text(c), " ")
 
 
 def name_tokens(c: Column | str) -> Column:
-    """The leading words of a predicate name that take part in comparison."""
-    return F.slice(split_camel(clean_text(c)), 1, MAX_TOKENS)
+    """The words of a predicate name."""
+    return split_camel(clean_text(c))
 
 
 def string_distance_sim(a: Column | str, b: Column | str) -> Column:
@@ -98,7 +97,10 @@ def literal_sim_of_tokens(a: Column, b: Column, t1: Column, t2: Column, threshol
 
 
 def literal_sim(a: Column | str, b: Column | str, threshold: float) -> Column:
-    """Similarity of two values: word overlap when both have several words, else edit similarity."""
+    """Similarity of two values: word overlap when both have several words, else edit similarity.
+
+    For rows of short values; ``value_join.literal_scores`` joins the words of long ones.
+    """
     a, b = _col(a), _col(b)
     return literal_sim_of_tokens(a, b, value_tokens(a), value_tokens(b), threshold)
 

@@ -24,7 +24,7 @@ from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.filters import above, non_reflexive, not_null_values
 from tripleweave.operators.key_sets import plan_batches
 from tripleweave.operators.predicates import lexical_pairs
-from tripleweave.operators.value_join import exact_pairs, literal_pairs, short_key
+from tripleweave.operators.value_join import exact_pairs, literal_pairs, literal_scores, short_key
 
 _FEW_ROWS = (1, 2, 4, 8)  # steps of a bound on the statements of one subject in one block
 _FEW_PARTNERS = 4096  # likewise for the similar values of one subject in one block
@@ -54,13 +54,7 @@ def score_blocked(
         return rows.filter(F.col("literal1") == F.col("literal2")).select("s1", "s2", F.lit(1.0).alias("score"))
     pairs = rows.select(F.col("literal1").alias("v1"), F.col("literal2").alias("v2")).distinct()
     if mode == "string":
-        worded = pairs.select(
-            "*", text.value_tokens("v1").alias("tokens1"), text.value_tokens("v2").alias("tokens2")
-        )
-        score = text.literal_sim_of_tokens(
-            F.col("v1"), F.col("v2"), F.col("tokens1"), F.col("tokens2"), threshold
-        )
-        scored = worded.select("v1", "v2", score.alias("score"))
+        scored = literal_scores(pairs, threshold)
     elif mode == "lexical":
         scored = lexical_pairs(
             pairs.select(F.col("v1").alias("v")).distinct(), pairs.select(F.col("v2").alias("v")).distinct(),

@@ -22,7 +22,18 @@ from tripleweave.config import (
 from tripleweave.functions import text
 from tripleweave.functions.terms import lower_ending, uri_ending
 from tripleweave.operators.checkpoints import stored
-from tripleweave.operators.value_join import by_key, equal_pairs, side, texts_of, token_pairs, with_tokens
+from tripleweave.operators.value_join import (
+    by_key,
+    equal_pairs,
+    in_other_words,
+    literal_scores,
+    side,
+    texts_of,
+    token_pairs,
+    with_hits,
+    with_tokens,
+    word_counts,
+)
 
 
 def similar_words(words1: DataFrame, words2: DataFrame, sims: DataFrame | None, threshold: float) -> DataFrame:
@@ -46,17 +57,7 @@ def _scored_by_words(
     """Word-overlap scores of candidate pairs (both with ``tokens``), counted as joined word rows."""
     words = stored(similar_words(_words(left), _words(right), sims, word_threshold).select("x", "y").distinct())
     pairs = token_pairs(left, right, words, cut, keys).filter("n1 > 1 or n2 > 1")
-    pairs = pairs.select(*keys, "v1", "n1", "v2", "n2").distinct()
-    w1 = left.select(*keys, F.col("v").alias("v1"), F.explode("tokens").alias("x"))
-    w2 = right.select(*keys, F.col("v").alias("v2"), F.explode("tokens").alias("y"))
-    return (
-        pairs.join(w1, [*keys, "v1"])
-        .join(words, "x")
-        .join(w2, [*keys, "v2", "y"])
-        .groupBy(*keys, "v1", "n1", "v2", "n2")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .select(*keys, "v1", "v2", text.jaccard_ratio(F.col("hits"), F.col("n1"), F.col("n2")).alias("score"))
-    )
+    return pairs.select(*keys, "v1", "v2", text.jaccard_ratio(F.col("hits"), F.col("n1"), F.col("n2")).alias("score"))
 
 
 def lexical_pairs(
@@ -103,28 +104,20 @@ def score_pairs(
 ) -> DataFrame:
     """``(v1, v2, score)`` of given pairs, dissimilar ones included; the measures are those of ``lexical_pairs``.
 
-    Word pairs of each value pair (at most 25) are looked up in ``sims`` by an equi-join and counted.
+    Words are joined with their counts; word pairs are those of ``similar_words``.
     """
     tokens = text.name_tokens if names else text.value_tokens
     listed = stored(
-        pairs.select("v1", "v2").distinct().select("v1", "v2", tokens("v1").alias("t1"), tokens("v2").alias("t2"))
-    )
-    words = listed.select("v1", "v2", F.explode("t1").alias("x"), "t2").select(
-        "v1", "v2", "x", F.explode("t2").alias("y")
+        pairs.select("v1", "v2").dropna().distinct().select("v1", "v2", tokens("v1").alias("t1"), tokens("v2").alias("t2"))
     )
-    alike = text.ci_equal("x", "y")
-    if sims is None:
-        whole = listed.select("v1", "v2", F.lit(0.0).alias("whole"))
-        near = words.withColumn("hit", alike)
-    else:
-        known = sims.select("x", "y", "sim").distinct()
-        near = words.join(known, ["x", "y"], "left").withColumn(
-            "hit", alike | (F.coalesce("sim", F.lit(0.0)) >= word_threshold)
-        )
-        whole = listed.join(known.toDF("v1", "v2", "sim"), ["v1", "v2"], "left").select(
-            "v1", "v2", F.coalesce("sim", F.lit(0.0)).alias("whole")
-        )
-    hits = near.groupBy("v1", "v2").agg(F.count_if("hit").alias("hits"))
+    left, right = (listed.select(F.col(f"v{i}").alias("v"), F.col(f"t{i}").alias("tokens")).distinct() for i in (1, 2))
+    near = stored(similar_words(_words(left), _words(right), sims, word_threshold).select("x", "y").distinct())
+    words = stored(word_counts(left, [], "x")), stored(in_other_words(word_counts(right, [], "y"), near, []))
+    hits = with_hits(listed.select("v1", "v2"), *words, [])
+    whole = listed.select("v1", "v2", F.lit(0.0).alias("whole"))
+    if sims is not None:
+        known = sims.groupBy(F.col("x").alias("v1"), F.col("y").alias("v2")).agg(F.max("sim").alias("whole"))
+        whole = listed.select("v1", "v2").join(known, ["v1", "v2"])
     n1, n2 = F.size("t1"), F.size("t2")
     several = (n1 > 1) | (n2 > 1) if names else (n1 > 1) & (n2 > 1)
 
@@ -134,8 +127,8 @@ def score_pairs(
     score = F.when(text.ci_equal("v1", "v2"), 1.0)
     if not names:
         score = score.when(blank("t1") | blank("t2"), 0.0)
-    score = score.when(several, text.jaccard_ratio(F.col("hits"), n1, n2)).otherwise(F.col("whole"))
-    return listed.join(hits, ["v1", "v2"]).join(whole, ["v1", "v2"]).select("v1", "v2", score.alias("score"))
+    score = score.when(several, text.jaccard_ratio(F.coalesce("hits", F.lit(0)), n1, n2)).otherwise(F.coalesce("whole", F.lit(0.0)))
+    return listed.join(hits, ["v1", "v2"], "left").join(whole, ["v1", "v2"], "left").select("v1", "v2", score.alias("score"))
 
 
 def predicates_equal(pairs: DataFrame, threshold: float, sims: DataFrame | None = None) -> DataFrame:
@@ -161,7 +154,7 @@ def value_scores(pairs: DataFrame, limits: Thresholds, sims: DataFrame | None =
         "v1", "v2", F.coalesce(raised, F.lit(0.0)).alias("score")
     )
     mixed = both.filter(marked1 != marked2).select("v1", "v2", F.lit(0.0).alias("score"))
-    texts = both.filter(~marked1 & ~marked2).select("v1", "v2", text.literal_sim("v1", "v2", limits.string).alias("score"))
+    texts = literal_scores(both.filter(~marked1 & ~marked2), limits.string)
     return uris.unionByName(mixed).unionByName(texts)
 
 

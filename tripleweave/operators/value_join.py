@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleweave.config import MAX_TOKENS
 from tripleweave.functions import text
 from tripleweave.operators.checkpoints import spread, stored
 
@@ -149,75 +148,74 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: float, keys: list[s
 # --- shared words --------------------------------------------------------------------------------------
 
 
-def _least_hits(n1: int, n2: int, threshold: float) -> int:
-    """Fewest word hits with which ``hits / (n1 + n2 - hits)`` can reach the threshold."""
-    return math.floor(threshold * (n1 + n2) / (1.0 + threshold) - _EPS) + 1
+def word_counts(values: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``(keys, v, name, c)``: the different words of each value and how often it has them."""
+    words = values.select(*keys, "v", F.explode("tokens").alias(name)).filter(F.col(name) != "")
+    return words.groupBy(*keys, "v", name).agg(F.count(F.lit(1)).alias("c"))
 
 
-def _probe_table(threshold: float) -> list[list[int]]:
-    """How many of its rarest words a value of ``n1`` words must look up to meet partners of ``n2`` words."""
+def in_other_words(words2: DataFrame, sims: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, v, x, c)``: how many words of each right value are similar to the left word ``x``."""
+    return words2.join(sims, "y").groupBy(*keys, "v", "x").agg(F.sum("c").alias("c"))
 
-    def entry(n1: int, n2: int) -> int:
-        need = _least_hits(n1, n2, threshold)
-        return n1 - need + 1 if need <= min(n1, n2) else 0
 
-    return [[entry(i, j) if i and j else 0 for j in range(MAX_TOKENS + 1)] for i in range(MAX_TOKENS + 1)]
+def with_hits(pairs: DataFrame, words1: DataFrame, other2: DataFrame, keys: list[str]) -> DataFrame:
+    """``pairs`` that share similar words, with ``hits``, the number of similar word pairs.
+
+    Words are joined with their counts, so a pair costs as many rows as its left value has different words. Both
+    word tables should be stored: the planner then knows their true size and broadcasts them only when small.
+    """
+    on = [*keys, "x"]
+    return (
+        pairs.join(side(words1, on, 1), [*keys, "v1"])
+        .join(side(other2, on, 2), [*on, "v2"])
+        .groupBy(*pairs.columns)
+        .agg(F.sum(F.col("c1") * F.col("c2")).alias("hits"))
+    )
 
 
 def token_pairs(
     left: DataFrame, right: DataFrame, sims: DataFrame, threshold: float, keys: list[str]
 ) -> DataFrame:
-    """Candidate ``(keys, v1, tokens1, n1, v2, tokens2, n2)`` by similar words (rows may repeat).
-
-    ``sims(x, y)`` lists the similar words. When no word has two partners in the other value, the number
-    of hits is at most the shorter length, so all but a few words must be hit and it is enough to look up
-    the rarest ones. Values with a word-to-word double (``New York New York``) are found first and always
-    looked up by all words.
-    """
-    table = _probe_table(threshold)
-    limits = F.array(*[F.array(*[F.lit(x) for x in row]) for row in table])
-    most = F.array(*[F.lit(max(row)) for row in table])
+    """``(keys, v1, n1, v2, n2, hits)`` by similar words, with every pair whose overlap reaches the threshold.
 
-    def words(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, "v", "tokens", "n", F.posexplode("tokens").alias("pos", name))
+    ``sims(x, y)`` lists the similar words, once each. All words of a value count, however many it has.
 
-    words1, words2 = words(left, "x"), words(right, "y")
-    hits1 = words1.join(sims, "x")
-
-    doubled1 = (
-        hits1.groupBy(*keys, "v", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*keys, "v").distinct()
-    )
-    doubled2 = (
-        words2.join(sims, "y").groupBy(*keys, "v", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        .select(*keys, "v").distinct()
-    )
-
-    freq = words2.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("f"))
-    load = (
-        words1.select(*keys, "x").distinct().join(sims, "x").join(freq, [*keys, "y"])
-        .groupBy(*keys, "x").agg(F.sum("f").alias("load"))
-    )
-    rank = Window.partitionBy(*keys, "v").orderBy(F.coalesce("load", F.lit(0)), "pos")
+    A pair needs more than ``threshold (n1 + n2) / (1 + threshold)`` hits. Words are ordered by how many right values
+    they meet. If the rarest word that a pair shares is ``x``, all its hits lie in ``x`` and the more frequent ones,
+    which have at most ``held`` words, each with at most as many partners as any right value has for it (``most`` in
+    all) and as this right value has for any word (``m2``). So only words for which that is enough are looked up; a
+    repeated word weighs as often as it is there.
+    """
+    words1, words2 = stored(word_counts(left, keys, "x")), word_counts(right, keys, "y")
+    other2 = stored(in_other_words(words2, sims, keys))
+    share = threshold / (1.0 + threshold)
+
+    load = other2.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("load"), F.max("c").alias("peak"))
+    # the most words of one left value that are similar to the same right word; and the other way round
+    double1 = words1.join(sims, "x").groupBy(*keys, "v", "y").agg(F.sum("c").alias("c"))
+    double1 = double1.groupBy(*keys, "v").agg(F.max("c").alias("m"))
+    double2 = other2.groupBy(*keys, "v").agg(F.max("c").alias("m"))
+
+    order = Window.partitionBy(*keys, "v").orderBy(F.desc("load"), "x").rowsBetween(Window.unboundedPreceding, 0)
+    sized1 = left.select(*keys, "v", "n").join(double1, [*keys, "v"])
+    # a partner has more than n1 / (m (1 + 1 / threshold) - 1) words, or it could not take so many hits
+    shortest = F.col("n") / (F.col("m") / share - 1.0)
     rare = (
-        words1.join(load, [*keys, "x"], "left")
-        .withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("load").isNotNull() & (F.col("rank") <= F.element_at(most, F.col("n") + 1)))
-        .drop("load")
+        words1.join(load, [*keys, "x"])
+        .withColumn("held", F.sum("c").over(order))
+        .withColumn("most", F.sum(F.col("c") * F.col("peak")).over(order))
+        .join(sized1, [*keys, "v"])
+        .filter(F.col("most") >= share * (F.col("n") + shortest) - 1e-6)
+        .select(*keys, "x", "v", "n", "m", "held", "most")
     )
+    found = other2.select(*keys, "x", "v").join(right.select(*keys, "v", "n").join(double2, [*keys, "v"]), [*keys, "v"])
 
-    on = [*keys, "y"]
-    right_words = side(words2.drop("pos"), on, 2)
-    allowed = F.element_at(F.element_at(limits, F.col("n1") + 1), F.col("n2") + 1)
-    usual = side(rare.join(sims, "x").drop("pos", "x"), on, 1).join(right_words, on).filter(F.col("rank1") <= allowed)
-
-    left_doubled = hits1.join(doubled1, [*keys, "v"], "left_semi").drop("pos", "x")
-    right_doubled = words2.join(doubled2, [*keys, "v"], "left_semi").drop("pos")
-    from_left = side(left_doubled, on, 1).join(right_words, on)
-    from_right = side(hits1.drop("pos", "x"), on, 1).join(side(right_doubled, on, 2), on)
-
-    columns = [*keys, "v1", "tokens1", "n1", "v2", "tokens2", "n2"]
-    parts = [d.select(*columns) for d in (usual, from_left, from_right)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    on = [*keys, "x"]
+    need = F.floor((F.col("n1") + F.col("n2")) * share - _EPS) + 1
+    bound = F.least("most1", F.col("held1") * F.col("m2"), F.col("n1") * F.col("m2"), F.col("n2") * F.col("m1"))
+    met = side(rare, on, 1).join(side(found, on, 2).hint("merge"), on).filter(bound >= need)
+    return with_hits(met.select(*keys, "v1", "n1", "v2", "n2").distinct(), words1, other2, keys)
 
 
 def _vocabulary(values: DataFrame) -> DataFrame:
@@ -238,15 +236,11 @@ def literal_pairs(
     many1, many2 = (by_key(d.filter("n > 1")) for d in worth)
     words = [stored(_vocabulary(d)) for d in (many1, many2)]
     sims = stored(edit_pairs(*words, threshold, [], strict=False).toDF("x", "y"))
-    score = text.jaccard_ratio(
-        text.token_hits(F.col("tokens1"), F.col("tokens2"), threshold), F.col("n1"), F.col("n2")
-    )
     worded = (
         token_pairs(many1, many2, sims, threshold, keys)
-        .withColumn("score", score)
+        .withColumn("score", text.jaccard_ratio(F.col("hits"), F.col("n1"), F.col("n2")))
         .filter(F.col("score") > threshold)
         .select(*keys, "v1", "v2", "score")
-        .distinct()
     )
 
     one1, one2 = (d.filter("n <= 1").select(*keys, "v") for d in worth)
@@ -262,6 +256,27 @@ def literal_pairs(
     return found if as_keys else texts_of(found, left, right, keys)
 
 
+def literal_scores(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``(v1, v2, score)``: ``literal_sim`` of given pairs, dissimilar ones included; words are joined, not looped over."""
+    listed = stored(pairs.select("v1", "v2").dropna().distinct())
+    sides = [stored(with_tokens(listed.select(F.col(f"v{i}").alias("v")).distinct())) for i in (1, 2)]
+    left, right = (by_key(d.filter("n > 1")) for d in sides)
+    sims = stored(edit_pairs(_vocabulary(left), _vocabulary(right), threshold, [], strict=False).toDF("x", "y"))
+    known = listed.withColumns({"k1": short_key("v1"), "k2": short_key("v2")})
+    for i, d in ((1, sides[0]), (2, sides[1])):
+        known = known.join(d.select(F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("blank").alias(f"blank{i}")), f"k{i}")
+    several = known.filter("n1 > 1 and n2 > 1").select(F.col("k1").alias("v1"), F.col("k2").alias("v2"))
+    words = stored(word_counts(left, [], "x")), stored(in_other_words(word_counts(right, [], "y"), sims, []))
+    hits = with_hits(several, *words, [])
+    score = (
+        F.when(text.ci_equal("v1", "v2"), 1.0)
+        .when(F.col("blank1") | F.col("blank2"), 0.0)
+        .when((F.col("n1") > 1) & (F.col("n2") > 1), text.jaccard_ratio(F.coalesce("hits", F.lit(0)), F.col("n1"), F.col("n2")))
+        .otherwise(text.string_distance_sim("v1", "v2"))
+    )
+    return known.join(hits.toDF("k1", "k2", "hits"), ["k1", "k2"], "left").select("v1", "v2", score.alias("score"))
+
+
 def _near_length(values: DataFrame, others: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """Values whose length lies in reach of some of the others (long texts never meet short names)."""
     factor = (4.0 - threshold) / (2.0 + threshold)

@@ -250,7 +250,7 @@ def type_pair_counts(spark, sf):
 
 def _names(spec: list, n: int, value: str = q.ending("p")) -> str:
     return (
-        f"n{n} AS (SELECT *, {q.camel('c')}[1:5] AS t FROM (SELECT *, {q.clean('v')} AS c FROM "
+        f"n{n} AS (SELECT *, {q.camel('c')} AS t FROM (SELECT *, {q.clean('v')} AS c FROM "
         f"(SELECT DISTINCT p, {value} AS v FROM ({g.sql(spec)}))))"
     )
 
@@ -321,11 +321,23 @@ def compare_literals(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
-@register(_term_pairs(_value_list(g.DOCUMENTS), _value_list(g.TURNS)))
+def _counted(spec: list, n: int) -> str:
+    """Texts ``a{n}`` of several words or none, and their words ``w{n}`` with counts."""
+    return (
+        f"a{n} AS MATERIALIZED ({_value_list(spec)}), w{n} AS MATERIALIZED (SELECT v, len(t) AS n, lower(x) AS w, count(*) AS c "
+        f"FROM (SELECT v, t, unnest(t) AS x FROM a{n} WHERE len(t) > 1) WHERE x <> '' GROUP BY ALL)"
+    )
+
+
+@register(f"""WITH {_counted(g.DOCUMENTS, 1)}, {_counted(g.TURNS, 2)},
+h AS (SELECT w1.v AS v1, w2.v AS v2, w1.n AS n1, w2.n AS n2, sum(w1.c * w2.c)::BIGINT AS hits FROM w1 JOIN w2 USING (w) GROUP BY ALL),
+sc AS (SELECT a1.v AS v1, a2.v AS v2, 1.0::DOUBLE AS score FROM a1 JOIN a2 ON lower(a1.v) = lower(a2.v) WHERE a1.v <> ''
+UNION ALL SELECT v1, v2, {q.ratio('hits', 'n1', 'n2')} FROM h WHERE lower(v1) <> lower(v2))
+SELECT md5(v1) AS text1, md5(v2) AS text2, round(score, 6) AS score, 1::BIGINT AS copies FROM sc WHERE score >= 0.4""")
 def compare_texts(spark, sf):
-    """Documents and conversation turns whose leading words agree."""
+    """Documents and conversation turns whose words agree, over whole texts; digests stand for the texts."""
     found = align.compare_literals(*graph(spark, sf, g.DOCUMENTS, g.TURNS))
-    return found.withColumn("score", F.round("score", 6))
+    return found.select(F.md5("term1").alias("text1"), F.md5("term2").alias("text2"), F.round("score", 6).alias("score"), "copies")
 
 
 def _entity_list(spec: list) -> str:
@@ -354,7 +366,7 @@ def predicate_compression(spark, sf):
 
 
 @register(f"""WITH d AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS id FROM (SELECT DISTINCT p FROM ({g.sql(g.CATALOGUE)} UNION ALL {g.sql(g.SHOP)}))),
-n AS (SELECT *, {q.camel('c')}[1:5] AS t FROM (SELECT *, {q.clean('v')} AS c FROM (SELECT p, id, {q.lower_ending('p')} AS v FROM d)))
+n AS (SELECT *, {q.camel('c')} AS t FROM (SELECT *, {q.clean('v')} AS c FROM (SELECT p, id, {q.lower_ending('p')} AS v FROM d)))
 SELECT * FROM (SELECT n1.p AS term1, n1.id AS id1, n2.p AS term2, n2.id AS id2,
   round({q.name_sim('n1.v', 'n2.v', 'n1.t', 'n2.t')}, 6) AS score FROM n n1 CROSS JOIN n n2) WHERE score > 0.5""")
 def similar_relations(spark, sf):

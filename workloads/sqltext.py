@@ -47,7 +47,7 @@ def clean(c: str) -> str:
 
 
 def value_tokens(c: str) -> str:
-    return f"string_split({clean(c)}, ' ')[1:5]"
+    return f"string_split({clean(c)}, ' ')"
 
 
 def camel(c: str) -> str:

@@ -105,9 +105,21 @@ def name_sim(a: str, b: str, t1: str, t2: str) -> str:
     )
 
 
+# Suffixes and what replaces them in the second, third and fourth step, written out for the oracle.
+SECOND_STEP = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "logi": "log", "bli": "ble",
+    "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ator": "ate", "ation": "ate",
+    "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+THIRD_STEP = {"icate": "ic", "alize": "al", "ative": "", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+FOURTH_STEP = {
+    "al": "", "ance": "", "ence": "", "or": "", "er": "e", "ic": "", "able": "", "ible": "", "ant": "", "ement": "",
+    "ment": "", "ent": "", "ism": "", "ate": "", "iti": "", "ous": "", "ive": "", "ize": "",
+}
+
+
 def stems(words: str) -> str:
     """``(word, stem)`` for a query with a column ``word``: one step of the stemmer per subquery."""
-    from tripleweave.functions import stem as rules
 
     def m0(x: str) -> str:
         return f"regexp_matches({x}, '[aeiouy][^aeiouy]')"
@@ -121,9 +133,9 @@ def stems(words: str) -> str:
     def double_end(x: str) -> str:
         return f"(length({x}) > 2 AND right({x}, 1) = left(right({x}, 2), 1) AND NOT regexp_matches(right({x}, 1), '[aeiouy]'))"
 
-    def swap(table: list[tuple[str, str]], long_enough) -> str:
+    def swap(table: dict[str, str], long_enough) -> str:
         cases = []
-        for ending, new in table:
+        for ending, new in table.items():
             part = f"left(w, length(w) - {len(ending)})"
             held = f"{part} || 'e'" if ending == "er" else part
             cases.append(f"WHEN w LIKE '%{ending}' THEN CASE WHEN {long_enough(f'({held})')} THEN {part} || '{new}' ELSE w END")
@@ -147,9 +159,9 @@ def stems(words: str) -> str:
         f"WHEN w LIKE '%ed' THEN CASE WHEN {vowel(ed)} THEN {repaired(f'({ed})')} ELSE w END "
         f"WHEN w LIKE '%ing' AND {vowel(ing)} THEN {repaired(f'({ing})')} ELSE w END",
         f"CASE WHEN w LIKE '%Y' OR (w LIKE '%y' AND {vowel('left(w, length(w) - 1)')}) THEN left(w, length(w) - 1) || 'i' ELSE w END",
-        swap(rules._SECOND, m0),
-        swap(rules._THIRD, m0),
-        swap(rules._FOURTH, m1),
+        swap(SECOND_STEP, m0),
+        swap(THIRD_STEP, m0),
+        swap(FOURTH_STEP, m1),
         f"CASE WHEN length(w) >= 3 AND w LIKE '%e' AND ({m1('w')} OR ({m0('w')} AND NOT {short_end('left(w, length(w) - 1)')})) "
         "THEN left(w, length(w) - 1) ELSE w END",
         f"CASE WHEN length(w) >= 3 AND w LIKE '%l' AND {double_end('w')} AND {m1('w')} THEN left(w, length(w) - 1) ELSE w END",

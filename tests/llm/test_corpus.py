@@ -158,6 +158,20 @@ def test_spans_equal_brute_force(spark):
     assert [got[k] for k, _ in texts] == slow_clean(texts)
 
 
+def test_texts_without_punctuation_meet(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    whole, passage, one = words(101), words(120), words(25)
+    texts = [whole, whole, words(40) + " " + passage + " " + words(33), words(31) + " " + passage + " " + words(47), one, one, "so it is, " * 4 + "and ends"]
+    texts += [texts[-1], words(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in sentence_spans.remove_repeats(rows).collect()}
+    assert got[0] == whole and got[1] == "" and got[4] == one and got[5] == "" and got[7] == "" and got[8] == texts[8]
+    assert got[2] == texts[2]
+    left, inside = set(got[3].split()), set(passage.split())
+    assert len(left & inside) < 50 and left - inside == set(texts[3].split()) - inside
+
+
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 

@@ -16,10 +16,15 @@ from tripleweave.llm.common import stored, text_runs
 #: A span is at least so many sentences, and as many more as it takes to have so many words.
 SPAN_SENTENCES = 2
 SPAN_WORDS = 12
+#: A clause of at least so many words is cut at words that its text chooses, every CUT_EVERY words on average and after
+#: as many words at most, so that passages without punctuation meet wherever they stand; alone it is a span, too.
+CLAUSE_WORDS = 25
+CUT_EVERY = 8
 
 #: Sentences end with . ! ? (and closing quotes or brackets) before white space, or with a line. Their clauses, which
 #: end with , ; or : there, count as sentences of their own, so that a passage's cut-off ends are short.
 _END = re.compile(r"[.!?,;:]+[\"')\]]*\s+|\n\s*")
+_WORD = re.compile(r"\S+\s*")
 
 _digest, _run_digest = xxhash.xxh3_128_digest, xxhash.xxh3_128_intdigest
 
@@ -31,14 +36,35 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the text's sentences, each with what ends it and the white space behind; together they are the text."""
     cuts = [m.end() for m in _END.finditer(text)]
     cuts = [0, *cuts] if cuts and cuts[-1] == len(text) else [0, *cuts, len(text)]
-    return list(zip(cuts, cuts[1:]))
+    out: list[tuple[int, int]] = []
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a >= 2 * CLAUSE_WORDS - 1 and len(text[a:b].split()) >= CLAUSE_WORDS:
+            out += _pieces(text, a, b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pieces(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """The clause cut where two words' hash says so, or CLAUSE_WORDS after the last cut."""
+    out, held, before = [], 0, b""
+    low = start
+    for m in _WORD.finditer(text, start, stop):
+        word = m[0].strip().lower().encode("utf-8", "surrogatepass")
+        held += 1
+        if m.end() < stop and (held == CLAUSE_WORDS or before and xxhash.xxh3_64_intdigest(before + b" " + word) % CUT_EVERY == 0):
+            out.append((low, m.end()))
+            low, held = m.end(), 0
+        before = word
+    return [*out, (low, stop)]
 
 
 def spans(text: str, least: int = SPAN_SENTENCES, words: int = SPAN_WORDS) -> tuple[list, list[tuple[int, int]], list[int]]:
     """The sentences; the spans ``(first, end)`` of sentence numbers; and a 128-bit hash of each span's words.
 
     From every sentence on, the shortest run of at least ``least`` sentences and ``words`` words; words in lower case,
-    white space between them doesn't count. Near the end, where there is no such run, none begins.
+    white space between them doesn't count. Near the end, where there is no such run, none begins, but the shortest
+    one that reaches the end is a span. A clause of CLAUSE_WORDS words is a span of its own, too.
     """
     cut = sentences(text)
     marked = "\0".join([text[a:b] for a, b in cut] if "\0" not in text else [text[a:b].replace("\0", " ") for a, b in cut])
@@ -58,6 +84,14 @@ def spans(text: str, least: int = SPAN_SENTENCES, words: int = SPAN_WORDS) -> tu
             out.append((k, end))
             hashes.append(_run_digest(b"".join(keys[k:end])))
         held -= counts[k]
+    first, held = n, 0
+    while first and (held < words or n - first < least):
+        first -= 1
+        held += counts[first]
+    last = [(first, n)] if held >= words and n - first >= least and (not out or out[-1] != (first, n)) else []
+    for a, b in [*last, *((k, k + 1) for k in range(n) if counts[k] >= CLAUSE_WORDS)]:
+        out.append((a, b))
+        hashes.append(_run_digest(b"".join(keys[a:b])))
     return cut, out, hashes
 
 

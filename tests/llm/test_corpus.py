@@ -110,6 +110,32 @@ def test_variants_are_written_in_parts(monkeypatch):
     assert groups(fps.tolist(), lambda a, b: (a, b) in pairs or (b, a) in pairs) == found
 
 
+def test_near_dedup_stage_takes_edited_copies(spark):
+    from corpus_pipeline import one_of_each_group
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 + str(rng.randint(0, 999)) for _ in range(250)) for _ in range(12)]
+    for base in texts[:8]:
+        for edits in (1, 3, 5, 9):
+            words = base.split()
+            for at in rng.sample(range(250), edits):
+                words[at] = "edited"
+            texts.append(" ".join(words))
+    texts += [texts[3], texts[3].upper(), "four words are here", "five words are here now", "", None]
+    prints = [slow_print(t) for t in texts]
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [grams(t) for t in texts]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = sorted(set(groups(range(len(texts)), near).values()))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in one_of_each_group(spark, rows, "").collect()) == want
+    assert len(want) < len(set(groups(range(len(texts)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4).values()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(0, 40)]
     star = [(100, 100 + k) for k in range(1, 60)]

@@ -190,11 +190,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_bits: int
     return sent.groupBy("bucket").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
-def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, radius: int, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows ``(doc_id, fp)``, and for every fp its ``component`` (least fp) and ``component_id`` (least doc_id)."""
     rows = stored(fingerprints(docs))
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(fingerprint_links(distinct, radius))
+    links = fingerprint_links(distinct, radius)
+    member = components(links if also is None else links.unionByName(also))
     grouped = stored(
         distinct.join(member, distinct["fp"] == member["node"], "left").select(
             "fp", "least", F.coalesce("component", "fp").alias("component")
@@ -217,13 +218,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def survivors(docs: DataFrame, radius: int = RADIUS, also: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component that with the least doc_id; all columns are kept.
 
+    ``also`` has further links ``(a, b)`` between fingerprints of ``docs``.
+
     Of rows that share that id the one with the least text stays (null before all). Rows without a doc_id go where
     their component has one; of a component without any, one row stays.
     """
-    rows, named = _grouped(docs, radius)
+    rows, named = _grouped(docs, radius, also)
     keep = stored(named.select(F.col("component_id").alias("doc_id")).filter("doc_id is not null").distinct())
     kept = docs.join(keep, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")

@@ -4,8 +4,9 @@ Two fingerprints differ in at most 2r bits exactly if some 64-bit word differs f
 fingerprint therefore stands for all such words (2081 for r = 2), and fingerprints meet on them. Which words meet where
 is decided by a linear check code over bits: a word's group is its syndrome, and the syndrome of fingerprint xor error
 is syndrome(fingerprint) xor syndrome(error). So a fingerprint is sent once to every group that one of its variants
-falls into, and the task of that group writes out just those variants, sorts them, and links the fingerprints that
-share one to the least of them: as many links as fingerprints, not pairs.
+falls into, and the task of that group writes out just those variants, sorts them, and puts the fingerprints that share
+one into a class. A group gives one row for every fingerprint of a class: no more rows than fingerprints, however many
+pairs and shared variants there are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from tripleweave.llm.components import components
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-#: Groups that variants are shuffled to; more only when a group would get more fingerprints than GROUP_MOST.
+#: Groups that variants are shuffled to: as many as it takes for about GROUP_VARIANTS in each, but no more than GROUP_BITS
+#: bits name, unless a group would get more fingerprints than GROUP_MOST. This is about work per task only.
+GROUP_VARIANTS = 1 << 24
 GROUP_BITS = 8
 GROUP_MOST = 16_000_000
 #: Variants that a task writes out at a time.
@@ -83,7 +86,7 @@ def errors(radius: int) -> np.ndarray:
 
 def check_columns(bits: int) -> np.ndarray:
     """A fixed pseudo-random check code: one ``bits``-bit syndrome per bit of a word."""
-    return np.random.default_rng(2081).integers(1, 1 << bits, 64)
+    return np.random.default_rng(2081).integers(min(1, bits), 1 << bits, 64)
 
 
 def syndromes(words: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -102,8 +105,9 @@ def _mix(words: np.ndarray) -> np.ndarray:
 
 
 def links_in_group(fps: np.ndarray, group: int, bits: int, radius: int) -> np.ndarray:
-    """Links ``(least, other)`` between the fingerprints whose variants with syndrome ``group`` (of ``bits`` bits)
-    collide. Variants are written out in parts by further syndrome bits, so memory doesn't grow with the group."""
+    """Rows ``(least, other)`` for the classes of fingerprints whose variants with syndrome ``group`` (of ``bits`` bits)
+    collide: one for every fingerprint but the least of its class. Variants are written out in parts by further syndrome
+    bits, so memory doesn't grow with the group; the classes are carried through all parts."""
     patterns = errors(radius // 2)
     finer = 0
     while len(fps) * len(patterns) >> (bits + finer) > VARIANTS_AT_ONCE:
@@ -117,7 +121,8 @@ def links_in_group(fps: np.ndarray, group: int, bits: int, radius: int) -> np.nd
     fps, own = fps[order], own[order]
     starts = np.searchsorted(own, np.arange((1 << total) + 1))
     of_pattern = syndromes(patterns, columns)
-    out = [np.zeros((0, 2), np.uint64)]
+    by_value = np.sort(fps)
+    root = np.arange(len(fps))  # each fingerprint's class so far, as the place of a smaller one of it in by_value
     space = np.empty(VARIANTS_AT_ONCE * 3 // 2, np.uint64)
     for part in range(1 << finer):
         wanted = of_pattern ^ (group | part << bits)
@@ -145,17 +150,39 @@ def links_in_group(fps: np.ndarray, group: int, bits: int, radius: int) -> np.nd
         firsts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         least = np.repeat(np.minimum.reduceat(who, firsts), np.diff(np.append(firsts, len(at))))
         pairs = np.unique(np.stack([least, who], axis=1)[least != who], axis=0)
-        differ = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1])
-        out.append(pairs[differ <= radius])
-    return np.unique(np.concatenate(out), axis=0)
+        pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
+        merge(root, np.searchsorted(by_value, pairs[:, 0]), np.searchsorted(by_value, pairs[:, 1]))
+    other = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([by_value[root[other]], by_value[other]], axis=1)
+
+
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Puts the classes of ``a`` and ``b`` together, pair by pair; ``root`` has every node's least one and is changed."""
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def group_bits(count: int, size: int) -> int:
+    """Bits that name the groups for ``count`` fingerprints of ``size`` variants each."""
+    bits = 0
+    while bits < GROUP_BITS and count * size >> bits > GROUP_VARIANTS:
+        bits += 1
+    while count * min(1.0, size / (1 << bits)) > GROUP_MOST:
+        bits += 1
+    return bits
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_bits: int = GROUP_BITS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct ``fp`` within ``radius`` bits; ``distinct`` is a stored table."""
-    count = distinct.count()
-    bits, size = group_bits, len(errors(radius // 2))
-    while count * min(1.0, size / (1 << bits)) > GROUP_MOST:
-        bits += 1
+    bits = group_bits(distinct.count(), len(errors(radius // 2)))
     schema, arrow = typed("bucket int, fps binary")
 
     def spread_out(batches):

@@ -436,3 +436,111 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in rows.select("doc_id").collect()}
     groups_of = simhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert ids <= {r["doc_id"] for r in groups_of} and len(ids) >= 0.9 * len({r["component_id"] for r in groups_of})
+
+
+# --- near copies, links and rejection on larger groups -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [100, 200, 400])
+def test_links_grow_with_fingerprints(n):
+    """One group of near copies: a row per fingerprint and group at most, not one per pair or shared variant."""
+    rng = np.random.default_rng(n)
+    fps = {0}
+    while len(fps) < n:
+        fps.add(int(sum(1 << int(b) for b in rng.choice(64, 2, replace=False))))
+    values = np.array(sorted(fps), np.uint64)
+    for group in range(8):
+        links = simhash.links_in_group(values, group, 3, 4)
+        assert n // 2 < len(links) < n
+    assert simhash.group_bits(n, 2081) == 0 and simhash.group_bits(10**7, 2081) == 8 and simhash.group_bits(10**10, 2081) > 11
+
+
+def families(seed, count, size):
+    """Texts of a few templates with some words changed, so that pairs lie on both sides of 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for _ in range(count):
+        base = [word() for _ in range(120)]
+        for _ in range(size):
+            own = list(base)
+            for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 6, 9])):
+                own[at] = word()
+            texts.append(" ".join(own))
+    return texts + [" ".join(word() for _ in range(80)) for _ in range(50)]
+
+
+def test_near_copies_of_large_families(spark):
+    """Every pair of 0.8 or more lies in one component, in groups far larger than the leaders of a round."""
+    from tripleweave.llm import near_copies
+
+    texts = families(3, 3, 400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = near_copies.described(docs)
+    node = {r["doc_id"]: bytes(r["node"]) for r in rows.collect()}
+    pairs = [(bytes(r["a"]), bytes(r["b"])) for r in near_copies.node_links(rows, docs).collect()]
+    grams = {node[k]: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in enumerate(texts)}
+    for a, b in pairs:
+        assert len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    root = {n: n for n in grams}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    names, apart, total = list(grams), 0, 0
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = len(grams[a] & grams[b])
+            if both and both >= 0.8 * (len(grams[a]) + len(grams[b]) - both):
+                total += 1
+                apart += find(a) != find(b)
+    assert total > 5000 and apart == 0
+
+
+def test_junk_and_foreign_languages_are_rejected(spark):
+    found = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    model = langid.fit(found)
+    rng = random.Random(3)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    junk = [
+        " ".join(word("bcdfghjklmnpqrstvwxz", rng.randint(3, 9)) for _ in range(60)), word("0123456789abcdef", 500),
+        base64.b64encode(bytes(rng.randrange(256) for _ in range(400))).decode(), " ".join(word("asdfjkl;qweruiop", 8) for _ in range(50)),
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(junk)], "doc_id bigint, text string")
+    assert all(r["rejected"] and r["lang_pred"] in model.langs for r in langid.classify(rows, model).collect())
+
+
+def test_classifier_equals_a_plain_loop(docs):
+    """The same model read by a plain loop over its parts."""
+    model = langid.fit(docs.withColumn("lang", docs["source"]))
+    for r in langid.classify(docs, model).collect():
+        letters = sum(c.isalpha() for c in (r["text"] or "").lower())
+        if not letters or not model.langs:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        counts, length = langid.gram_counts(r["text"])
+        assert length == min(langid.LENGTHS - 1, letters.bit_length())
+        vector = [np.log1p(float(c)) * w for c, w in zip(counts.tolist(), model.idf.tolist())]
+        norm = sum(x * x for x in vector) ** 0.5
+        scores = [sum(x * y for x, y in zip(centroid, vector)) / norm for centroid in model.centroids.astype(float).tolist()]
+        best = max(range(len(scores)), key=lambda k: scores[k])
+        assert abs(scores[best] - r["score"]) < 1e-5
+        near = [model.langs[model.of_lang[k]] for k in range(len(scores)) if scores[k] > scores[best] - 1e-5]
+        assert r["lang_pred"] in near
+        if abs(1 - scores[best] - model.reach[best, length]) > 1e-5 and len(near) == 1:
+            assert r["rejected"] == (1 - scores[best] > model.reach[best, length])
+
+
+def test_exchanges_see_all_documents_of_a_bin():
+    """Of forty short documents only the last two together are worth more than the one document that can come for them."""
+    sizes = np.array([*[10] * 38, 33, 28, 60, 439])
+    fill, holder = np.array([441, 499]), np.array([0] * 40 + [1, 1])
+    step = packing._best_step(list(range(40)), sizes, 0, fill, np.arange(42), holder, sizes, 500)
+    assert (sorted(step[0]), step[1:]) == ([38, 39], (40, 1))
+    assert packing._best_step(list(range(38)), sizes, 0, np.array([380, 499]), np.arange(42), holder, sizes, 500) is None

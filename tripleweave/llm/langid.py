@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,15 @@ CENTROIDS = 4
 #: Labelled rows per language, in expectation, that the centroids are fitted on; document frequencies are counted over all.
 SAMPLE_ROWS = 600
 ROUNDS = 12
-#: A text is rejected if it is farther from its centroid than this many times the farthest row that was fitted to it.
-SLACK = 1.5
-#: No distance above this is accepted, however far the fitted rows are.
-FARTHEST = 0.98
+#: A text is rejected if it is farther from its centroid than this share of the labelled rows of its length that were not
+#: fitted are from theirs. Lengths are counted in letters, in powers of two; distances in steps of 1 / STEPS.
+QUANTILE = 0.999
+LENGTHS = 16
+STEPS = 256
+#: Rows it takes for a quantile of one length; with fewer, more rows are taken together (see ``reaches``), and of all
+#: lengths together LEAST_IN_ALL do, whose farthest one then counts.
+LEAST_ROWS = 1000
+LEAST_IN_ALL = 100
 UNKNOWN = "und"
 
 _tables: list[np.ndarray] = []
@@ -36,8 +41,9 @@ def _letters() -> np.ndarray:
     return _tables[0]
 
 
-def gram_counts(text: str | None) -> np.ndarray | None:
-    """Counts of the text's hashed n-grams; None without a letter."""
+def gram_counts(text: str | None) -> tuple[np.ndarray, int] | None:
+    """Counts of the text's hashed n-grams and its length class, the number of letters as a power of two; None without a
+    letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     if not letter.any():
@@ -50,7 +56,7 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     out += np.bincount((two * np.uint32(668265263)) >> np.uint32(19), minlength=DIMENSIONS)
     three = two[:-1] * np.uint32(374761393) + c[2:] * np.uint32(2654435761)
     out += np.bincount((three ^ three >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(19), minlength=DIMENSIONS)
-    return out
+    return out, min(LENGTHS - 1, int(letter.sum()).bit_length())
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -65,34 +71,62 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray
     of_lang: np.ndarray
+    #: per centroid and length, the largest distance that is accepted
     reach: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine to its nearest centroid (0 to 1), and whether the distance is beyond that one's reach."""
-        counts = gram_counts(text)
-        if counts is None or not self.langs:
+        found = gram_counts(text)
+        if found is None or not self.langs:
             return UNKNOWN, 0.0, True
+        counts, length = found
         cosines = self.centroids @ weighted(counts, self.idf)
         best = int(cosines.argmax())
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.langs[self.of_lang[best]], score, 1.0 - score > self.reach[best]
+        return self.langs[self.of_lang[best]], score, 1.0 - score > self.reach[best, length]
+
+
+def reaches(rows: np.ndarray, of_lang: np.ndarray) -> np.ndarray:
+    """Accepted distances per centroid and length, from counts of rows by centroid, length and step of distance.
+
+    The first of these with enough rows decides: the centroid's rows of that length, its language's, its language's of
+    that length and shorter ones (which are farther off), its language's in all, and all languages' in all.
+    """
+
+    def limit(counts: np.ndarray, least: int) -> float | None:
+        total = counts.sum()
+        if total < least:
+            return None
+        return (int(np.searchsorted(counts.cumsum(), QUANTILE * total)) + 1) / STEPS
+
+    out = np.ones(rows.shape[:2])
+    for c in range(len(rows)):
+        own = rows[of_lang == of_lang[c]].sum(axis=0)
+        whole = [limit(own.sum(axis=0), LEAST_IN_ALL), limit(rows.sum(axis=(0, 1)), LEAST_IN_ALL)]
+        for n in range(LENGTHS):
+            limits = [limit(rows[c, n], LEAST_ROWS), limit(own[n], LEAST_ROWS), limit(own[: n + 1].sum(axis=0), LEAST_ROWS), *whole]
+            out[c, n] = next((x for x in limits if x is not None), 1.0)
+    return out
 
 
-def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids of unit rows and each row's centroid; starts from rows far apart, so it needs no chance."""
-    chosen = [int((rows @ rows.mean(axis=0)).argmax())]
-    near = rows @ rows[chosen[0]]
-    while len(chosen) < min(k, len(rows)):
+def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Unit centroids of unit rows. It starts from rows far apart among the denser half, those nearer to the mean of all,
+    so that outliers don't become centroids; it needs no chance."""
+    middle = rows @ rows.mean(axis=0)
+    dense = rows[middle >= np.median(middle)]
+    chosen = [int((dense @ rows.mean(axis=0)).argmax())]
+    near = dense @ dense[chosen[0]]
+    while len(chosen) < min(k, len(dense)):
         chosen.append(int(near.argmin()))
-        near = np.maximum(near, rows @ rows[chosen[-1]])
-    centroids = rows[chosen]
+        near = np.maximum(near, dense @ dense[chosen[-1]])
+    centroids = dense[chosen]
     for _ in range(rounds):
         own = (rows @ centroids.T).argmax(axis=1)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, rows)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(size > 0, sums / np.maximum(size, 1e-30), centroids)
-    return centroids, (rows @ centroids.T).argmax(axis=1)
+    return centroids
 
 
 def held_out() -> Column:
@@ -104,8 +138,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learns from ``text`` and non-null ``lang`` of rows with a doc_id that aren't held out.
 
     Document frequencies are counted over all of them in Spark. Centroids are fitted on the driver, on about
-    ``sample_rows`` rows of each language (chosen by a hash of doc_id), held as sparse counts of at most DIMENSIONS
-    numbers each; that bound doesn't depend on the size of the corpus.
+    ``sample_rows`` rows of each language (chosen by a hash of doc_id, half of them at most), held as sparse counts of at
+    most DIMENSIONS numbers each; that bound doesn't depend on the size of the corpus. How far a text may be from its
+    centroid is learnt from all other labelled rows: Spark counts them by centroid, length and distance. ``lang`` values
+    are languages: their number is taken to be bounded, the model has centroids for each.
     """
     labelled = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
 
@@ -113,9 +149,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
         total = np.zeros(DIMENSIONS + 1, np.int64)  # the last counts the documents
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts = gram_counts(text)
-                if counts is not None:
-                    total[:-1] += counts > 0
+                found = gram_counts(text)
+                if found is not None:
+                    total[:-1] += found[0] > 0
                     total[-1] += 1
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["gram", "docs"])
@@ -130,8 +166,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = tuple(sorted(sizes))
     if not langs:
-        return LanguageModel((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample_rows / sizes[lang]))])
+        return LanguageModel((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
+    shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(0.5, sample_rows / sizes[lang]))])
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     schema, arrow = typed("lang string, grams array<int>, counts array<int>")
 
@@ -139,10 +175,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
         for batch in batches:
             named, grams, counts = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = gram_counts(text)
-                if own is not None:
-                    at = np.flatnonzero(own)
-                    named.append(lang), grams.append(at), counts.append(own[at])
+                found = gram_counts(text)
+                if found is not None:
+                    at = np.flatnonzero(found[0])
+                    named.append(lang), grams.append(at), counts.append(found[0][at])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((named, grams, counts), arrow)], schema=arrow)
 
     sample = labelled.filter(place < shares[F.col("lang")]).select("lang", "text").mapInArrow(sparse, schema).collect()
@@ -151,20 +187,39 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
         counts = np.zeros(DIMENSIONS)
         counts[row["grams"]] = row["counts"]
         vectors.setdefault(row["lang"], []).append(weighted(counts, idf))
-    centroids, of_lang, reach = [], [], []
-    for k, lang in enumerate(langs):
-        if lang in vectors:
-            own = np.stack(sorted(vectors[lang], key=lambda v: v.tobytes()))
-            found, label = spherical_kmeans(own, CENTROIDS)
-            far = 1 - (own * found[label]).sum(axis=1)
-            centroids.append(found)
-            of_lang += [k] * len(found)
-            reach += [min(FARTHEST, SLACK * float(far[label == j].max(initial=0))) or FARTHEST for j in range(len(found))]
-    if not centroids:
-        return LanguageModel((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    # one reach per language: a small cluster's own would turn away its like
-    reach_of = {k: max(r for r, own in zip(reach, of_lang) if own == k) for k in set(of_lang)}
-    return LanguageModel(langs, idf, np.concatenate(centroids), np.array(of_lang), np.array([reach_of[k] for k in of_lang]))
+    if not vectors:  # so few rows that none was chosen: there is nothing to learn from
+        return LanguageModel((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
+    langs = tuple(lang for lang in langs if lang in vectors)
+    parts = [spherical_kmeans(np.stack(sorted(vectors[lang], key=lambda v: v.tobytes())), CENTROIDS) for lang in langs]
+    of_lang = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
+    model = LanguageModel(langs, idf, np.concatenate(parts), of_lang, np.ones((len(of_lang), LENGTHS)))
+    return replace(model, reach=reaches(_distances(labelled.filter(~(place < shares[F.col("lang")])), model), of_lang))
+
+
+def _distances(rows: DataFrame, model: LanguageModel) -> np.ndarray:
+    """How many of the labelled rows are nearest to each centroid of their language, by length and step of distance."""
+    number = {lang: k for k, lang in enumerate(model.langs)}
+
+    def count(batches):
+        total = np.zeros((len(model.of_lang), LENGTHS, STEPS), np.int64)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = gram_counts(text)
+                if found is not None and lang in number:
+                    counts, length = found
+                    own = np.flatnonzero(model.of_lang == number[lang])
+                    cosines = model.centroids[own] @ weighted(counts, model.idf)
+                    best = int(cosines.argmax())
+                    step = int(min(STEPS - 1, max(0.0, 1.0 - float(cosines[best])) * STEPS))
+                    total[own[best], length, step] += 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total.ravel()[found])], names=["at", "n"])
+
+    counted = rows.select("lang", "text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros((len(model.of_lang), LENGTHS, STEPS), np.int64)
+    for r in counted.collect():  # no more rows than the model has cells
+        out.ravel()[r["at"]] = r["n"]
+    return out
 
 
 def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:

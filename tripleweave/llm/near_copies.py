@@ -1,29 +1,37 @@
 """Near copies by the Jaccard similarity of word shingles, as links between the texts' SimHash fingerprints.
 
 Texts meet if all least hashes of one of BANDS groups of BAND_HASHES hash functions agree: two texts of similarity 0.8
-miss each other with a chance of (1 - 0.8^4)^24, 3 in a million. Every pair that met is then compared exactly, by all
-its shingles. Equal texts count once. Of one group of equal hashes the first COMPARED texts are compared pair by pair,
-the others with the LEADERS first and the one before, so that a passage of very many texts makes no square of pairs.
+miss each other with a chance of (1 - 0.8^4)^24, 3 in a million. Equal texts count once.
+
+Texts that meet in a band are compared with its leaders: the first few texts not yet similar to one, against the whole
+band, twice as many in each round, until every text leads or is similar to a leader. That takes leaders times texts
+comparisons, not texts times texts, and no text is left out. Two texts of different leaders may still be similar; then
+either is at most twice the allowed distance from the other's leader (Jaccard distance is a metric). Leaders' distances
+are known, so just such texts, of leaders that have no text in common, are compared at the end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleweave.llm.common import stored, text_runs, typed
+from tripleweave.llm.common import stored, text_runs
 from tripleweave.llm.simhash import fingerprint
 
 SHINGLE_WORDS = 5
-#: Least similarity as a fraction.
-LEAST = (4, 5)
+#: Least similarity in fifths, and the least that a text has with the leader of a text similar to it.
+LEAST, NEARBY = 4, 3
 BANDS = 24
 BAND_HASHES = 4
-COMPARED = 32
+#: Leaders per band in the first round.
 LEADERS = 4
+#: Ways that a band's texts are dealt out in the join with its leaders.
+WAYS = 16
 #: Shingles that are hashed anew by all functions at a time.
 AT_ONCE = 2048
 
@@ -55,74 +63,122 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(mixed ^ mixed >> np.uint64(31), axis=1)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def fifths(a: np.ndarray, b: np.ndarray) -> int:
+    """The similarity of two shingle sets in fifths, rounded down."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
+    return both * 5 // max(1, len(a) + len(b) - both)
 
 
-def met_pairs(texts: DataFrame) -> DataFrame:
-    """Different pairs ``(a, b)`` of nodes that meet in some band; ``texts`` has ``node, text``."""
-    schema, arrow = typed("band bigint, node bigint")
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, fp, bands`` of every row, stored: 128 bits that stand for the text, its fingerprint, and its bands
+    (none without a word). Every text is read once for all that near dedup needs."""
+    schema = "doc_id bigint, node binary, fp bigint, bands array<bigint>"
+    kind = pa.list_(pa.int64())
 
-    def spread(batches):
+    def scan(batches):
         for batch in batches:
-            for rows, runs in text_runs(batch, "text"):
-                found, nodes = [], rows.column(0).to_numpy()
-                own = [k for k, t in enumerate(runs.to_pylist()) if len(h := shingles(t)) and found.append(band_keys(h)) is None]
-                keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(nodes[own], BANDS))], schema=arrow)
+            for rows, texts in text_runs(batch, "text"):
+                own = texts.to_pylist()
+                prints = np.array([fingerprint(t) for t in own], np.uint64).view(np.int64)
+                grams = [shingles(t) for t in own]
+                bands = pa.array([band_keys(h).view(np.int64) if len(h) else [] for h in grams], kind)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints), bands], names=["doc_id", "node", "fp", "bands"])
 
-    pair_schema, pair_arrow = typed("a bigint, b bigint")
+    return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _node().alias("node"), "text").mapInArrow(scan, schema))
 
-    def meet(batches):
-        band = before = None
-        held: list[int] = []
-        for batch in batches:
-            low, high = [], []
-            for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key != band:
-                    band, held = key, [node]
-                elif node != before:
-                    with_these = held if len(held) < COMPARED else [*held[:LEADERS], before]
-                    low += with_these
-                    high += [node] * len(with_these)
-                    if len(held) < COMPARED:
-                        held.append(node)
-                before = node
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema=pair_arrow)
-
-    dealt = texts.mapInArrow(spread, schema).repartition("band").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(meet, pair_schema).distinct()
-
-
-def links(docs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of fingerprints of texts whose shingles are similar; ``docs`` has ``text``, null is empty."""
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    pairs = stored(met_pairs(texts))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+def _node():
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, grams`` of the given nodes, stored."""
+    texts = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     # stored before equal texts are put together, so that a text of very many rows can be split in the join
-    held = stored(texts.join(stored(wanted), "node", "left_semi")).dropDuplicates(["node"])
-    schema, arrow = typed("node bigint, fp bigint, grams binary")
+    held = stored(texts.join(nodes, "node", "left_semi")).dropDuplicates(["node"])
 
-    def describe(batches):
+    def sets(batches):
         for batch in batches:
             for rows, runs in text_runs(batch, "text"):
-                own = runs.to_pylist()
-                prints = np.array([fingerprint(t) for t in own], np.uint64).view(np.int64)
-                grams = pa.array([shingles(t).tobytes() for t in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(prints), grams], schema=arrow)
+                grams = pa.array([shingles(t).tobytes() for t in runs.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), grams], names=["node", "grams"])
 
-    known = stored(held.select("node", "text").mapInArrow(describe, schema))
-    sides = [known.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("grams").alias(f"grams_{n}")) for n in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").filter("fp_a != fp_b")
-    pair_schema, pair_arrow = typed("a bigint, b bigint")
+    return stored(held.select("node", "text").mapInArrow(sets, "node binary, grams binary"))
 
-    def verify(batches):
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, level`` of different pairs whose similarity is NEARBY fifths or more, stored."""
+    sides = [sets.select(F.col("node").alias(n), F.col("grams").alias(f"grams_{n}")) for n in "ab"]
+
+    def run(batches):
         for batch in batches:
             left, right = (batch.column(k).to_pylist() for k in (2, 3))
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right)]
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], schema=pair_arrow)
-
-    return both.select("fp_a", "fp_b", "grams_a", "grams_b").mapInArrow(verify, pair_schema).distinct()
+            level = np.array([fifths(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right)], np.int32)
+            near = pa.array(level >= NEARBY)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(level).filter(near)], names=["a", "b", "level"])
+
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "grams_b")
+    return stored(both.mapInArrow(run, "a binary, b binary, level int"))
+
+
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a != b").distinct()
+
+
+def _both_ways(found: DataFrame) -> DataFrame:
+    """``x, y, level`` with either end first."""
+    there = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "level")
+    return there.unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y"), "level"))
+
+
+def node_links(rows: DataFrame, docs: DataFrame, leaders: int = LEADERS) -> DataFrame:
+    """Similar pairs ``(a, b)`` of nodes that hang together as all similar pairs that meet in some band do.
+
+    ``rows`` is ``described(docs)``.
+    """
+    spread = rows.select("node", F.explode("bands").alias("band")).distinct()
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    members = stored(spread.join(shared, "band", "left_semi"))
+    sets = _shingle_sets(docs, stored(members.select("node").distinct()))
+    dealt = members.withColumn("way", F.pmod(F.xxhash64("node"), F.lit(WAYS)).cast("int"))
+    first = Window.partitionBy("band").orderBy("node")
+    rest, width = members, leaders
+    compared, led = [], []
+    while True:
+        chosen = rest.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= width)
+        heads = stored(chosen.select("band", F.col("node").alias("head")))
+        ways = heads.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+        pairs = _pairs(dealt.join(ways, ["band", "way"]), "node", "head")
+        for before in compared:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        compared.append(_compared(stored(pairs), sets))
+        led.append(heads)
+        similar = _both_ways(reduce(DataFrame.unionByName, compared)).filter(F.col("level") >= LEAST)
+        taken = ways.join(similar.select(F.col("y").alias("head"), F.col("x").alias("node")), "head").select("band", "node").distinct()
+        rest = rest.join(heads.withColumnRenamed("head", "node"), ["band", "node"], "left_anti")
+        rest = stored(rest.join(taken, ["band", "node"], "left_anti"))
+        if rest.isEmpty():
+            break
+        width *= 2
+
+    found = reduce(DataFrame.unionByName, compared)
+    heads = stored(reduce(DataFrame.unionByName, led).select(F.col("head").alias("y")).distinct())
+    by_head = stored(_both_ways(found).join(heads, "y", "left_semi"))
+    own = by_head.filter(F.col("level") >= LEAST).select("x", F.col("y").alias("own"))
+    near = by_head.filter(F.col("level") < LEAST).select("x", F.col("y").alias("other"))
+    joined = own.toDF("x", "own").join(own.toDF("x", "other"), "x").select("own", "other").distinct()
+    between = stored(own.join(near, "x").join(joined, ["own", "other"], "left_anti"))
+    turned = between.select(F.col("x").alias("z"), F.col("own").alias("other"), F.col("other").alias("own"))
+    open_pairs = _pairs(between.join(turned, ["own", "other"]), "x", "z")
+    late = _compared(stored(open_pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")), sets)
+    return found.unionByName(late).filter(F.col("level") >= LEAST).select("a", "b")
+
+
+def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of fingerprints of texts whose shingles are similar; ``docs`` has ``text``, null is empty, and
+    ``rows`` is ``described(docs)``."""
+    prints = stored(rows.select("node", "fp").distinct())
+    pairs = node_links(rows, docs)
+    for n in "ab":
+        pairs = pairs.join(prints.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}")), n)
+    return pairs.filter("fp_a != fp_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()

@@ -17,8 +17,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one task packs together; bins it can't fill go on to the next round with those of other tasks.
 LOT_PIECES = 8192
-#: Local-search steps per lot; they bound the time spent, no piece is left out.
-MAX_STEPS = 4000
 #: Bins below this fill may go on to the next round, at most one in eight of a lot.
 CARRY_FILL = 0.98
 
@@ -76,64 +74,93 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_step(own: list[int], lengths: list[int], x: int, fill: np.ndarray, item, bin_of, size, free) -> tuple | None:
+def _reachable(weights: np.ndarray, capacity: int) -> np.ndarray:
+    """For every limit up to ``capacity`` the largest of the weights that is no larger, -1 if none is."""
+    out = np.full(capacity + 1, -1, np.int64)
+    inside = weights[weights <= capacity]
+    out[inside] = inside
+    return np.maximum.accumulate(out)
+
+
+def _best_step(own: list[int], lengths: np.ndarray, x: int, fill: np.ndarray, item, bin_of, size, capacity: int) -> tuple | None:
     """The step that takes most out of bin ``x`` into a bin that stays within capacity and makes the sum of squared
-    fills grow: ``(items that leave, item that comes or None, bin)``."""
-    groups = [(a,) for a in own] + [(a, b) for k, a in enumerate(own[:12]) for b in own[k + 1 : 12]]
+    fills grow: ``(items that leave, item that comes or None, bin)``. All documents of the bin and all their pairs count,
+    by the sums of lengths that they can make."""
+    mine = lengths[own]
+    several = mine[:, None] + mine[None, :]
+    pairs = several[np.triu_indices(len(mine), 1)]
+    one, two = _reachable(mine, capacity), _reachable(pairs, capacity)
     best, found = 0, None
-    for group in groups:
-        weight = sum(lengths[a] for a in group)
-        if len(group) == 1:  # move
-            space = np.where((free >= weight) & (fill > fill[x] - weight) & (fill > 0), free, np.iinfo(np.int64).max)
-            space[x] = np.iinfo(np.int64).max
-            to = int(space.argmin())
-            if space[to] < np.iinfo(np.int64).max and weight > best:
-                best, found = weight, (group, None, to)
-        gain = weight - size
-        good = (gain > 0) & (gain <= free[bin_of]) & (bin_of != x) & (fill[bin_of] > fill[x] - gain)
-        gain = np.where(good, gain, 0)
-        k = int(gain.argmax()) if len(gain) else 0
-        if len(gain) and gain[k] > best:
-            best, found = int(gain[k]), (group, int(item[k]), int(bin_of[k]))
+    # move: into each bin the largest document that it has room for
+    bins = np.flatnonzero((fill > 0) & (np.arange(len(fill)) != x))
+    weight = one[capacity - fill[bins]]
+    weight = np.where((weight > 0) & (fill[bins] > fill[x] - weight), weight, 0)
+    if len(bins) and weight.max() > 0:
+        most = np.flatnonzero(weight == weight.max())
+        to = bins[most[fill[bins[most]].argmax()]]
+        best, found = int(weight.max()), (_with_length(own, lengths, weight.max()), None, int(to))
+    # exchange: for each document elsewhere the largest one or two of this bin that its bin has room for instead
+    other = bin_of != x
+    for table, pick in ((one, _with_length), (two, _pair_with_length)):
+        room = size + capacity - fill[bin_of]
+        gain = table[np.minimum(room, capacity)] - size
+        gain = np.where(other & (gain > 0) & (fill[bin_of] > fill[x] - gain), gain, 0)
+        if len(gain) and gain.max() > best:
+            k = int(gain.argmax())
+            best, found = int(gain[k]), (pick(own, lengths, gain[k] + size[k]), int(item[k]), int(bin_of[k]))
     return found
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, max_steps: int = MAX_STEPS) -> list[list[int]]:
+def _with_length(own: list[int], lengths: np.ndarray, length: int) -> tuple[int, ...]:
+    return (next(i for i in own if lengths[i] == length),)
+
+
+def _pair_with_length(own: list[int], lengths: np.ndarray, length: int) -> tuple[int, ...]:
+    seen: dict[int, int] = {}
+    for i in own:
+        if (rest := int(length - lengths[i])) in seen:
+            return seen[rest], i
+        seen[int(lengths[i])] = i
+    raise ValueError("no such pair")
+
+
+def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empties bins by moving documents, or exchanging one or two of a bin for one of another.
 
     The emptiest bins are taken first. Each step moves weight from a bin to a fuller one, so the sum of squared fills
-    grows and the search ends; it also ends when there are as few bins as the total allows, or after ``max_steps``.
+    grows and the search ends: when there are as few bins as the total allows, or no bin can make a step.
     """
     fewest = -(-sum(lengths) // capacity)
     count = len(bins)
-    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
-    stuck: set[int] = set()
-    for _ in range(max_steps):
-        if count <= fewest:
-            break
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        order = [x for x in open_bins[np.argsort(fill[open_bins], kind="stable")].tolist() if x not in stuck]
-        if len(open_bins) < 2 or not order:
+    sizes = np.array(lengths, np.int64)
+    fill = np.array([sizes[b].sum() for b in bins], np.int64)
+    holder = np.empty(len(sizes), np.int64)
+    for k, b in enumerate(bins):
+        holder[b] = k
+    stuck = np.zeros(len(bins), bool)
+    while count > fewest:
+        open_bins = (fill > 0) & (fill < capacity)
+        order = np.flatnonzero(open_bins & ~stuck)
+        if open_bins.sum() < 2 or not len(order):
             break
-        x = order[0]
-        free = np.where(fill > 0, capacity - fill, 0)
-        item = np.array([i for y in open_bins.tolist() for i in bins[y]], np.int64)
-        bin_of = np.repeat(open_bins, [len(bins[y]) for y in open_bins.tolist()])
-        size = np.array([lengths[i] for i in item.tolist()], np.int64)
-        step = _best_step(bins[x], lengths, x, fill, item, bin_of, size, free)
+        x = int(order[fill[order].argmin()])
+        item = np.flatnonzero(open_bins[holder])
+        step = _best_step(bins[x], sizes, x, fill, item, holder[item], sizes[item], capacity)
         if step is None:
-            stuck.add(x)
+            stuck[x] = True
             continue
         leaving, coming, to = step
         for i in leaving:
             bins[x].remove(i)
             bins[to].append(i)
+            holder[i] = to
         if coming is not None:
             bins[to].remove(coming)
             bins[x].append(coming)
+            holder[coming] = x
         for y in (x, to):
-            fill[y] = sum(lengths[i] for i in bins[y])
-        stuck.discard(to)
+            fill[y] = sizes[bins[y]].sum()
+        stuck[to] = False
         count -= fill[x] == 0
     return [b for b in bins if b]
 

@@ -217,9 +217,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
-def _grouped(docs: DataFrame, radius: int, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, fp)``, and for every fp its ``component`` (least fp) and ``component_id`` (least doc_id)."""
-    rows = stored(fingerprints(docs))
+def _grouped(rows: DataFrame, radius: int, also: DataFrame | None = None) -> DataFrame:
+    """For every fp of the stored ``rows (doc_id, fp)`` its ``component`` (least fp) and ``component_id`` (least doc_id)."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(distinct, radius)
     member = components(links if also is None else links.unionByName(also))
@@ -229,7 +228,7 @@ def _grouped(docs: DataFrame, radius: int, also: DataFrame | None = None) -> tup
         )
     )
     ids = stored(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
-    return rows, stored(grouped.join(ids, "component").select("fp", "component", "component_id"))
+    return stored(grouped.join(ids, "component").select("fp", "component", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -239,21 +238,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``radius`` differing bits, null only if no row there has a doc_id. Null text is empty and has fingerprint zero,
     which is linked like any other. Repeated rows come back as often as they are there. An empty table gives none.
     """
-    rows, named = _grouped(docs, radius)
+    rows = stored(fingerprints(docs))
+    named = _grouped(rows, radius)
     return rows.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def survivors(docs: DataFrame, radius: int = RADIUS, also: DataFrame | None = None) -> DataFrame:
+def survivors(docs: DataFrame, radius: int = RADIUS, rows: DataFrame | None = None, also: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component that with the least doc_id; all columns are kept.
 
-    ``also`` has further links ``(a, b)`` between fingerprints of ``docs``.
+    ``rows`` is a stored table ``(doc_id, fp)`` of ``docs`` if there is one already; ``also`` has further links ``(a, b)``
+    between fingerprints of ``docs``.
 
     Of rows that share that id the one with the least text stays (null before all). Rows without a doc_id go where
     their component has one; of a component without any, one row stays.
     """
-    rows, named = _grouped(docs, radius, also)
+    named = _grouped(stored(fingerprints(docs)) if rows is None else rows, radius, also)
     keep = stored(named.select(F.col("component_id").alias("doc_id")).filter("doc_id is not null").distinct())
     kept = docs.join(keep, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")

@@ -23,9 +23,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least doc_id.
 
-    Near are fingerprints within op2's radius, and texts of five-word Jaccard 0.8 or more.
+    Near are fingerprints within op2's radius, found by its balls of variants, and texts of five-word Jaccard 0.8 or
+    more, found by bands of least hashes: edited copies differ in more bits than the balls reach.
     """
-    return simhash.survivors(docs, also=near_copies.links(docs))
+    rows = near_copies.described(docs)
+    return simhash.survivors(docs, rows=rows, also=near_copies.links(rows, docs))
 
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

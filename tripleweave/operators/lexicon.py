@@ -26,10 +26,14 @@ ENDINGS = {
     "verb": [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")],
     "adj": [("er", ""), ("est", ""), ("er", "e"), ("est", "e")],
 }
+_JOINTS = "[ _-]+"  # what joins the words of a compound
 _UPWARD = ["hypernym", "part_meronym", "substance_meronym"]
+_DOWNWARD = ["hyponym", "part_holonym", "substance_holonym"]
+_SIDEWAYS = [ANTONYM]
 _LCH_DEPTH = 20  # depth of the taxonomy in the Leacock-Chodorow measure
 _JCN_GAP = 0.01  # frequency step that stands for the smallest distance in the Jiang-Conrath measure
 _HSO_BASE, _HSO_SAME, _HSO_STEPS = 8, 16, 5
+_FEW_WORDS = 3  # gloss words that taxonomy candidates may share; pairs that share more come from a join of their own
 
 
 @dataclass(frozen=True)
@@ -50,8 +54,8 @@ def stem_vocabulary(df: DataFrame, column: str) -> DataFrame:
 
 def with_stems(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the stem of a word column, computed once per distinct word."""
-    vocabulary = stem_vocabulary(df, column)
-    return df.join(vocabulary, F.col(column).eqNullSafe(vocabulary["word"])).drop("word")
+    vocabulary = stem_vocabulary(df, column).select(F.col("word").alias("__word"), "stem")
+    return df.join(vocabulary, df[column].eqNullSafe(vocabulary["__word"])).drop("__word")
 
 
 def senses_of(terms: DataFrame, senses: DataFrame, pos: str | None = None, sense_no: int | None = None) -> DataFrame:
@@ -97,13 +101,9 @@ def gloss_parts(synsets: DataFrame) -> DataFrame:
     )
 
 
-def base_form(terms: DataFrame, senses: DataFrame, exceptions: DataFrame | None = None, pos: str | None = None) -> DataFrame:
-    """Dictionary form ``(term, base)`` of inflected terms.
-
-    The term itself counts first, then the exception table ``(pos, form, base)``, then forms with an
-    ending taken off, if the lexicon knows them. Without ``pos`` the first part of speech with a form wins.
-    """
-    kinds = [pos] if pos is not None else PARTS_OF_SPEECH
+def _forms(terms: DataFrame, kinds: list[str], exceptions: DataFrame | None) -> DataFrame:
+    """``(term, pos_order, pos, rank, lemma)``: what a term may be a form of, likeliest first: itself, its entries in the
+    exception table ``(pos, form, base)``, and what is left without an ending."""
     low = F.lower("term")
     forms = []
     for order, kind in enumerate(kinds):
@@ -130,12 +130,49 @@ def base_form(terms: DataFrame, senses: DataFrame, exceptions: DataFrame | None
             listed.select("term", orders[F.col("pos")].alias("pos_order"), "pos", F.lit(1).alias("rank"),
                           F.col("base").alias("lemma"))
         )
+    return tried
+
+
+def base_form(terms: DataFrame, senses: DataFrame, exceptions: DataFrame | None = None, pos: str | None = None) -> DataFrame:
+    """Dictionary form ``(term, base)`` of inflected terms.
+
+    The term itself counts first, then the exception table ``(pos, form, base)``, then forms with an
+    ending taken off, if the lexicon knows them. Without ``pos`` the first part of speech with a form wins.
+    A term of several words that has no form as a whole gets that of ``compound_form``.
+    """
+    kinds = [pos] if pos is not None else PARTS_OF_SPEECH
     known = senses.select("pos", "lemma").distinct()
-    return (
-        tried.join(known, ["pos", "lemma"])
+    whole = stored(
+        _forms(terms, kinds, exceptions).join(known, ["pos", "lemma"])
         .groupBy("term")
         .agg(F.min_by("lemma", F.struct("pos_order", "rank")).alias("base"))
     )
+    several = terms.select("term").distinct().filter(F.size(F.split("term", _JOINTS)) > 1).join(whole, "term", "left_anti")
+    return whole.unionByName(compound_form(several, senses, exceptions, pos))
+
+
+def compound_form(terms: DataFrame, senses: DataFrame, exceptions: DataFrame | None = None, pos: str | None = None) -> DataFrame:
+    """``(term, base)``: the longest run of a term's words that the lexicon has as a compound, each word in some form.
+
+    Terms and lemmas are split at blanks, hyphens and underscores, whichever they have. Each word of a term may stand for
+    its forms (see ``base_form``); a lemma fits where all its words are forms of the words in a row there. Words are
+    joined with words, and a lemma counts if as many of its words are met as it has, so no combination of forms is
+    written out. Of the fitting lemmas the longest counts, then the first part of speech, the earliest place, the
+    likeliest forms, and the name.
+    """
+    kinds = [pos] if pos is not None else PARTS_OF_SPEECH
+    words = stored(terms.select("term", F.posexplode(F.split("term", _JOINTS)).alias("place", "word")))
+    forms = _forms(words.select(F.col("word").alias("term")), kinds, exceptions).withColumnRenamed("term", "word")
+    likely = forms.groupBy("word", "pos", "pos_order", F.col("lemma").alias("part")).agg(F.min("rank").alias("rank"))
+    lemmas = senses.select("pos", "lemma").distinct().withColumn("parts", F.split(F.lower("lemma"), _JOINTS)).filter(F.size("parts") > 1)
+    parts = lemmas.select("pos", "lemma", F.size("parts").alias("n"), F.posexplode("parts").alias("inside", "part"))
+    met = words.join(likely, "word").join(parts, ["pos", "part"]).select(
+        "term", "pos_order", "lemma", "n", "inside", (F.col("place") - F.col("inside")).alias("start"), "rank"
+    )
+    best = met.groupBy("term", "pos_order", "lemma", "n", "start", "inside").agg(F.min("rank").alias("rank"))
+    fits = best.groupBy("term", "pos_order", "lemma", "n", "start").agg(F.count(F.lit(1)).alias("met"), F.sum("rank").alias("ranks"))
+    order = F.struct(-F.col("n"), "pos_order", "start", "ranks", "lemma")
+    return fits.filter(F.col("met") == F.col("n")).groupBy("term").agg(F.min_by("lemma", order).alias("base"))
 
 
 # --- hypernyms -----------------------------------------------------------------------------------------
@@ -145,7 +182,8 @@ def hypernym_paths(chosen: DataFrame, pointers: DataFrame) -> DataFrame:
     """``(synset, path)``: every way from a synset up to a root, both included.
 
     One join per level of the taxonomy; each level is stored before the next, and only the question
-    whether any path goes on comes back to the driver.
+    whether any path goes on comes back to the driver. Where synsets have several hypernyms there can be very many ways;
+    the measures use ``hypernym_closure`` instead.
     """
     up = pointers.filter(F.col("ptr_type") == HYPERNYM).select(F.col("src").alias("tip"), F.col("dst").alias("parent"))
     start = chosen.select("synset").distinct()
@@ -163,28 +201,35 @@ def hypernym_paths(chosen: DataFrame, pointers: DataFrame) -> DataFrame:
         open_paths = longer.select("synset", F.array_append("path", F.col("parent")).alias("path"), F.col("parent").alias("tip"))
 
 
-def paths_of_all_nodes(paths: DataFrame) -> DataFrame:
-    """Adds the paths of every node on the way: the rest of a path is a path of the node it starts at."""
-    rests = F.transform(
-        F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", i, F.size("path"))
-    )
-    rest = paths.select(F.explode(rests).alias("path"))
-    return rest.select(F.get("path", F.lit(0)).alias("synset"), "path").distinct()
-
+def hypernym_closure(chosen: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``(synset, ancestor, distance)``: all synsets above each, by the fewest steps; each is its own ancestor at 0.
 
-def ancestors(paths: DataFrame) -> DataFrame:
-    """``(synset, ancestor, distance)`` over all paths, a synset being its own ancestor at 0."""
-    rows = paths.select("synset", F.posexplode("path").alias("distance", "ancestor"))
-    return rows.groupBy("synset", "ancestor").agg(F.min("distance").alias("distance"))
+    Breadth first: a round takes what the round before found one step up and keeps what is new, so a pair comes up once,
+    with its least distance, however many ways lead there. Every round is stored; a cycle ends by itself.
+    """
+    up = stored(
+        pointers.filter(F.col("ptr_type") == HYPERNYM).select(F.col("src").alias("ancestor"), F.col("dst").alias("parent")).distinct()
+    )
+    start = chosen.select("synset").distinct()
+    rounds = [stored(start.select("synset", F.col("synset").alias("ancestor"), F.lit(0).alias("distance")))]
+    while True:
+        known = reduce(DataFrame.unionByName, rounds)
+        step = rounds[-1].join(up, "ancestor").select("synset", F.col("parent").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+        new = stored(step.distinct().join(known.select("synset", "ancestor"), ["synset", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return known
+        rounds.append(new)
 
 
-def root_hypernyms(paths: DataFrame) -> DataFrame:
-    return paths.select("synset", F.element_at("path", -1).alias("root")).distinct()
+def root_hypernyms(up: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``(synset, root, distance)``: ancestors that have nothing above them."""
+    lower = pointers.filter(F.col("ptr_type") == HYPERNYM).select(F.col("src").alias("ancestor")).distinct()
+    return up.join(lower, "ancestor", "left_anti").select("synset", F.col("ancestor").alias("root"), "distance")
 
 
-def min_depth(paths: DataFrame) -> DataFrame:
-    """Fewest steps from a synset to a root."""
-    return paths.groupBy("synset").agg((F.min(F.size("path")) - 1).alias("depth"))
+def min_depth(up: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``(synset, depth)``: fewest steps from a synset to a root; none for synsets on a cycle without a way out."""
+    return root_hypernyms(up, pointers).groupBy("synset").agg(F.min("distance").alias("depth"))
 
 
 def _common(pairs: DataFrame, up: DataFrame) -> DataFrame:
@@ -199,16 +244,32 @@ def lowest_common_hypernym(pairs: DataFrame, up: DataFrame) -> DataFrame:
     return _common(pairs, up).groupBy("left", "right").agg(nearest.alias("common"))
 
 
-def shortest_hypernym_path(pairs: DataFrame, paths: DataFrame, up: DataFrame) -> DataFrame:
-    """``(left, right, left_path, right_path)``: both ways up to the lowest common hypernym."""
-    result = lowest_common_hypernym(pairs, up)
+def shortest_hypernym_path(pairs: DataFrame, pointers: DataFrame, up: DataFrame) -> DataFrame:
+    """``(left, right, left_path, right_path)``: both shortest ways up to the lowest common hypernym, ends included.
+
+    Ways are rebuilt from the distances: the next synset is a hypernym that is one step nearer to the goal, of several
+    the first by name.
+    """
+    result = stored(lowest_common_hypernym(pairs, up))
+    parents = stored(
+        pointers.filter(F.col("ptr_type") == HYPERNYM).select(F.col("src").alias("tip"), F.col("dst").alias("parent")).distinct()
+    )
     for end in ("left", "right"):
-        way = paths.select(F.col("synset").alias(end), "path")
-        place = F.array_position("path", F.col("common"))
-        cut = result.join(way, end).withColumn("place", place).filter("place > 0")
-        best = F.min_by(F.expr("slice(path, 1, place)"), F.struct("place", "path")).alias(f"{end}_path")
-        others = [c for c in result.columns if c not in ("left", "right", "common")]
-        result = cut.groupBy("left", "right", "common", *others).agg(best)
+        wanted = result.select(F.col(end).alias("synset"), F.col("common").alias("ancestor")).distinct()
+        open_ways = stored(
+            wanted.join(up, ["synset", "ancestor"]).select("synset", "ancestor", F.array("synset").alias("path"), F.col("synset").alias("tip"), "distance")
+        )
+        finished = []
+        while not open_ways.isEmpty():
+            finished.append(open_ways.filter("distance = 0").select("synset", "ancestor", "path"))
+            left = up.select(F.col("synset").alias("parent"), "ancestor", F.col("distance").alias("rest"))
+            steps = open_ways.filter("distance > 0").join(parents, "tip").join(left, ["parent", "ancestor"]).filter("rest = distance - 1")
+            nearest = steps.groupBy("synset", "ancestor", "path", "rest").agg(F.min("parent").alias("tip"))
+            open_ways = stored(nearest.select("synset", "ancestor", F.array_append("path", F.col("tip")).alias("path"), "tip", F.col("rest").alias("distance")))
+        if not finished:
+            finished = [open_ways.select("synset", "ancestor", "path")]
+        ways = reduce(DataFrame.unionByName, finished).toDF(end, "common", f"{end}_path")
+        result = result.join(ways, [end, "common"])
     return result.select("left", "right", "left_path", "right_path")
 
 
@@ -229,10 +290,14 @@ def information_content(up: DataFrame, freq: DataFrame) -> DataFrame:
     )
 
 
+def _gloss_words(synsets: DataFrame) -> DataFrame:
+    """``(synset, words)``: the different words of each definition."""
+    words = F.filter(F.split(F.lower("definition"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return gloss_parts(synsets).select("synset", F.array_distinct(words).alias("words"))
+
+
 def _gloss_overlap(pairs: DataFrame, synsets: DataFrame) -> DataFrame:
-    words = gloss_parts(synsets).select(
-        "synset", F.array_distinct(F.filter(F.split(F.lower("definition"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("words")
-    )
+    words = _gloss_words(synsets)
     left = words.toDF("left", "words1")
     right = words.toDF("right", "words2")
     return pairs.join(left, "left").join(right, "right").select(
@@ -240,54 +305,78 @@ def _gloss_overlap(pairs: DataFrame, synsets: DataFrame) -> DataFrame:
     )
 
 
-def _climb(starts: DataFrame, pointers: DataFrame) -> DataFrame:
-    """``(src, node, steps)``: nodes reached by up to five upward pointers."""
-    edges = pointers.filter(F.col("ptr_type").isin(_UPWARD)).select(F.col("src").alias("node"), "dst").distinct()
-    frontier = starts.select("src", F.col("src").alias("node"), F.lit(0).alias("steps"))
-    reached = [frontier]
+def _reach(starts: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """``(*columns, node, steps)``: nodes reached over ``edges (node, to)`` in the fewest steps, no more than a path has;
+    ``starts`` has the same columns."""
+    rounds = [starts]
     for _ in range(_HSO_STEPS):
-        frontier = frontier.join(edges, "node").select("src", F.col("dst").alias("node"), (F.col("steps") + 1).alias("steps")).distinct()
-        reached.append(frontier)
-    return reduce(DataFrame.unionByName, reached).groupBy("src", "node").agg(F.min("steps").alias("steps"))
+        step = rounds[-1].filter(F.col("steps") < _HSO_STEPS).join(edges, "node")
+        rounds.append(step.select(*columns, F.col("to").alias("node"), (F.col("steps") + 1).alias("steps")).distinct())
+    return reduce(DataFrame.unionByName, rounds).groupBy(*columns, "node").agg(F.min("steps").alias("steps"))
 
 
 def hirst_st_onge(pairs: DataFrame, pointers: DataFrame) -> DataFrame:
-    """``(left, right, hso)`` by allowed paths of at most five steps (approximate: one horizontal step at most).
+    """``(left, right, hso)``: 16 for a synset with itself, else 8 less the steps and the turns of the best allowed path.
 
-    A path runs up, at most once sideways, then down. Its downward part is an upward part of the other
-    end, so both ends climb and meet; nothing is expanded downward from frequent nodes.
+    A path has at most five steps, up, sideways or down, of the shapes u, uh, uhd, ud, h, hd, d and dh, where each letter
+    stands for one step or more. A state is a synset with the directions taken so far; states are searched from both ends
+    and meet in the middle. A way down is a way up from the other end, so nothing is expanded downwards from a frequent
+    synset: the left end goes up and then sideways, the right end up, or sideways and then up as far as the left end.
     """
-    wanted = pairs.select("left", "right").distinct()
-    starts = wanted.select(F.col("left").alias("src")).unionByName(wanted.select(F.col("right").alias("src"))).distinct()
-    climb = stored(_climb(starts, pointers))
-    left = climb.select(F.col("src").alias("left"), "node", F.col("steps").alias("up"))
-    right = climb.select(F.col("src").alias("right"), F.col("node").alias("top"), F.col("steps").alias("down"))
-    side = pointers.filter(F.col("ptr_type") == ANTONYM)
-    flat = side.select("src", "dst").unionByName(side.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    met = wanted.join(left, "left").join(right.withColumnRenamed("top", "node"), ["right", "node"]).select(
-        "left", "right", (F.col("up") + F.col("down")).alias("len"),
-        F.when((F.col("up") > 0) & (F.col("down") > 0), 1).otherwise(0).alias("turns"),
+    wanted = stored(pairs.select("left", "right").distinct())
+    ends = wanted.select(F.explode(F.array("left", "right")).alias("src")).distinct()
+    rising = pointers.filter(F.col("ptr_type").isin(_UPWARD)).select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    falling = pointers.filter(F.col("ptr_type").isin(_DOWNWARD)).select(F.col("dst").alias("node"), F.col("src").alias("to"))
+    up = stored(rising.unionByName(falling).distinct())
+    level = pointers.filter(F.col("ptr_type").isin(_SIDEWAYS))
+    flat = level.select(F.col("src").alias("node"), F.col("dst").alias("to"))
+    flat = stored(flat.unionByName(flat.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct())
+
+    start = ends.select("src", F.col("src").alias("node"), F.lit(0).alias("steps"))
+    rise = stored(_reach(start, up, ["src"]).withColumn("u", (F.col("steps") > 0).cast("int")))
+    # ways that go up (or not) and then sideways, and ways that go sideways and then up
+    turned = stored(_reach(rise.select("src", "u", "node", "steps"), flat, ["src", "u"]))
+    moved = turned.join(rise.select("src", "node", F.col("steps").alias("plain"), "u"), ["src", "u", "node"], "left")
+    sideways = moved.filter(F.col("plain").isNull() | (F.col("steps") < F.col("plain"))).select("src", "node", "steps", "u", F.lit(1).alias("h"))
+    first = stored(sideways.filter("u = 0 and src != node").select("src", "node", "steps"))
+    late = _reach(first, up, ["src"]).join(first, ["src", "node", "steps"], "left_anti")
+
+    left = rise.select(F.col("src").alias("left"), "node", F.col("steps").alias("s1"), "u", F.lit(0).alias("h")).unionByName(
+        sideways.select(F.col("src").alias("left"), "node", F.col("steps").alias("s1"), "u", "h")
     )
-    crossed = (
-        wanted.join(left, "left").join(flat.toDF("node", "top"), "node").join(right, ["right", "top"]).select(
-            "left", "right", (F.col("up") + F.col("down") + 1).alias("len"),
-            ((F.col("up") > 0).cast("int") + (F.col("down") > 0).cast("int")).alias("turns"),
-        )
+    right = rise.select(F.col("src").alias("right"), "node", F.col("steps").alias("s2"), F.col("u").alias("d"))
+    met = wanted.join(left, "left").join(right, ["right", "node"]).select(
+        "left", "right", (F.col("s1") + F.col("s2")).alias("len"), F.greatest(F.lit(0), F.col("u") + F.col("h") + F.col("d") - 1).alias("turns")
     )
-    score = F.when(F.col("len") == 0, F.lit(float(_HSO_SAME))).otherwise(
-        F.lit(float(_HSO_BASE)) - F.col("len") - F.col("turns")
-    )
-    best = met.unionByName(crossed).filter(F.col("len") <= _HSO_STEPS).groupBy("left", "right").agg(F.max(score).alias("hso"))
+    fallen = wanted.join(late.select(F.col("src").alias("right"), F.col("node").alias("left"), F.col("steps").alias("len")), ["left", "right"])
+    score = F.when(F.col("left") == F.col("right"), F.lit(float(_HSO_SAME))).otherwise(F.lit(float(_HSO_BASE)) - F.col("len") - F.col("turns"))
+    allowed = met.unionByName(fallen.select("left", "right", "len", F.lit(1).alias("turns"))).filter(F.col("len") <= _HSO_STEPS)
+    best = allowed.groupBy("left", "right").agg(F.max(score).alias("hso"))
     return wanted.join(best, ["left", "right"], "left").select("left", "right", F.greatest(F.lit(0.0), F.coalesce("hso", F.lit(0.0))).alias("hso"))
 
 
-def taxonomy_similarity(pairs: DataFrame, paths: DataFrame, freq: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Taxonomy:
+    """What the measures need of a lexicon's hypernyms, computed once: ``up (synset, ancestor, distance)``,
+    ``depth (synset, depth)`` and ``ic (synset, ic, root_freq)``."""
+
+    up: DataFrame
+    depth: DataFrame
+    ic: DataFrame
+
+
+def taxonomy(lexicon: Lexicon) -> Taxonomy:
+    """The stored tables of a lexicon; their size is bounded by synsets times the depth of the taxonomy."""
+    nodes = lexicon.synsets.select("synset").unionByName(lexicon.freq.select("synset"))
+    up = stored(hypernym_closure(nodes, lexicon.pointers))
+    return Taxonomy(up, stored(min_depth(up, lexicon.pointers)), stored(information_content(up, lexicon.freq)))
+
+
+def taxonomy_similarity(pairs: DataFrame, tree: Taxonomy) -> DataFrame:
     """``(left, right, path, lch, wup, res, lin, jcn)`` of synset pairs with a common ancestor."""
-    up = stored(ancestors(paths))
-    depth = min_depth(paths)
-    ic = stored(information_content(up, freq))
+    depth, ic = tree.depth, tree.ic
     common = (
-        _common(pairs, up)
+        _common(pairs, tree.up)
         .join(depth.select(F.col("synset").alias("ancestor"), (F.col("depth") + 1).alias("deep")), "ancestor")
         .join(ic.select(F.col("synset").alias("ancestor"), "ic", "root_freq"), "ancestor", "left")
     )
@@ -318,13 +407,12 @@ def taxonomy_similarity(pairs: DataFrame, paths: DataFrame, freq: DataFrame) ->
     )
 
 
-def synset_similarity(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def synset_similarity(pairs: DataFrame, lexicon: Lexicon, tree: Taxonomy | None = None) -> DataFrame:
     """All eight measures of synset pairs ``(left, right)``; those that need a common ancestor are 0 without one."""
     pairs = stored(pairs.select("left", "right").distinct())
-    ends = pairs.select(F.explode(F.array("left", "right")).alias("synset"))
-    paths = stored(paths_of_all_nodes(hypernym_paths(ends.unionByName(lexicon.freq.select("synset")), lexicon.pointers)))
+    tree = taxonomy(lexicon) if tree is None else tree
     return (
-        pairs.join(taxonomy_similarity(pairs, paths, lexicon.freq), ["left", "right"], "left")
+        pairs.join(taxonomy_similarity(pairs, tree), ["left", "right"], "left")
         .join(_gloss_overlap(pairs, lexicon.synsets), ["left", "right"], "left")
         .join(hirst_st_onge(pairs, lexicon.pointers), ["left", "right"], "left")
         .fillna(0.0)
@@ -341,49 +429,128 @@ def mean_similarity(measures: DataFrame) -> DataFrame:
     return measures.select("left", "right", (F.floor(mean * 100.0 + 0.5) / 100.0).alias("sim"))
 
 
-def word_similarity(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:
+def _first_senses(words: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``(word, pos, synset)``: first noun and verb senses of the words' stems."""
+    first = lexicon.senses.filter((F.col("sense_no") == 1) & F.col("pos").isin("noun", "verb"))
+    return stem_vocabulary(words, "word").join(first, F.lower("stem") == F.col("lemma")).select("word", "pos", "synset")
+
+
+def _too_short() -> Column:
+    return ((F.length("x") < 4) & (F.length("y") < 4)) | (F.length("x") < 3) | (F.length("y") < 3)
+
+
+def word_similarity(pairs: DataFrame, lexicon: Lexicon, tree: Taxonomy | None = None) -> DataFrame:
     """``(x, y, sim)`` of word pairs: the better of the mean noun and mean verb similarity of their stems.
 
     Words equal apart from case get 1. Two words under four letters, or one under three, get 0, as do
     words the lexicon does not know.
     """
     distinct = pairs.select("x", "y").distinct()
-    words = distinct.select(F.explode(F.array("x", "y")).alias("word"))
-    stems = stem_vocabulary(words, "word")
-    first = stems.join(
-        lexicon.senses.filter((F.col("sense_no") == 1) & F.col("pos").isin("noun", "verb")),
-        F.lower("stem") == F.col("lemma"),
-    ).select("word", "pos", "synset")
+    first = stored(_first_senses(distinct.select(F.explode(F.array("x", "y")).alias("word")), lexicon))
     left = first.select(F.col("word").alias("x"), "pos", F.col("synset").alias("left"))
     right = first.select(F.col("word").alias("y"), "pos", F.col("synset").alias("right"))
-    sensed = distinct.join(left, "x").join(right, ["y", "pos"])
-    scored = sensed.join(mean_similarity(synset_similarity(sensed, lexicon)), ["left", "right"])
+    sensed = stored(distinct.join(left, "x").join(right, ["y", "pos"]))
+    scored = sensed.join(mean_similarity(synset_similarity(sensed, lexicon, tree)), ["left", "right"])
     best = scored.groupBy("x", "y").agg(F.max("sim").alias("best"))
-    short = ((F.length("x") < 4) & (F.length("y") < 4)) | (F.length("x") < 3) | (F.length("y") < 3)
     sim = (
         F.when((F.length("x") > 0) & (F.lower("x") == F.lower("y")), 1.0)
-        .when(short, 0.0)
+        .when(_too_short(), 0.0)
         .otherwise(F.coalesce("best", F.lit(0.0)))
     )
     return distinct.join(best, ["x", "y"], "left").select("x", "y", sim.alias("sim"))
 
 
-def vocabulary_similarity(words1: DataFrame, words2: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``(x, y, sim)`` for the words of two vocabularies ``(word)`` that the lexicon relates.
+# --- similar words of two vocabularies -----------------------------------------------------------------
 
-    Pairs come from common ancestors of first senses; words without a common ancestor have no similarity.
+
+def _reachable(chosen: DataFrame, tree: Taxonomy) -> DataFrame:
+    """``(synset, ancestor, bound)``: the most that the six taxonomy measures together can give ``synset`` and another
+    synset whose most informative common ancestor is ``ancestor``, each measure brought to its range.
+
+    Resnik, Lin and Jiang-Conrath depend on that ancestor, and on the other's information, which is at least the least
+    below the ancestor. Path, Leacock-Chodorow and Wu-Palmer depend on the nearest common ancestor, which has no more
+    information; the best such ancestor of ``synset`` is taken, at its distance from ``synset`` alone.
     """
+    deep = tree.depth.select("synset", (F.col("depth") + 1).alias("deep"))
+    info = tree.ic.filter("ic > 0").select("synset", "ic")
+    below = (
+        tree.up.join(deep, "synset").join(info, "synset", "left").groupBy("ancestor")
+        .agg(F.min("deep").alias("least_deep"), F.min("ic").alias("least_ic"))
+    )
+    above = below.join(deep.toDF("ancestor", "deep"), "ancestor").join(tree.ic.select(F.col("synset").alias("ancestor"), F.col("ic").alias("shared")), "ancestor", "left")
+    above = stored(above.withColumn("shared", F.coalesce("shared", F.lit(0.0))))
+    rows = (
+        chosen.select("synset").distinct().join(tree.up, "synset")
+        .join(deep.withColumnRenamed("deep", "own_deep"), "synset").join(info.withColumnRenamed("ic", "own_ic"), "synset", "left")
+        .join(above, "ancestor")
+    )
+    nodes = F.col("distance") + 1.0
+    near = 1.0 / nodes - F.ln(nodes / F.lit(2.0 * _LCH_DEPTH)) / MAX_LCH + 2.0 * F.col("deep") / (F.col("own_deep") + F.col("least_deep"))
+    upwards = Window.partitionBy("synset").orderBy("shared").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.col("own_ic") + F.col("least_ic") - 2.0 * F.col("shared")
+    close = F.when(gap > 1e-9, 1.0 / F.when(gap > 1e-9, gap)).otherwise(F.lit(float("inf")))
+    informed = F.when(
+        F.col("own_ic").isNotNull() & F.col("least_ic").isNotNull(),
+        2.0 * F.col("shared") / (F.col("own_ic") + F.col("least_ic")) + close / MAX_JCN,
+    ).otherwise(0.0)
+    return rows.withColumn("near", F.max(near).over(upwards)).select(
+        "synset", "ancestor", (F.col("near") + F.col("shared") / MAX_RES + informed).alias("bound")
+    )
+
+
+def _by_gloss(left: DataFrame, right: DataFrame, synsets: DataFrame, shared: int) -> DataFrame:
+    """Pairs whose definitions have ``shared`` words in common, and others: two such definitions share one of their
+    rarest words, all but ``shared - 1`` of each being looked at."""
     sides = []
-    for words, name in ((words1, "x"), (words2, "y")):
-        known = stem_vocabulary(words, "word").join(
-            lexicon.senses.filter((F.col("sense_no") == 1) & F.col("pos").isin("noun", "verb")),
-            F.lower("stem") == F.col("lemma"),
-        )
-        synsets = known.select(F.col("word").alias(name), "pos", "synset")
-        up = ancestors(hypernym_paths(synsets, lexicon.pointers))
-        sides.append(synsets.join(up, "synset").select(name, "pos", "ancestor").distinct())
-    pairs = sides[0].join(sides[1], ["pos", "ancestor"]).select("x", "y").distinct()
-    return word_similarity(pairs, lexicon)
+    for chosen in (left, right):
+        words = chosen.select("synset").distinct().join(_gloss_words(synsets), "synset")
+        sides.append(stored(words.select("synset", F.size("words").alias("n"), F.explode("words").alias("w"))))
+    load = sides[0].unionByName(sides[1]).groupBy("w").agg(F.count(F.lit(1)).alias("load"))
+    order = Window.partitionBy("synset").orderBy("load", "w")
+    rare = [
+        d.join(load, "w").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("n") - (shared - 1)).select("synset", "w")
+        for d in sides
+    ]
+    return rare[0].toDF("left", "w").join(rare[1].toDF("right", "w"), "w").select("left", "right").distinct()
+
+
+def related_synsets(left: DataFrame, right: DataFrame, lexicon: Lexicon, threshold: float, tree: Taxonomy | None = None) -> DataFrame:
+    """``(left, right, sim)`` of all pairs of two columns ``synset`` whose mean similarity is ``threshold`` or more.
+
+    A pair's eight measures must sum to eight times the threshold. What its path relation can add is known, and pairs
+    with many gloss words in common come from a join of their own; the other pairs need the rest from the taxonomy, so
+    synsets meet only at ancestors that can still give that much to either of them. Ancestors near a root cannot, so
+    frequent ones make no product. Candidates are scored in full.
+    """
+    need = 8.0 * (threshold - 0.005) - 1e-9  # the mean is rounded to two decimals
+    relation = _HSO_SAME / MAX_HSO
+    few = _FEW_WORDS
+    while few and few / MAX_LESK + relation >= need:
+        few -= 1
+    if few / MAX_LESK + relation >= need:
+        raise ValueError(f"threshold {threshold} is too low: synsets without anything in common reach it")
+    tree = taxonomy(lexicon) if tree is None else tree
+    left, right = stored(left.select("synset").distinct()), stored(right.select("synset").distinct())
+    least = need - relation - few / MAX_LESK
+    sides = [stored(_reachable(d, tree).filter(F.col("bound") >= least).select("synset", "ancestor")) for d in (left, right)]
+    met = sides[0].toDF("left", "ancestor").join(sides[1].toDF("right", "ancestor"), "ancestor").select("left", "right")
+    pairs = stored(met.unionByName(_by_gloss(left, right, lexicon.synsets, few + 1)).distinct())
+    return mean_similarity(synset_similarity(pairs, lexicon, tree)).filter(F.col("sim") >= threshold)
+
+
+def vocabulary_similarity(words1: DataFrame, words2: DataFrame, lexicon: Lexicon, threshold: float, tree: Taxonomy | None = None) -> DataFrame:
+    """``(x, y, sim)`` for the words of two vocabularies ``(word)`` whose similarity is ``threshold`` or more.
+
+    Exactly the pairs of the whole product that ``word_similarity`` would give that much, words equal apart from case
+    left out that the lexicon doesn't know; the product is not formed.
+    """
+    first = [stored(_first_senses(words, lexicon)) for words in (words1, words2)]
+    kinds = [d.select("synset").distinct() for d in first]
+    close = stored(related_synsets(*kinds, lexicon, threshold, tree))
+    left, right = first[0].toDF("x", "pos", "left"), first[1].toDF("y", "pos", "right")
+    scored = left.join(close, "left").join(right, ["right", "pos"]).groupBy("x", "y").agg(F.max("sim").alias("sim"))
+    equal = F.lower("x") == F.lower("y")
+    return scored.filter(equal | ~_too_short()).select("x", "y", F.when(equal, 1.0).otherwise(F.col("sim")).alias("sim"))
 
 
 def word_pair_report(pairs: DataFrame, lexicon: Lexicon) -> DataFrame:

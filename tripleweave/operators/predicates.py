@@ -22,6 +22,7 @@ from tripleweave.config import (
 from tripleweave.functions import text
 from tripleweave.functions.terms import lower_ending, uri_ending
 from tripleweave.operators.checkpoints import stored
+from tripleweave.operators.lexicon import Lexicon, Taxonomy, vocabulary_similarity
 from tripleweave.operators.value_join import (
     by_key,
     equal_pairs,
@@ -47,6 +48,21 @@ def similar_words(words1: DataFrame, words2: DataFrame, sims: DataFrame | None,
     return equal.unionByName(known)
 
 
+def lexicon_words(values: DataFrame, names: bool = False) -> DataFrame:
+    """``(word)``: what a lexicon is asked about for values ``v``: their words, and values of one word as they are."""
+    tokens = text.name_tokens if names else text.value_tokens
+    listed = values.select("v", tokens("v").alias("t"))
+    words = listed.select(F.explode("t").alias("word")).unionByName(listed.filter(F.size("t") <= 1).select(F.col("v").alias("word")))
+    return words.filter("word != ''").distinct()
+
+
+def lexicon_sims(
+    values1: DataFrame, values2: DataFrame, lexicon: Lexicon, threshold: float, names: bool = False, tree: Taxonomy | None = None
+) -> DataFrame:
+    """``sims (x, y, sim)`` for the words of two columns ``v``, as far as they reach the threshold, stored."""
+    return stored(vocabulary_similarity(lexicon_words(values1, names), lexicon_words(values2, names), lexicon, threshold, tree))
+
+
 def _words(values: DataFrame) -> DataFrame:
     return values.select(F.explode("tokens").alias("v")).filter("v != ''").distinct()
 

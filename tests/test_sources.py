@@ -110,3 +110,56 @@ def test_statement_shapes(spark):
     lines = spark.createDataFrame([(x,) for x in [*shapes, *bad, "# c", " "]], "value string")
     assert [r["o"] for r in parse_statements(lines).collect()] == list(shapes.values())
     assert [r[0] for r in rejected_lines(lines).collect()] == bad
+
+
+def test_literals_with_escapes(spark):
+    from tripleweave.functions import terms
+
+    cases = {
+        '"say \\"hi\\" now"': 'say "hi" now', '"a\\tb\\n\\U0001F600 \\u00e9 raw\ttab"@en': "a\tb\n\U0001f600 é raw\ttab",
+        '"\\ud83d\\ude00 \\ud83d \\q \\\\ end"': "\U0001f600 \\ud83d \\q \\ end", '"\\U0000D800 \\U00110000 \\U0010FFFF"': "\\U0000D800 \\U00110000 \U0010ffff",
+        "bare": "bare", '""': '""', '"open \\" end': 'open " end', '"' + 'w\\" ' * 30_000 + '"': 'w" ' * 30_000, "<http://a/b>": None, "": None,
+    }
+    rows = spark.createDataFrame([(o,) for o in cases], "o string").select("o", terms.literal_value("o").alias("v")).collect()
+    assert {r.o: r.v for r in rows} == cases
+
+
+def test_rejects_are_counted(spark, graph):
+    triples, rejects = ntriples.read_with_rejects(spark, graph)
+    assert triples.count() == 6 and [r.value for r in rejects.collect()] == ["not a statement"]
+    report = ntriples.reading_report(spark, graph).first()
+    assert (report.lines, report.statements, report.silent, report.rejected) == (10, 7, 2, 1)
+    bare = spark.createDataFrame([("<http://a> <http://b> .5 .",), ("<http://a> <http://b> .",)], "value string")
+    assert [r.o for r in ntriples.parse_statements(bare).collect()] == [".5"]
+
+
+def test_results_are_kept_by_their_inputs(spark, tmp_path):
+    calls = []
+
+    def compute(n):
+        def run():
+            calls.append(n)
+            return spark.range(n)
+
+        return run
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.nt").write_text("x")
+    folder = str(tmp_path / "kept")
+    keep = lambda n, settings="": tables.stored_result(spark, folder, "r", [str(source)], compute(n), settings).count()
+    assert (keep(3), keep(4)) == (3, 3) and calls == [3]
+    assert keep(5, "other") == 5
+    (source / "b.nt").write_text("y")  # other inputs: never the old result
+    assert keep(6) == 6 and calls == [3, 5, 6]
+    (source / "b.nt").unlink()
+    assert keep(7) == 3
+
+
+def test_stored_tables_are_removed(spark):
+    from tripleweave.operators import checkpoints
+
+    kept = checkpoints.stored(spark.range(5))
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert tables.path_exists(spark, path) and checkpoints.clear_stored(spark) >= 1
+    assert not tables.path_exists(spark, path) and checkpoints.clear_stored(spark) == 0

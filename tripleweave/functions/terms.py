@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 # Shapes of RDF terms.
 _LAST_SEGMENT = r"^<(?:[^<>]*/)?([^<>/]+?)(?: \.)?/*(?:[<>]|$)"
-_QUOTED = r'^"([^"]*)'
+# runs of plain text with escapes between; the runs give nothing back, so that long texts need no deep recursion
+_QUOTED = r'(?s)^"([^"\\]*+(?:\\.[^"\\]*+)*+)'
 _ONLY_QUOTES = r'^"+$'
 _LOCAL_NAME = r"([\p{L}_][\p{L}\p{N}_.\-]*)>?$"
 _FULL_LITERAL = r'(?s)^"(.*)"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?$'
 _LANG = r'"@([A-Za-z0-9\-]+)$'
 _DATATYPE = r'"\^\^<([^>]*)>$'
 
+# Escapes of one letter, and the pieces of an escaped text: plain runs, runs of 16-bit code units that are
+# whole characters, single code points, escapes of one letter, and whatever backslash is left.
+_LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+_UNIT = r"\\u(?:[0-9A-CE-Fa-ce-f][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2}|[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2})"
+_POINT = r"\\U00(?:0[1-9A-Fa-f]|10|00(?![Dd][89A-Fa-f]))[0-9A-Fa-f]{4}"
+_PIECES = rf"([^\\]++|(?:{_UNIT})++|{_POINT}|(?s:\\.)|\\)"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -45,11 +53,11 @@ def local_name(c: Column | str) -> Column:
 
 
 def literal_value(c: Column | str) -> Column:
-    """Text of a literal: between the first quotes, or the bare text. Null for URIs and empty text."""
+    """Text of a literal: between its quotes, escapes resolved, or the bare text. Null for URIs and empty text."""
     c = _col(c)
     return (
         F.when(c.isNull() | (c == "") | is_uri(c), F.lit(None).cast("string"))
-        .when(c.startswith('"') & ~c.rlike(_ONLY_QUOTES), F.regexp_extract(c, _QUOTED, 1))
+        .when(c.startswith('"') & ~c.rlike(_ONLY_QUOTES), unescape(F.regexp_extract(c, _QUOTED, 1)))
         .otherwise(c)
     )
 
@@ -77,10 +85,25 @@ def term_kind(c: Column | str) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """Resolve string escapes of N-Triples; JSON knows the same ones, so its reader does the work."""
+    """Resolves the escapes of N-Triples piece by piece; a backslash that begins none stays as it is.
+
+    A surrogate without its other half is no character and stays escaped.
+    """
     c = _col(c)
-    decoded = F.get(F.from_json(F.concat(F.lit('["'), c, F.lit('"]')), "array<string>"), F.lit(0))
-    return F.when(c.contains("\\"), F.coalesce(decoded, c)).otherwise(c)
+
+    def resolved(piece: Column) -> Column:
+        units = F.decode(F.unhex(F.replace(piece, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        point = F.decode(F.unhex(F.substring(piece, 3, 8)), "UTF-32")
+        letter = F.create_map(*[F.lit(x) for pair in _LETTERS.items() for x in pair])[F.substring(piece, 2, 1)]
+        return (
+            F.when(~piece.startswith("\\"), piece)
+            .when(piece.rlike(f"^{_UNIT}"), units)
+            .when(piece.rlike(f"^{_POINT}$"), point)
+            .otherwise(F.coalesce(letter, piece))
+        )
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECES), F.lit(1))
+    return F.when(c.contains("\\"), F.array_join(F.transform(pieces, resolved), "")).otherwise(c)
 
 
 def lexical_form(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,39 @@ def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
+def input_files(spark: SparkSession, *paths: str) -> list[tuple[str, int, int]]:
+    """``(path, bytes, time of change)`` of all files below the paths, in order; hidden files don't count."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(conf).listFiles(target, True)
+        while files.hasNext():
+            status = files.next()
+            if not status.getPath().getName().startswith(("_", ".")):
+                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(found)
+
+
+def stored_result(
+    spark: SparkSession, folder: str, name: str, inputs: list[str], compute: Callable[[], DataFrame], settings: str = ""
+) -> DataFrame:
+    """The table ``name`` that ``compute`` makes of the files below ``inputs``, computed only if it isn't there yet.
+
+    What is stored in ``folder`` is kept by a digest of the inputs' paths, sizes and times and of ``settings``
+    (thresholds and the like), so a result is never taken for other inputs, and changed inputs are computed anew beside
+    the old result. The inputs are listed in the table ``<name>-<digest>-inputs``, which is written last but one; a
+    result without its success marker is written again.
+    """
+    files = input_files(spark, *inputs)
+    digest = hashlib.sha256(repr((files, settings)).encode()).hexdigest()[:32]
+    path = f"{folder.rstrip('/')}/{name}-{digest}"
+    if not path_exists(spark, path):
+        spark.createDataFrame(files, "path string, bytes bigint, changed bigint").write.mode("overwrite").parquet(f"{path}-inputs")
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     """Blank-separated ``<uri1> <uri2> score`` lines as distinct pairs ``(s1, s2)``."""
     rows = spark.read.schema("s1 string, s2 string, score string").csv(path, sep=" ")

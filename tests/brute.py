@@ -67,7 +67,7 @@ def block_table(t1, t2, pairs):
     ]
 
 
-def leaves(blocks, th=0.7, skip_lowest=True):
+def leaves(blocks, th=0.7, skip_lowest=True, exclusive=False):
     """Level by level, as the operators define it."""
     shared, rows = defaultdict(set), defaultdict(list)
     for s1, l1, s2, l2, p1, p2 in blocks:
@@ -79,8 +79,9 @@ def leaves(blocks, th=0.7, skip_lowest=True):
     out = {}
     for level in levels:
         cut = {1: 0.95, 2: 0.9, 3: 0.8}.get(level, 0.7)
+        taken = {s for pair in out for s in pair} if exclusive else set()
         for pair, common in shared.items():
-            if len(common) != level or pair[0] == pair[1]:
+            if len(common) != level or pair[0] == pair[1] or taken & set(pair):
                 continue
             scores = [s for s in (literal_sim(a, b, th) for a, b in rows[pair]) if s > th]
             if scores and sum(scores) / level > cut:

@@ -5,7 +5,7 @@ import pytest
 import tiny
 from pyspark.sql import functions as F
 
-from tripleweave.operators import blocking, key_sets, matching, predicates, value_join
+from tripleweave.operators import blocking, matching, predicates, skew, value_join
 from tripleweave.operators.filters import literal_triples
 from tripleweave.plans import align
 
@@ -27,7 +27,7 @@ def test_people_leaves_and_deduction(spark):
     pairs = predicates.match_predicates(t1, t2)
     # every name ending of one site has its equal on the other; has#name occurs under two hosts on side 1
     assert pairs.count() == 5
-    found = align.align_entities(t1, t2, pairs)
+    found = align.align_entities(t1, t2, pairs, skip_lowest=True)
     rows = result(found)
     assert tiny.short(rows) == {("person1", "person3"), ("city1", "place1"), ("city2", "place2")}
     assert set(rows.values()) == {1.0}
@@ -50,9 +50,11 @@ def test_cars_levels(spark):
     clusters = align.cluster_subjects(g1, g2, pairs)
     stats = {(r["count"], r.pairs, r.comparisons) for r in blocking.cluster_level_stats(clusters).collect()}
     assert stats == {(1, 26, 26), (2, 6, 12)}
-    found = result(align.align_entities(g1, g2, pairs))
+    found = result(align.align_entities(g1, g2, pairs, skip_lowest=True))
     assert tiny.short(found) == {("person1", "person3"), ("car1", "car3"), ("car2", "car4")}
-    assert found == result(matching.match_leaves_of_blocks(blocks, counts))
+    assert found == result(matching.match_leaves_of_blocks(blocks, counts, skip_lowest=True))
+    assert result(align.align_entities(g1, g2, pairs, min_shared=2)) == found
+    assert set(result(align.align_entities(g1, g2, pairs))) > set(found)
 
 
 WORDS = ["red", "reds", "blue", "bolt", "bolts", "new", "york", "jersey", "gear", "gears", "plate", "12", "1555", "15556"]
@@ -84,13 +86,107 @@ def test_leaves_equal_brute_force(spark, seed):
         names.append((names[0][0], names[1][1]))
     t1, t2 = tiny.triples(spark, r1), tiny.triples(spark, r2)
     pairs = spark.createDataFrame(names, "predicate1 string, predicate2 string")
-    want = rounded(brute.leaves(brute.block_table(r1, r2, names)))
+    table = brute.block_table(r1, r2, names)
+    want = rounded(brute.leaves(table))
     assert want
-    assert result(matching.match_leaves(t1, t2, pairs)) == want
+    assert result(matching.match_leaves(t1, t2, pairs, skip_lowest=True)) == want
     blocks = blocking.block_by_predicate(t1, t2, pairs)
-    assert blocks.count() == len(brute.block_table(r1, r2, names))
-    slow = matching.match_leaves_of_blocks(blocks, blocking.common_predicate_counts(blocks))
+    assert blocks.count() == len(table)
+    slow = matching.match_leaves_of_blocks(blocks, blocking.common_predicate_counts(blocks), skip_lowest=True)
     assert result(slow) == want
+    every = rounded(brute.leaves(table, skip_lowest=False))
+    assert result(matching.match_leaves(t1, t2, pairs)) == every
+    alone = rounded(brute.leaves(table, skip_lowest=False, exclusive=True))
+    assert result(slow := matching.match_leaves_of_blocks(blocks, blocking.common_predicate_counts(blocks), exclusive=True)) == alone
+    assert slow.columns == ["s1", "s2", "score"]
+
+
+def test_exclusive_levels(spark):
+    """A subject matched with three shared predicates takes no part in the levels below, whoever its partners there are."""
+    found = [("a", "x", 1.0, 3), ("a", "y", 1.0, 2), ("b", "x", 1.0, 2), ("b", "y", 1.0, 1), ("c", "y", 1.0, 2), ("c", "z", 1.0, 2), ("d", "z", 1.0, 1), ("e", "w", 1.0, 1)]
+    kept = matching.level_by_level(spark.createDataFrame(found, "s1 string, s2 string, score double, count bigint"))
+    assert collect(kept, "s1", "s2") == {("a", "x"), ("c", "y"), ("c", "z"), ("e", "w")}
+
+
+def test_wide_subjects_equal_brute_force(spark):
+    """Forty shared predicates, a subject with very many partner values, and one that has a value in every statement."""
+    rng = random.Random(9)
+    props = [f"p{k:02}" for k in range(40)]
+    rows = {1: [], 2: []}
+    for host, side in ((tiny.A, 1), (tiny.B, 2)):
+        for i in range(14):
+            held = props if i % 3 else rng.sample(props, rng.randint(1, 6))
+            for k, p in enumerate(held):
+                value = f"value{(i * 7 + k) % 11 if rng.random() < 0.85 else rng.randint(0, 99)} {p}" if k % 4 else "common to all"
+                rows[side].append((f"<{host}/{i}>", f"<{host}/{p}>", f'"{value}"'))
+    many = [(f"<{tiny.A}/many>", f"<{tiny.A}/p01>", f'"alias number{k:05} of it"') for k in range(400)]
+    rows[1] += many + [(f"<{tiny.A}/many>", f"<{tiny.A}/{p}>", '"common to all"') for p in props[::4]]
+    rows[2] += [(f"<{tiny.B}/{i}>", f"<{tiny.B}/p01>", f'"alias number{i:05} of it"') for i in range(14, 30)]
+    rows[2] += [(f"<{tiny.B}/{i}>", f"<{tiny.B}/{p}>", '"common to all"') for i in range(14, 20) for p in props[::4]]
+    names = [(f"<{tiny.A}/{p}>", f"<{tiny.B}/{p}>") for p in props]
+    t1, t2 = tiny.triples(spark, rows[1]), tiny.triples(spark, rows[2])
+    pairs = spark.createDataFrame(names, "predicate1 string, predicate2 string")
+    want = rounded(brute.leaves(brute.block_table(rows[1], rows[2], names), skip_lowest=False))
+    assert len(want) > 20 and any("many" in k[0] for k in want)
+    assert result(matching.match_leaves(t1, t2, pairs)) == want
+
+
+def test_frequent_keys_are_dealt_out(spark):
+    """A value that a third of all subjects have makes no task above ten times the median, and no row is lost."""
+    left = spark.range(120_000).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 20_011).alias("k"))
+    right = spark.range(4000).select(F.col("id").alias("b"), F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("id") % 20_011).alias("k"))
+    joined = skew.dealt_join(left, right, ["k"])
+    plain = left.join(right, "k")
+    total = joined.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b", "k").cast("decimal(38,0)")).alias("h"))
+    assert total.first() == plain.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b", "k").cast("decimal(38,0)")).alias("h")).first()
+    ways = skew.key_ways(left, right, ["k"], 8).collect()
+    assert [w.k for w in ways] == [-1] and ways[0].ways1 * ways[0].ways2 >= 8
+    cells = joined.groupBy(F.spark_partition_id()).count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = sorted(r["count"] for r in skew.dealt_join(left, right.hint("merge"), ["k"]).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert cells.count() and spread[-1] <= 10 * spread[len(spread) // 2]
+
+
+def test_rounds_equal_full_recomputation(spark):
+    """Semi-naive rounds against rounds that compare the whole neighbourhood again, on chains that need several."""
+
+    def naive(t1, t2, known, rounds):
+        from tripleweave.operators.neighbours import neighbour_triples, substitute_matched
+
+        for stage in range(1, rounds + 1):
+            s1 = spark.createDataFrame([(a,) for a, _ in known], "s string")
+            s2 = spark.createDataFrame([(b,) for _, b in known], "s string")
+            links = spark.createDataFrame(list(known), "s1 string, s2 string")
+            around1 = substitute_matched(neighbour_triples(t1, s1), links)
+            around2 = neighbour_triples(t2, s2)
+            pairs = blocking.with_block(predicates.match_predicates(around1, around2))
+            sides = [blocking.blocked_side(t, pairs, n) for n, t in ((1, around1), (2, around2))]
+            for r in align.similar_subjects(*sides).collect():
+                known.setdefault((r.s1, r.s2), (round(r.score, 6), stage))
+        return known
+
+    rng = random.Random(12)
+    rows = {}
+    for host in (tiny.A, tiny.B):
+        facts = [(f"<{host}/0>", f"<{host}/name>", '"start here now"')]
+        for k in range(9):
+            facts.append((f"<{host}/{k + 1}>", f"<{host}/next>", f"<{host}/{k}>"))
+            facts.append((f"<{host}/{k}>", f"<{host}/kind>", f'"kind{k % 2} {"same" if rng.random() < 0.5 else host[7]}"'))
+            facts.append((f"<{host}/{k}>", f"<{host}/near>", f"<{host}/{rng.randint(0, 9)}>"))
+        rows[host] = sorted(set(facts))
+    t1, t2 = tiny.triples(spark, rows[tiny.A]), tiny.triples(spark, rows[tiny.B])
+    first = {(f"<{tiny.A}/0>", f"<{tiny.B}/0>"): (1.0, 0)}
+    start = spark.createDataFrame([(a, b, 1.0) for a, b in first], "s1 string, s2 string, score double")
+    for rounds in (2, 4):
+        want = naive(t1, t2, dict(first), rounds)
+        got = {(r.s1, r.s2): (round(r.score, 6), r.stage) for r in align.deduce_relations(t1, t2, start, rounds=rounds).collect()}
+        assert got == want and max(s for _, s in got.values()) >= 2
+    fixed = align.deduce_relations(t1, t2, start, rounds=None)
+    assert {(r.s1, r.s2) for r in fixed.collect()} >= set(want)
+    assert fixed.filter("stage = 0").count() == 1
 
 
 def test_similar_values_equal_brute_force(spark):
@@ -143,23 +239,31 @@ def test_long_texts_equal_brute_force(spark, seed):
         assert found == {k: s for k, s in near.items() if s > cut}
 
 
-def test_key_sets_hit_every_match():
-    """Any way to exceed the needed score is similar in all blocks of some planned set."""
+def test_plans_hit_every_match(spark):
+    """Any way to exceed the needed score is similar in as many blocks of the head as the plan says."""
     rng = random.Random(3)
-    for _ in range(400):
+    rows, entries_of = [], {}
+    for g in range(300):
         n = rng.randint(1, 7)
         entries = [
-            {"b": b, "kind1": rng.choice([1, 1, 1, 8, 0]), "kind2": rng.choice([1, 1, 1, 8, 0]),
-             "spread": rng.choice([0.5, 1, 40]), "density": rng.random() ** 3}
-            for b in range(n)
+            (rng.random() ** 3, b, float(rng.choice([1, 1, 1, 8, float("inf")])) * rng.choice([1.0, 2.0]), rng.choice([0.5, 1.0, 40.0])) for b in range(n)
         ]
-        need = {1: 0.95, 2: 0.9, 3: 0.8}.get(n, 0.7) * n
-        sets = [set(s) for s in key_sets.key_sets(entries, 1000, 1000, need)]
-        weight = {e["b"]: (e["kind1"] * e["kind2"]) or float("inf") for e in entries}
-        for mask in range(1, 2**n):
-            similar = {b for b in range(n) if mask >> b & 1}
-            if sum(weight[b] for b in similar) > need:
-                assert any(s <= similar for s in sets), (entries, sets, similar)
+        rows.append((f"l{g}", f"r{g}", 1000, 1000, n, {1: 0.95, 2: 0.9, 3: 0.8}.get(n, 0.7), entries))
+        entries_of[f"l{g}"] = entries
+    schema = "g1 string, g2 string, n1 bigint, n2 bigint, count bigint, threshold double, entries array<struct<density: double, b: bigint, weight: double, spread: double>>"
+    plan = matching.key_plan(spark.createDataFrame(rows, schema)).withColumn("sets", F.when(F.col("size") == 2, matching._sets(2)).when(F.col("size") == 3, matching._sets(3))).collect()
+    assert len(plan) == len(rows) and {r["size"] for r in plan} == {1, 2, 3}
+    for r in plan:
+        entries = entries_of[r.g1]
+        need = {1: 0.95, 2: 0.9, 3: 0.8}.get(r["count"], 0.7) * r["count"]
+        for mask in range(1, 2 ** len(entries)):
+            similar = {e[1] for e in entries if mask >> e[1] & 1}
+            if sum(e[2] for e in entries if e[1] in similar) > need:
+                assert len(similar & set(r["head"])) >= r["size"], (entries, r, similar)
+                assert r["sets"] is None or any(set(x) <= similar for x in r["sets"])
+    wide = [(0.001 * b, b, 1.0, 1.0) for b in range(40)]
+    one = matching.key_plan(spark.createDataFrame([("l", "r", 10, 10, 40, 0.7, wide)], schema)).first()
+    assert len(one["head"]) == 12 + one["size"]  # twelve may differ, whatever the number of sets
 
 
 def test_modes_on_blocks(spark):

@@ -10,22 +10,24 @@ counts per pair of profiles; there are few profiles even when there are many sub
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleweave.functions.terms import comparable_value, literal_or_ending
 from tripleweave.operators.checkpoints import stored
+from tripleweave.operators.skew import dealt_join
 
 
 def with_block(pairs: DataFrame) -> DataFrame:
-    """Predicate pairs with the block number ``b``.
+    """Predicate pairs with the block's name ``b``, a digest of 128 bits.
 
     Store the result before it meets triples: predicates are few and frequent, and with the size of the
     pairs known the join is a broadcast instead of a shuffle of all triples onto a few predicates.
     """
     if "b" in pairs.columns:
         return pairs
-    return pairs.select("predicate1", "predicate2", F.xxhash64("predicate1", "predicate2").alias("b")).distinct()
+    name = F.md5(F.concat_ws("\x01", "predicate1", "predicate2").cast("binary"))
+    return pairs.select("predicate1", "predicate2", name.alias("b")).distinct()
 
 
 def blocked_side(triples: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -46,7 +48,7 @@ def block_by_predicate(t1: DataFrame, t2: DataFrame, pairs: DataFrame, salt: int
     The product of a frequent predicate is divided over ``salt`` tasks: side 1 is dealt out by row hash,
     side 2 is repeated for each part.
     """
-    pairs = pairs.select("predicate1", "predicate2").distinct()
+    pairs = stored(pairs.select("predicate1", "predicate2").distinct())  # few rows, known to be so: broadcast
     v1, v2 = comparable_value("o").alias("literal1"), comparable_value("o").alias("literal2")
     left = (
         t1.select(F.col("s").alias("s1"), F.col("p").alias("p1"), v1, F.pmod(F.xxhash64("s", "o"), F.lit(salt)).alias("part"))
@@ -175,9 +177,6 @@ def cluster_by_subjects(clusters: DataFrame) -> DataFrame:
 # --- subjects that share predicate and value -----------------------------------------------------------
 
 
-_COMBINED_FEATURES = 24  # subjects with up to so many features are looked up by pairs of features
-
-
 def _features(triples: DataFrame) -> DataFrame:
     """``(s, p, v, m)``: statements with the same predicate and value, counted."""
     rows = triples.select("s", "p", literal_or_ending("o").alias("v"))
@@ -189,29 +188,31 @@ def _same_feature() -> Column:
 
 
 def _lookup_keys(common: DataFrame, min_shared: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keys ``(s, k)`` of one graph: feature pairs and single features of small subjects, single ones of large.
+    """Keys ``(s, k)`` of one graph: pairs of features and single features of the subjects that pairs are cheaper for,
+    single features of the others.
 
     With features in one order for both graphs (rare first), the first ``c`` features a pair shares lie
-    among the first ``features - min_shared + c`` of either subject.
+    among the first ``features - min_shared + c`` of either subject. Looking a subject up by pairs takes as many keys as
+    there are pairs of these; by single features, as many meetings as their frequencies ``f`` say. The smaller number
+    decides.
     """
     sizes = common.groupBy("s").agg(F.count(F.lit(1)).alias("features")).filter(F.col("features") >= min_shared)
-    sized = common.join(sizes, "s").select("s", "features", F.struct("f", F.xxhash64("p", "v").alias("h")).alias("e"))
-    small = (
-        sized.filter(F.col("features") <= _COMBINED_FEATURES)
-        .groupBy("s", "features")
-        .agg(F.sort_array(F.collect_list("e")).alias("es"))
+    order = Window.partitionBy("s").orderBy("f", "h")
+    ranked = common.join(sizes, "s").withColumn("h", F.xxhash64("p", "v")).withColumn("place", F.row_number().over(order))
+    first = stored(ranked.filter(F.col("place") <= F.col("features") - min_shared + 2).select("s", "features", "h", "f", "place"))
+    last = F.col("features") - min_shared + 1
+    costs = first.groupBy("s").agg(
+        F.sum(F.when(F.col("place") <= last, F.col("f")).otherwise(0)).cast("double").alias("single"), F.count(F.lit(1)).cast("double").alias("n")
     )
-
-    def first(c: int) -> Column:
-        head = F.slice("es", F.lit(1), (F.col("features") - min_shared + c).cast("int"))
-        return F.transform(head, lambda e: e["h"])
-
-    hs = first(2)
+    wide = stored(costs.select("s", (F.col("n") * (F.col("n") - 1) / 2 > F.col("single")).alias("wide")))
+    few = first.join(wide.filter("not wide").select("s"), "s")
+    listed = few.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("es"))
+    hs = F.transform("es", lambda e: e["h"])
     pairs = F.flatten(F.transform(hs, lambda x, i: F.transform(
         F.slice(hs, i + 2, F.size(hs)), lambda y: F.struct(x.alias("x"), y.alias("y"))
     )))
-    large = sized.filter(F.col("features") > _COMBINED_FEATURES).select("s", F.col("e.h").alias("k"))
-    return small.select("s", F.explode(pairs).alias("k")), small.select("s", F.explode(first(1)).alias("k")), large
+    large = ranked.join(wide.filter("wide").select("s"), "s").select("s", F.col("h").alias("k"))
+    return listed.select("s", F.explode(pairs).alias("k")), few.filter(F.col("place") <= last).select("s", F.col("h").alias("k")), large
 
 
 def shared_value_counts(t1: DataFrame, t2: DataFrame, min_shared: int = 1) -> DataFrame:
@@ -238,7 +239,7 @@ def shared_value_counts(t1: DataFrame, t2: DataFrame, min_shared: int = 1) -> Da
         ]
         found = None
         for i, j in ((0, 0), (1, 2), (2, 1), (2, 2)):
-            met = sides[0][i].withColumnRenamed("s", "s1").join(sides[1][j].withColumnRenamed("s", "s2"), "k")
+            met = dealt_join(stored(sides[0][i].withColumnRenamed("s", "s1")), stored(sides[1][j].withColumnRenamed("s", "s2")), ["k"])
             found = met.select("s1", "s2") if found is None else found.unionByName(met.select("s1", "s2"))
         theirs = found.distinct().join(right.select(F.col("s").alias("s2"), "p", "v", F.col("m").alias("m2")), "s2")
         mine = left.select(F.col("s").alias("s1"), "p", "v", F.col("m").alias("m1"))

@@ -5,15 +5,17 @@
 1. values of each block are joined by similarity (:mod:`value_join`), once per distinct value;
 2. subjects are grouped by the blocks they occur in, which gives the number of shared predicates ``n``
    and so the score a pair must reach, ``threshold(n) * n``;
-3. a pair that reaches it has similar values in all but a few of its shared blocks, hence in each
-   of some small sets of blocks. The planner picks sets of up to three blocks per pair of profiles by
-   expected cost and joins on their values together, so a value half of all subjects have is never
-   joined on alone when anything rarer helps;
+3. a pair that reaches it has similar values in all but a few of its shared blocks, hence in all blocks of some small
+   set. Per pair of profiles, sets of up to three of the rarest blocks are chosen by expected cost, and subjects are
+   joined on their values together, so a value half of all subjects have is not joined on alone when anything rarer
+   helps. All of it is Column work;
 4. candidates are scored in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,11 @@ from tripleweave.functions import text
 from tripleweave.operators.blocking import blocked_side, common_value_counts, with_block
 from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.filters import above, non_reflexive, not_null_values
-from tripleweave.operators.key_sets import plan_batches
 from tripleweave.operators.predicates import lexical_pairs
+from tripleweave.operators.skew import dealt_join
 from tripleweave.operators.value_join import exact_pairs, literal_pairs, literal_scores, short_key
 
-_FEW_ROWS = (1, 2, 4, 8)  # steps of a bound on the statements of one subject in one block
-_FEW_PARTNERS = 4096  # likewise for the similar values of one subject in one block
+_KEY_SIZES = (1, 2, 3)  # blocks whose values are joined on together
 
 
 def level_threshold(n: Column) -> Column:
@@ -98,20 +99,49 @@ def match_leaves_of_blocks(
     blocks: DataFrame,
     clusters: DataFrame,
     mode: str = "string",
-    skip_lowest: bool = True,
+    skip_lowest: bool = False,
     sims: DataFrame | None = None,
+    min_shared: int = 1,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Matches ``(s1, s2, score)`` of a written-out block table and its clusters ``(s1, s2, count)``.
 
-    Every pair lies on one level only, so all levels are scored in one pass with the threshold as a column.
+    Every pair lies on one level only, so all levels are scored in one pass with the threshold as a column. For the
+    options see ``match_sides``.
     """
-    if skip_lowest:
-        clusters = without_lowest(clusters, clusters)
+    clusters = chosen_levels(clusters, skip_lowest, min_shared)
     total = score_blocked(blocks, mode, sims=sims).groupBy("s1", "s2").agg(F.sum("score").alias("total"))
     scored = total.join(clusters.select("s1", "s2", "count"), ["s1", "s2"]).select(
         "s1", "s2", (F.col("total") / F.col("count")).alias("score"), "count"
     )
-    return non_reflexive(scored).filter(F.col("score") > level_threshold(F.col("count"))).drop("count")
+    found = non_reflexive(scored).filter(F.col("score") > level_threshold(F.col("count")))
+    return (level_by_level(found) if exclusive else found).drop("count")
+
+
+def chosen_levels(rows: DataFrame, skip_lowest: bool, min_shared: int) -> DataFrame:
+    """Rows whose ``count`` takes part in matching: from ``min_shared`` on, and with ``skip_lowest`` not the smallest."""
+    if skip_lowest:
+        rows = without_lowest(rows, rows)
+    return rows.filter(F.col("count") >= min_shared) if min_shared > 1 else rows
+
+
+def level_by_level(found: DataFrame) -> DataFrame:
+    """Of matches ``(s1, s2, score, count)`` those whose subjects are not matched on a higher level already.
+
+    Levels go from many shared predicates to few; within a level every match stays. Each level's result is stored
+    before the next one looks at it. There are no more levels than predicate pairs, and only their numbers come back.
+    """
+    found = stored(found)
+    levels = sorted((r["count"] for r in found.select("count").distinct().collect()), reverse=True)
+    kept = None
+    for level in levels:
+        here = found.filter(F.col("count") == level)
+        if kept is not None:
+            for end in ("s1", "s2"):
+                here = here.join(kept.select(end).distinct(), end, "left_anti")
+        here = stored(here.select(*found.columns))
+        kept = here if kept is None else kept.unionByName(here)
+    return found if kept is None else kept
 
 
 def without_lowest(rows: DataFrame, levels: DataFrame) -> DataFrame:
@@ -166,31 +196,31 @@ def partner_values(side1: DataFrame, similar: DataFrame) -> DataFrame:
 
 
 def _classes(side: DataFrame, partners: DataFrame | None) -> DataFrame:
-    """``(s, b, kind)``: bound on a subject's weight in a block, 0 where none is known.
+    """``(s, b, kind)``: bound on a subject's weight in a block, in powers of two so that there are few profiles.
 
-    One statement weighs at most 1; bounds of several go in steps so that there are few profiles.
+    On side 2 it is the number of statements, on side 1 the greatest weight of a partner value (which scores above 1 and
+    repeated statements raise, to infinity if need be); a pair's score in a block is at most the product of both.
     """
-    rows = side.groupBy("s", "b").agg(F.sum("m").alias("rows"))
-    kind = F.lit(0)
-    for bound in reversed(_FEW_ROWS):
-        kind = F.when(F.col("rows") <= bound, bound).otherwise(kind)
     if partners is None:
-        return rows.select("s", "b", kind.alias("kind"))
-    seen = partners.groupBy(F.col("s1").alias("s"), "b").agg(
-        F.max("top").alias("top"), F.count(F.lit(1)).alias("partners")
-    )
-    loose = (F.coalesce("top", F.lit(0.0)) > 1.0) | (F.coalesce("partners", F.lit(0)) > _FEW_PARTNERS)
-    return rows.join(seen, ["s", "b"], "left").select("s", "b", F.when(loose, 0).otherwise(kind).alias("kind"))
+        bound = side.groupBy("s", "b").agg(F.sum("m").cast("double").alias("most"))
+    else:
+        seen = partners.groupBy(F.col("s1").alias("s"), "b").agg(F.max("w").alias("most"))
+        bound = side.select("s", "b").distinct().join(seen, ["s", "b"], "left")
+    most = F.greatest(F.lit(1.0), F.coalesce("most", F.lit(1.0)))
+    step = F.pow(F.lit(2.0), F.ceil(F.log2(F.when(most < float("inf"), most)) - 1e-9))
+    return bound.select("s", "b", F.coalesce(step, F.lit(float("inf"))).alias("kind"))
 
 
 def _profiled(classes: DataFrame) -> DataFrame:
+    """``(s, profile, g)``: each subject's blocks with their kinds, and a digest that stands for them in joins."""
     entry = F.sort_array(F.collect_list(F.struct("b", "kind")))
     table = classes.groupBy("s").agg(entry.alias("profile"))
-    return table.select("s", "profile", F.xxhash64("profile").alias("g"))
+    named = F.transform("profile", lambda e: F.concat_ws("=", e["b"].cast("string"), e["kind"].cast("string")))
+    return table.select("s", "profile", F.md5(F.array_join(named, " ").cast("binary")).alias("g"))
 
 
 def block_density(side1: DataFrame, side2: DataFrame, partners: DataFrame) -> DataFrame:
-    """``(b, spread, hits)``: mean partner values per subject of side 1, and pairs with similar values."""
+    """``(b, spread, density)``: mean partner values per subject of side 1, and the share of pairs with similar values."""
     subjects1 = side1.groupBy("b").agg(F.count_distinct("s").alias("n1"))
     subjects2 = side2.groupBy("b").agg(F.count_distinct("s").alias("n2"))
     offered = partners.groupBy("b", "v").agg(F.count(F.lit(1)).alias("c1"))
@@ -205,91 +235,178 @@ def block_density(side1: DataFrame, side2: DataFrame, partners: DataFrame) -> Da
     )
 
 
-def key_plan(profiles1: DataFrame, profiles2: DataFrame, density: DataFrame, skip_lowest: bool) -> DataFrame:
-    """``(g1, g2, count, blocks)``: block sets to join on per pair of profiles."""
+def _ways_to_choose(numbers: Column, size: int) -> Column:
+    """Sum of the products of all ``size`` of the numbers."""
+    start = F.struct(*[F.lit(1.0 if k == 0 else 0.0).alias(f"e{k}") for k in range(size + 1)])
+    step = lambda acc, x: F.struct(
+        acc["e0"].alias("e0"), *[(acc[f"e{k}"] + acc[f"e{k - 1}"] * x).alias(f"e{k}") for k in range(1, size + 1)]
+    )
+    return F.aggregate(numbers, start, step, lambda acc: acc[f"e{size}"])
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _long_enough(size: int) -> Callable[[Column], Column]:
+    """Whether a head of ``m`` blocks holds ``size`` similar ones of every pair that scores more than ``need``."""
+
+    def test(m: Column) -> Column:
+        weights = F.transform(F.slice("entries", F.lit(1), m), lambda e: e["weight"])
+        tail = F.transform(F.slice("entries", m + 1, F.size("entries")), lambda e: e["weight"])
+        heaviest = _total(F.slice(F.sort_array(weights, asc=False), 1, size - 1)) if size > 1 else F.lit(0.0)
+        return _total(tail) + heaviest <= F.col("need")
+
+    return test
+
+
+def key_plan(pairs: DataFrame) -> DataFrame:
+    """``(g1, g2, count, size, head)``: a pair of subjects that scores enough is similar in ``size`` blocks of ``head``.
+
+    ``pairs`` has ``g1, g2, n1, n2, count, threshold`` and ``entries (density, b, weight, spread)``, all blocks that
+    subjects of both profiles have. Blocks are ordered from rare to frequent matches. With the frequent tail left out, a
+    pair still needs ``size`` similar blocks among the first as long as the tail and the ``size - 1`` heaviest of the first
+    cannot reach the threshold; the shortest such head is taken. Subjects are then joined on the values of any ``size``
+    blocks of the head together. The size with the least rows to join wins: keys of either side, and expected meetings.
+    """
+    ordered = pairs.withColumn("entries", F.sort_array("entries")).withColumn("need", F.col("threshold") * F.col("count"))
+    options = []
+    for size in _KEY_SIZES:
+        lengths = F.when(F.size("entries") >= size, F.sequence(F.lit(size), F.size("entries")))
+        m = F.get(F.filter(lengths, _long_enough(size)), F.lit(0))
+        ordered = ordered.withColumn(f"m{size}", m)
+        first = F.slice("entries", F.lit(1), F.col(f"m{size}"))
+        spread = F.transform(first, lambda e: F.greatest(e["spread"], F.lit(1.0)))
+        density = F.transform(first, lambda e: e["density"])
+        ones = F.transform(first, lambda e: F.lit(1.0))
+        cost = (
+            F.col("n1") * _ways_to_choose(spread, size) + F.col("n2") * _ways_to_choose(ones, size)
+            + F.col("n1").cast("double") * F.col("n2") * _ways_to_choose(density, size)
+        )
+        blocks = F.transform(first, lambda e: e["b"])
+        options.append(F.when(F.col(f"m{size}").isNotNull(), F.struct(cost.alias("cost"), F.lit(size).alias("size"), blocks.alias("head"))))
+    best = F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))
+    return ordered.select("g1", "g2", "count", best.alias("best")).select("g1", "g2", "count", "best.size", "best.head")
+
+
+def profile_entries(profiles1: DataFrame, profiles2: DataFrame, density: DataFrame) -> DataFrame:
+    """Pairs of profiles that share a block, as ``key_plan`` wants them but for the threshold."""
     sides = []
     for n, table in ((1, profiles1), (2, profiles2)):
         counted = table.groupBy("g", "profile").agg(F.count(F.lit(1)).alias(f"n{n}"))
         sides.append(
             counted.select(F.col("g").alias(f"g{n}"), f"n{n}", F.inline("profile").alias("b", f"kind{n}"))
         )
-    entry = F.struct("b", "kind1", "kind2", "spread", "density")
-    pairs = (
+    entry = F.struct("density", "b", (F.col("kind1") * F.col("kind2")).alias("weight"), "spread")
+    return (
         sides[0].join(sides[1], "b").join(density, "b")
         .groupBy("g1", "g2", "n1", "n2")
         .agg(F.count(F.lit(1)).alias("count"), F.collect_list(entry).alias("entries"))
     )
-    if skip_lowest:
-        pairs = without_lowest(pairs, pairs)
-    pairs = pairs.withColumn("threshold", level_threshold(F.col("count")))
-    return pairs.mapInPandas(plan_batches, "g1 bigint, g2 bigint, count bigint, blocks array<bigint>")
 
 
-def _pick(values: str, place: int) -> Column:
-    """Values of the ``place``-th block of a set; one null when the set is smaller."""
-    block = F.get("blocks", F.lit(place))
-    return F.explode_outer(F.when(block.isNotNull(), F.element_at(values, block)))
+def _sets(size: int) -> Column:
+    """All ``size`` of the blocks of ``head``, in its order."""
+
+    def after(prefix: list[Column], low: Column, left: int) -> Column:
+        if not left:
+            return F.array(F.array(*prefix))
+        last = F.size("head") - left
+        return F.flatten(F.transform(
+            F.when(last >= low, F.sequence(low, last)).otherwise(F.array().cast("array<int>")),
+            lambda i: after([*prefix, F.get("head", i)], i + 1, left - 1),
+        ))
+
+    return after([], F.lit(0), size)
 
 
-def _composite_keys(rows: DataFrame, plan: DataFrame, subject: str, g: str) -> DataFrame:
-    """Join keys of the sets with several blocks: one row per combination of a subject's values."""
-    lists = rows.groupBy(subject, g, "b").agg(F.collect_list("v").alias("vs"))
-    maps = lists.groupBy(subject, g).agg(F.map_from_entries(F.collect_list(F.struct("b", "vs"))).alias("held"))
-    keyed = maps.join(plan, g).filter(F.forall("blocks", lambda b: F.map_contains_key("held", b)))
-    out = ["g1", "g2", "count", "blocks", subject]
-    for place in range(3):
-        keyed = keyed.select(*out, "held", _pick("held", place).alias(f"k{place}"))
-        out.append(f"k{place}")
-    return keyed.select("g1", "g2", "count", "blocks", subject, *[F.coalesce(f"k{i}", F.lit("")).alias(f"k{i}") for i in range(3)])
+def _composite_keys(asked: DataFrame, values: DataFrame, subject: str) -> DataFrame:
+    """Rows of ``asked (subject, g1, g2, count, set)`` with ``k0..``: each combination of the subject's values in its set."""
+    for place in range(max(_KEY_SIZES)):
+        block = F.get("set", F.lit(place))
+        here = values.select(subject, F.col("b").alias("__b"), F.col("v").alias(f"k{place}"))
+        there = asked.filter(block.isNotNull()).withColumn("__b", block).join(here, [subject, "__b"]).drop("__b")
+        asked = there.unionByName(asked.filter(block.isNull()).withColumn(f"k{place}", F.lit("")))
+    return asked
 
 
 def candidate_pairs(rows1: DataFrame, rows2: DataFrame, plan: DataFrame) -> DataFrame:
-    """Distinct ``(s1, s2, count)`` that agree in all blocks of one of their sets.
+    """Distinct ``(s1, s2, count)`` that have as many similar blocks of their plan's head as it asks for, and some others.
 
-    ``rows1(s1, g1, b, v, kind)`` holds partner values, ``rows2(s2, g2, b, v, kind)`` own values.
+    ``rows1 (s1, g1, b, v)`` holds partner values, ``rows2 (s2, g2, b, v)`` own values; all three are stored tables.
+
+    Values of several blocks together make few meetings but many keys for a subject with many partner values. Each
+    subject of side 1 is therefore looked up as costs it less: by its combinations, or by single values in the first
+    blocks of the head, one of which is similar, too, if ``size`` of the head are; what those meet is counted.
     """
-    single = plan.filter(F.size("blocks") == 1).select("g1", "g2", "count", F.get("blocks", F.lit(0)).alias("b"))
-    alone = (
-        rows1.select("s1", "g1", "b", "v").join(single, ["g1", "b"])
-        .join(rows2.select("s2", "g2", "b", "v"), ["g2", "b", "v"])
-        .select("s1", "s2", "count")
+    taken = rows2.groupBy("g2", "b", "v").agg(F.count(F.lit(1)).alias("c"))
+    held = rows1.groupBy("s1", "b").agg(F.count(F.lit(1)).cast("double").alias("values"))
+    heads = rows1.select("s1", "g1").distinct().join(plan.filter("size > 1"), "g1")
+    placed = heads.select("s1", "g1", "g2", "count", "size", "head", F.posexplode("head").alias("place", "b"))
+    early = placed.filter(F.col("place") <= F.size("head") - F.col("size"))
+    meets = (
+        early.join(rows1.select("s1", "b", "v"), ["s1", "b"]).join(taken, ["g2", "b", "v"])
+        .groupBy("s1", "g2").agg(F.sum("c").cast("double").alias("meets"))
     )
-    several = plan.filter(F.size("blocks") > 1)
-    bounded1, bounded2 = (r.filter(F.col("kind") > 0) for r in (rows1, rows2))
-    keys1 = _composite_keys(bounded1, several, "s1", "g1")
-    keys2 = _composite_keys(bounded2, several, "s2", "g2")
-    joint = keys1.join(keys2.drop("count"), ["g1", "g2", "blocks", "k0", "k1", "k2"]).select("s1", "s2", "count")
-    return alone.unionByName(joint).distinct()
+    own = placed.join(held, ["s1", "b"]).groupBy("s1", "g1", "g2", "count", "size", "head").agg(F.collect_list("values").alias("values"))
+    keys = F.lit(float("inf"))
+    for size in _KEY_SIZES[1:]:
+        keys = F.when(F.col("size") == size, _ways_to_choose(F.col("values"), size)).otherwise(keys)
+    chosen = stored(own.join(meets, ["s1", "g2"]).select("s1", "g1", "g2", "count", "size", "head", (keys < F.col("meets")).alias("joint")))
+
+    single = plan.filter("size = 1").select("g1", "g2", "count", F.explode("head").alias("b"))
+    alone = rows1.select("s1", "g1", "b", "v").join(single, ["g1", "b"]).select("s1", "g2", "count", "b", "v")
+    first = chosen.filter("not joint").select("s1", "g2", "count", F.explode(F.expr("slice(head, 1, size(head) - size + 1)")).alias("b"))
+    alone = alone.unionByName(first.join(rows1.select("s1", "b", "v"), ["s1", "b"]).select("s1", "g2", "count", "b", "v"))
+    met = dealt_join(stored(alone), rows2.select("s2", "g2", "b", "v"), ["g2", "b", "v"]).select("s1", "s2", "count")
+
+    used = chosen.filter("joint").select("g1", "g2").distinct()
+    for size in _KEY_SIZES[1:]:
+        wanted = plan.filter(F.col("size") == size).join(used, ["g1", "g2"], "left_semi")
+        sets = stored(wanted.select("g1", "g2", F.explode(_sets(size)).alias("set")))
+        asked1 = chosen.filter("joint").filter(F.col("size") == size).select("s1", "g1", "g2", "count").join(sets, ["g1", "g2"])
+        asked2 = rows2.select("s2", "g2").distinct().join(sets, "g2")
+        keys1 = stored(_composite_keys(asked1, rows1, "s1"))
+        keys2 = stored(_composite_keys(asked2, rows2, "s2"))
+        on = ["g1", "g2", "set", *[f"k{i}" for i in range(max(_KEY_SIZES))]]
+        met = met.unionByName(dealt_join(keys1, keys2, on).select("s1", "s2", "count"))
+    return met.distinct()
 
 
 def match_leaves(
-    t1: DataFrame, t2: DataFrame, pairs: DataFrame, mode: str = "string", skip_lowest: bool = True,
-    sims: DataFrame | None = None,
+    t1: DataFrame, t2: DataFrame, pairs: DataFrame, mode: str = "string", skip_lowest: bool = False,
+    sims: DataFrame | None = None, min_shared: int = 1, exclusive: bool = False,
 ) -> DataFrame:
     """Matches ``(s1, s2, score)`` of two graphs' literal statements under matched predicates.
 
-    The result is that of ``match_leaves_of_blocks`` on the full block table.
+    The result is that of ``match_leaves_of_blocks`` on the full block table. For the options see ``match_sides``.
     """
     pairs = stored(with_block(pairs))
     side1, side2 = stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2))
-    return match_sides(side1, side2, mode, skip_lowest, sims)
+    return match_sides(side1, side2, mode, skip_lowest, sims, min_shared, exclusive)
 
 
 def match_sides(
-    side1: DataFrame, side2: DataFrame, mode: str = "string", skip_lowest: bool = True, sims: DataFrame | None = None
+    side1: DataFrame, side2: DataFrame, mode: str = "string", skip_lowest: bool = False, sims: DataFrame | None = None,
+    min_shared: int = 1, exclusive: bool = False,
 ) -> DataFrame:
-    """``match_leaves`` on the two factored block tables."""
+    """``match_leaves`` on the two factored block tables.
+
+    All pairs of subjects that share a predicate are compared. ``min_shared`` asks for more shared predicates;
+    ``skip_lowest`` leaves out the pairs with the fewest there are, unless all have that many, so that what is kept
+    depends on the rest of the graph; ``exclusive`` keeps a match only if neither subject is matched with more shared
+    predicates.
+    """
     similar = similar_values(side1, side2, mode, sims=sims, as_keys=True)
     side1, side2 = keyed(side1), keyed(side2)
     partners = stored(partner_values(side1, similar))
     classes1, classes2 = _classes(side1, partners), _classes(side2, None)
     profiles1, profiles2 = stored(_profiled(classes1)), stored(_profiled(classes2))
-    plan = stored(key_plan(profiles1, profiles2, block_density(side1, side2, partners), skip_lowest))
+    shared = chosen_levels(stored(profile_entries(profiles1, profiles2, block_density(side1, side2, partners))), skip_lowest, min_shared)
+    plan = stored(key_plan(shared.withColumn("threshold", level_threshold(F.col("count")))))
 
-    left = profiles1.select(F.col("s").alias("s1"), F.col("g").alias("g1"), F.inline("profile").alias("b", "kind"))
-    rows1 = partners.join(left, ["s1", "b"])
-    right = profiles2.select("s", F.col("g").alias("g2"), F.inline("profile").alias("b", "kind"))
-    rows2 = side2.join(right, ["s", "b"]).withColumnRenamed("s", "s2")
+    rows1 = stored(partners.select("s1", "b", "v").join(profiles1.select(F.col("s").alias("s1"), F.col("g").alias("g1")), "s1"))
+    rows2 = stored(side2.select(F.col("s").alias("s2"), "b", "v").join(profiles2.select(F.col("s").alias("s2"), F.col("g").alias("g2")), "s2"))
 
     found = non_reflexive(candidate_pairs(rows1, rows2, plan))
     scores = (
@@ -298,4 +415,5 @@ def match_sides(
         .groupBy("s1", "s2", "count")
         .agg((F.sum(F.col("w") * F.col("m")) / F.col("count")).alias("score"))
     )
-    return scores.filter(F.col("score") > level_threshold(F.col("count"))).select("s1", "s2", "score")
+    matches = scores.filter(F.col("score") > level_threshold(F.col("count"))).select("s1", "s2", "score", "count")
+    return (level_by_level(matches) if exclusive else matches).select("s1", "s2", "score")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleweave.config import PREDICATE_THRESHOLD
-from tripleweave.functions.terms import is_uri, lexical_form, local_name
+from tripleweave.config import PARENT_THRESHOLD, PREDICATE_THRESHOLD
+from tripleweave.functions.terms import comparable_value, is_uri, lexical_form, local_name, uri_ending
 from tripleweave.operators.blocking import (
     blocked_side,
     common_predicate_clusters,
@@ -17,9 +19,11 @@ from tripleweave.operators.blocking import (
 from tripleweave.operators.checkpoints import stored
 from tripleweave.operators.evaluate import compression
 from tripleweave.operators.filters import drop_meta_predicates, dedupe_triples, entity_names, literal_triples, non_reflexive
+from tripleweave.operators.lexicon import Lexicon, Taxonomy, vocabulary_similarity
 from tripleweave.operators.matching import keyed, match_leaves, partner_values, similar_values, without_lowest
-from tripleweave.operators.neighbours import neighbour_triples, substitute_matched
-from tripleweave.operators.predicates import equal_predicates, match_predicates, match_terms
+from tripleweave.operators.neighbours import neighbour_triples, substitute_matched, untouched_triples
+from tripleweave.operators.skew import dealt_join
+from tripleweave.operators.predicates import equal_predicates, lexicon_words, match_predicates, match_terms
 
 
 def prepare(triples: DataFrame, drop_meta: bool = True) -> DataFrame:
@@ -36,6 +40,19 @@ def predicate_pairs(
     return equal_predicates(t1, t2) if exact else match_predicates(t1, t2, threshold, sims)
 
 
+def graph_sims(t1: DataFrame, t2: DataFrame, lexicon: Lexicon, threshold: float, tree: Taxonomy | None = None) -> DataFrame:
+    """``sims`` of the words in both graphs' predicate names and values, for ``align_entities`` and the comparisons.
+
+    ``threshold`` is the least that any step asks of two words; steps that ask for more filter the table.
+    """
+    sides = []
+    for t in (t1, t2):
+        names = lexicon_words(t.select(uri_ending("p").alias("v")).filter("v is not null").distinct(), names=True)
+        values = lexicon_words(t.select(comparable_value("o").alias("v")).filter("v is not null").distinct())
+        sides.append(names.unionByName(values).distinct())
+    return stored(vocabulary_similarity(*sides, lexicon, threshold, tree))
+
+
 def cluster_subjects(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters of subjects by number of shared literal predicates, in factored form."""
     pairs = stored(with_block(pairs))
@@ -51,34 +68,38 @@ def blocking_evaluation(t1: DataFrame, t2: DataFrame, pairs: DataFrame | None =
 
 def align_entities(
     t1: DataFrame, t2: DataFrame, pairs: DataFrame | None = None, mode: str = "string",
-    skip_lowest: bool = True, sims: DataFrame | None = None,
+    skip_lowest: bool = False, sims: DataFrame | None = None, min_shared: int = 1, exclusive: bool = False,
 ) -> DataFrame:
-    """Matches ``(s1, s2, score)`` of two prepared graphs by their literal values."""
+    """Matches ``(s1, s2, score)`` of two prepared graphs by their literal values; for the options see ``match_sides``."""
     pairs = predicate_pairs(t1, t2, sims=sims) if pairs is None else pairs
-    return match_leaves(literal_triples(t1), literal_triples(t2), pairs, mode, skip_lowest, sims)
+    return match_leaves(literal_triples(t1), literal_triples(t2), pairs, mode, skip_lowest, sims, min_shared, exclusive)
 
 
-def neighbour_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(s1, s2, score)`` of subjects of neighbour graphs that share a similar value (best score per pair)."""
-    pairs = stored(with_block(pairs))
-    return similar_subjects(stored(blocked_side(t1, pairs, 1)), stored(blocked_side(t2, pairs, 2)))
-
-
-def similar_subjects(side1: DataFrame, side2: DataFrame) -> DataFrame:
+def similar_subjects(side1: DataFrame, side2: DataFrame, normed: bool = False) -> DataFrame:
     """Subject pairs with similar values in some block, with their best score.
 
     Values are joined by similarity per block and carried back to the subjects; the block table is not
-    formed. The result has one row for every pair that shares a value, however frequent that value is.
+    formed. The result has one row for every pair that shares a value, however frequent that value is; the rows of
+    frequent values are dealt out by their counts. ``normed`` gives the mean score of a pair's similar values instead, if
+    it is above the parent threshold.
     """
-    similar = similar_values(side1, side2, as_keys=True)
+    similar = stored(similar_values(side1, side2, as_keys=True))
     side1, side2 = keyed(side1), keyed(side2)
-    partners = partner_values(side1, similar)
-    rows = partners.join(side2.select(F.col("s").alias("s2"), "b", "v"), ["b", "v"])
-    return non_reflexive(rows).groupBy("s1", "s2").agg(F.max("top").alias("score"))
-
-
-def value_level_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame, skip_lowest: bool = True) -> DataFrame:
-    """``(s1, s2, score)`` of all subject pairs with one pair of similar literals, the lowest level left out.
+    right = stored(side2.select(F.col("s").alias("s2"), "b", "v", F.col("m").alias("m2")))
+    if not normed:
+        partners = stored(partner_values(side1, similar).select("s1", "b", "v", "top"))
+        rows = dealt_join(partners, right, ["b", "v"])
+        return non_reflexive(rows).groupBy("s1", "s2").agg(F.max("top").alias("score"))
+    held = side1.select(F.col("s").alias("s1"), "b", F.col("v").alias("v1"), "m")
+    partners = stored(held.join(similar, ["b", "v1"]).select("s1", "b", F.col("v2").alias("v"), "m", "score"))
+    rows = non_reflexive(dealt_join(partners, right, ["b", "v"]))
+    copies = F.col("m") * F.col("m2")
+    mean = F.sum(F.col("score") * copies) / F.sum(copies)
+    return rows.groupBy("s1", "s2").agg(mean.alias("score")).filter(F.col("score") > PARENT_THRESHOLD)
+
+
+def value_level_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame, skip_lowest: bool = False) -> DataFrame:
+    """``(s1, s2, score)`` of all subject pairs with one pair of similar literals, with ``skip_lowest`` but the lowest level.
 
     These are the rows before scores are summed per pair; there is one for every pair that shares a value.
     """
@@ -98,34 +119,77 @@ def value_level_matches(t1: DataFrame, t2: DataFrame, pairs: DataFrame, skip_low
     )
 
 
+@dataclass(frozen=True)
+class _Around:
+    """Triples around the matches so far: of graph 1 with matched terms replaced, and of graph 2."""
+
+    left: DataFrame
+    right: DataFrame
+
+
 def deduce_relations(
-    t1: DataFrame, t2: DataFrame, matches: DataFrame, rounds: int = 1, sims: DataFrame | None = None,
-    earlier: DataFrame | None = None,
+    t1: DataFrame, t2: DataFrame, matches: DataFrame, rounds: int | None = 1, sims: DataFrame | None = None,
+    earlier: DataFrame | None = None, mode: str = "any",
 ) -> DataFrame:
     """Matches extended through the neighbourhood, ``(s1, s2, score, stage)``.
 
-    Per round: triples around the matches on both sides, matched terms of graph 1 replaced by their
-    partners, predicates matched anew, and subjects with a similar value become matches. ``earlier`` adds
-    pairs known from single values (``value_level_matches``) to the result of the first round. Each round's
-    tables are stored, so a lost executor costs part of a round at most.
+    Per round: triples around the matches on both sides, matched terms of graph 1 replaced by their partners, predicates
+    matched, and subjects with a similar value become matches (``any``), or those whose similar values have a mean score
+    above the parent threshold (``normed``). ``earlier`` adds pairs known from single values (``value_level_matches``) to
+    the result of the first round. ``rounds=None`` goes on until a round finds nothing new.
+
+    Rounds are semi-naive: only what the last round found widens the neighbourhood, and only triples that are new there,
+    or that changed because a term of theirs was matched, are compared, with everything known of the other side. Two
+    triples that were there before have been compared before, so nothing is missed. ``normed`` weighs all similar values
+    of a pair, so it compares a round's whole neighbourhood. Each round's tables are stored, so a lost executor costs
+    part of a round at most.
     """
+    t1, t2 = stored(t1.select("s", "p", "o")), stored(t2.select("s", "p", "o"))
     known = stored(matches.select("s1", "s2", "score", F.lit(0).alias("stage")))
-    for stage in range(1, rounds + 1):
-        around1 = stored(neighbour_triples(t1, known.select(F.col("s1").alias("s"))))
-        around1 = stored(substitute_matched(around1, known))
-        around2 = stored(neighbour_triples(t2, known.select(F.col("s2").alias("s"))))
-        pairs = match_predicates(around1, around2, sims=sims)
-        found = neighbour_matches(around1, around2, pairs)
+    last, before, stage = known, None, 0
+    while rounds is None or stage < rounds:
+        stage += 1
+        around, new1, new2 = _widened(t1, t2, known, last, before)
+        pairs = stored(with_block(match_predicates(around.left, around.right, sims=sims)))
+        side1, side2 = stored(blocked_side(around.left, pairs, 1)), stored(blocked_side(around.right, pairs, 2))
+        if mode == "normed":
+            found = similar_subjects(side1, side2, normed=True)
+        elif before is None:
+            found = similar_subjects(side1, side2)
+        else:
+            fresh1, fresh2 = stored(blocked_side(new1, pairs, 1)), stored(blocked_side(new2, pairs, 2))
+            both = similar_subjects(fresh1, side2).unionByName(similar_subjects(side1, fresh2))
+            found = both.groupBy("s1", "s2").agg(F.max("score").alias("score"))
         if earlier is not None and stage == 1:
             both = found.unionByName(earlier.select("s1", "s2", "score"))
             found = both.groupBy("s1", "s2").agg(F.max("score").alias("score"))
         new = found.join(known.select("s1", "s2"), ["s1", "s2"], "left_anti")
-        known = known.unionByName(new.select("s1", "s2", "score", F.lit(stage).alias("stage")))
-        if stage < rounds:
-            known = stored(known)
+        last = stored(new.select("s1", "s2", "score", F.lit(stage).alias("stage")))
+        known, before = known.unionByName(last), around
+        if last.isEmpty():
+            break
     return known
 
 
+def _widened(
+    t1: DataFrame, t2: DataFrame, known: DataFrame, last: DataFrame, before: _Around | None
+) -> tuple[_Around, DataFrame, DataFrame]:
+    """The neighbourhood after the matches ``last``, and what is new in it on either side.
+
+    All triples that hold a newly matched subject lie in its neighbourhood, so replacing terms there brings the rest
+    up to date as well; the old forms of those triples go.
+    """
+    near1 = substitute_matched(stored(neighbour_triples(t1, last.select(F.col("s1").alias("s")))), known)
+    near2 = neighbour_triples(t2, last.select(F.col("s2").alias("s")))
+    if before is None:
+        around = _Around(stored(near1.distinct()), stored(near2))
+        return around, around.left, around.right
+    new1 = stored(near1.distinct().join(before.left, ["s", "p", "o"], "left_anti"))
+    new2 = stored(near2.join(before.right, ["s", "p", "o"], "left_anti"))
+    left = stored(untouched_triples(before.left, last).unionByName(new1).distinct())
+    return _Around(left, stored(before.right.unionByName(new2))), new1, new2
+
+
 # --- whole-graph term comparison -----------------------------------------------------------------------
 
 

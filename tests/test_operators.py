@@ -93,7 +93,7 @@ def test_factored_clusters_equal_counts(spark):
 def test_value_level_matches_and_rounds(spark):
     t1, t2 = tiny.triples(spark, tiny.CARS1), tiny.triples(spark, tiny.CARS2)
     pairs = predicates.match_predicates(t1, t2)
-    single = tiny.short({(r.s1, r.s2) for r in align.value_level_matches(t1, t2, pairs).collect()})
+    single = tiny.short({(r.s1, r.s2) for r in align.value_level_matches(t1, t2, pairs, skip_lowest=True).collect()})
     # Lion and Leon are alike; person2 and person4 share the last name only, which is the lowest level
     assert single == {("person1", "person3"), ("person2", "person3"), ("car1", "car3"), ("car2", "car4")}
     every = align.value_level_matches(t1, t2, pairs, skip_lowest=False)
@@ -190,15 +190,99 @@ def test_hypernyms(spark, lex):
     assert {tuple(r.path) for r in paths.collect()} == {
         ("amphibian", "car", "artefact", "entity"), ("amphibian", "boat", "artefact", "entity"), ("person", "being", "entity")
     }
-    assert bag(lexicon.root_hypernyms(paths)) == [("amphibian", "entity"), ("person", "entity")]
-    assert bag(lexicon.min_depth(paths)) == [("amphibian", 3), ("person", 2)]
-    up = lexicon.ancestors(paths)
-    pairs = spark.createDataFrame([("amphibian", "person")], "left string, right string")
-    assert lexicon.lowest_common_hypernym(pairs, up).first().common == "entity"
-    way = lexicon.shortest_hypernym_path(pairs, paths, up).first()
-    assert way.left_path[0] == "amphibian" and way.left_path[-1] == "entity" and way.right_path == ["person", "being", "entity"]
-    every = lexicon.paths_of_all_nodes(paths)
-    assert {r.synset for r in every.collect()} == {"amphibian", "car", "boat", "artefact", "entity", "person", "being"}
+    up = lexicon.hypernym_closure(lex.synsets.filter("synset in ('amphibian', 'person')"), lex.pointers)
+    assert {(r.ancestor, r.distance) for r in up.filter("synset = 'amphibian'").collect()} == {
+        ("amphibian", 0), ("car", 1), ("boat", 1), ("artefact", 2), ("entity", 3)
+    }
+    assert bag(lexicon.root_hypernyms(up, lex.pointers)) == [("amphibian", "entity", 3), ("person", "entity", 2)]
+    assert bag(lexicon.min_depth(up, lex.pointers)) == [("amphibian", 3), ("person", 2)]
+    pairs = spark.createDataFrame([("amphibian", "person"), ("person", "person")], "left string, right string")
+    assert {r.left: r.common for r in lexicon.lowest_common_hypernym(pairs, up).collect()} == {"amphibian": "entity", "person": "person"}
+    ways = {r.left: (r.left_path, r.right_path) for r in lexicon.shortest_hypernym_path(pairs, lex.pointers, up).collect()}
+    assert ways == {"amphibian": (["amphibian", "boat", "artefact", "entity"], ["person", "being", "entity"]), "person": (["person"], ["person"])}
+
+
+def test_closure_of_a_ladder_of_diamonds(spark):
+    """Two hypernyms on each of 30 levels make a billion ways, but 90 ancestors; and a cycle ends."""
+    edges = []
+    for k in range(30):
+        edges += [(f"n{k}", f"l{k}"), (f"n{k}", f"r{k}"), (f"l{k}", f"n{k + 1}"), (f"r{k}", f"n{k + 1}")]
+    edges += [("a", "b"), ("b", "a")]
+    pointers = spark.createDataFrame([(x, "hypernym", y) for x, y in edges], "src string, ptr_type string, dst string")
+    chosen = spark.createDataFrame([("n0",), ("a",)], "synset string")
+    up = {(r.synset, r.ancestor): r.distance for r in lexicon.hypernym_closure(chosen, pointers).collect()}
+    assert len(up) == 91 + 2 and up["n0", "n30"] == 60 and up["a", "b"] == 1
+
+
+def random_lexicon(spark, seed, size=40):
+    import random
+
+    rng = random.Random(seed)
+    names = [f"w{k}{rng.choice(['abc', 'bcd', 'cde'])}" for k in range(size)]
+    pos = ["verb" if k % 4 == 3 else "noun" for k in range(size)]
+    pointers = []
+    for k in range(1, size):
+        same = [j for j in range(k) if pos[j] == pos[k]]
+        for j in set(rng.choices(same, k=rng.choice([0, 1, 1, 2]))) if same else ():
+            pointers.append((f"s{k}", "hypernym", f"s{j}"))
+        if rng.random() < 0.4:
+            pointers.append((f"s{k}", rng.choice(["antonym", "part_meronym", "substance_meronym", "part_holonym", "hyponym"]), f"s{rng.randrange(size)}"))
+    gloss = [" ".join(rng.choices(["kind", "of", "thing", "red", "blue", "move", "fast", "old", "large", "bolt"], k=rng.randint(1, 9))) for _ in range(size)]
+    senses = [(names[k], pos[k], 1, f"s{k}") for k in range(size)] + [(names[k], pos[k], 2, f"s{(k + 1) % size}") for k in range(0, size, 5)]
+    senses += [(f"syn{k}x", pos[k], 1, f"s{k}") for k in range(0, size, 3)]
+    freq = [(f"s{k}", rng.choice([0, 3, 50, 4000])) for k in range(size) if rng.random() < 0.7]
+    tables = lexicon.Lexicon(
+        spark.createDataFrame(senses, "lemma string, pos string, sense_no int, synset string"),
+        spark.createDataFrame([(f"s{k}", pos[k], [names[k]], gloss[k]) for k in range(size)], "synset string, pos string, lemmas array<string>, gloss string"),
+        spark.createDataFrame(pointers, "src string, ptr_type string, dst string"), spark.createDataFrame(freq, "synset string, count long"),
+    )
+    return tables, pointers, sorted({s[0] for s in senses})
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_relation_paths_equal_enumeration(spark, seed):
+    """All ways of up to five steps, written out, against the search by states."""
+    import re
+
+    lex, pointers, _ = random_lexicon(spark, seed, 30)
+    steps = set()
+    for a, kind, b in pointers:
+        if kind in ("hypernym", "part_meronym", "substance_meronym"):
+            steps |= {(a, "u", b), (b, "d", a)}
+        elif kind == "antonym":
+            steps |= {(a, "h", b), (b, "h", a)}
+        else:
+            steps |= {(b, "u", a), (a, "d", b)}
+    after = {}
+    for a, c, b in steps:
+        after.setdefault(a, []).append((c, b))
+    nodes = [f"s{k}" for k in range(30)]
+    want = {}
+    for start in nodes:
+        ways = {(start, "")}
+        for _ in range(5):
+            ways |= {(b, w + c) for node, w in ways for c, b in after.get(node, ()) if re.fullmatch("u*h*d*|d+h*", w + c)}
+        for node, w in ways:
+            score = 16 if node == start else 8 - len(w) - (len(set(w)) - 1)
+            want[start, node] = max(want.get((start, node), 0), score)
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "left string, right string")
+    got = {(r.left, r.right): r.hso for r in lexicon.hirst_st_onge(pairs, lex.pointers).collect()}
+    assert got == {(a, b): want.get((a, b), 0) for a in nodes for b in nodes}
+    assert {6.0, 5.0, 16.0} <= set(got.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("threshold", [0.15, 0.3, 0.6])
+def test_similar_words_equal_the_whole_product(spark, seed, threshold):
+    lex, _, words = random_lexicon(spark, seed)
+    left, right = words[::2] + words[1:9] + ["unknown", "ab"], words[1::2] + words[:8] + [words[0].upper()]
+    frames = [spark.createDataFrame([(w,) for w in sorted(set(d))], "word string") for d in (left, right)]
+    product = frames[0].toDF("x").join(frames[1].toDF("y"))
+    every = {(r.x, r.y): r.sim for r in lexicon.word_similarity(product, lex).filter(f"sim >= {threshold}").collect()}
+    got = {(r.x, r.y): r.sim for r in lexicon.vocabulary_similarity(*frames, lex, threshold).collect()}
+    assert got and got == every
+    plan = lexicon.vocabulary_similarity(*frames, lex, threshold)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_measures(spark, lex):
@@ -245,7 +329,7 @@ def test_word_similarity(spark, lex):
 
 def test_vocabulary_feeds_predicate_matching(spark, lex):
     words = [spark.createDataFrame([(w,) for w in side], "word string") for side in (["car", "Owner"], ["boat", "automobiles"])]
-    sims = lexicon.vocabulary_similarity(*words, lex)
+    sims = lexicon.vocabulary_similarity(*words, lex, 0.25)
     found = {(r.x, r.y) for r in sims.collect()}
     assert found == {("car", "boat"), ("car", "automobiles")}
     t1 = spark.createDataFrame([("<s>", "<http://a/carOwner>", '"x"')], "s string, p string, o string")
@@ -261,6 +345,17 @@ def test_base_form(spark, lex, term, base):
     assert [r.base for r in rows] == ([base] if base else [])
 
 
+@pytest.mark.parametrize("term, base", [
+    ("sports cars", "sports car"), ("Sports-Cars", "sports car"), ("fast red sports cars here", "sports car"), ("men of wars", "man-of-war"),
+    ("man of sports", None), ("mothers in law", "mother-in-law"), ("very old cars", None), ("old sports car drivers", "sports car driver"),
+])
+def test_compound_base_form(spark, term, base):
+    words = ["sports car", "man-of-war", "mother-in-law", "sports car driver", "car", "law"]
+    senses = spark.createDataFrame([(w, "noun", 1, w) for w in words], "lemma string, pos string, sense_no int, synset string")
+    rows = lexicon.base_form(spark.createDataFrame([(term,)], "term string"), senses).collect()
+    assert [r.base for r in rows] == ([base] if base else [])
+
+
 def test_base_form_exceptions(spark, lex):
     exceptions = spark.createDataFrame([("verb", "ran", "run")], "pos string, form string, base string")
     terms = spark.createDataFrame([("ran",)], "term string")
@@ -271,3 +366,4 @@ def test_base_form_exceptions(spark, lex):
 def test_stem_vocabulary(spark):
     words = spark.createDataFrame([("cars",), ("cars",), ("director",), (None,)], "w string")
     assert lexicon.with_stems(words, "w").filter("stem = 'car'").count() == 2
+    assert lexicon.with_stems(words.toDF("word"), "word").columns == ["word", "stem"]

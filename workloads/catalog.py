@@ -6,17 +6,18 @@ Every query runs over whole tables. ``register`` ties a name to a Spark callable
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleweave.config import OWL_SAME_AS, RDF_TYPE
+from tripleweave.config import OWL_SAME_AS, RDF_TYPE, Thresholds
 from tripleweave.functions import terms, text
 from tripleweave.operators import blocking, encoding, evaluate, filters, lexicon, matching, neighbours, predicates, stats
-from tripleweave.operators.checkpoints import stored
+from tripleweave.operators.checkpoints import new_path, stored
 from tripleweave.plans import align
-from tripleweave.sources.ntriples import parse_statements, with_term_columns
-from tripleweave.sources import tables
+from tripleweave.sources import ntriples, tables
+from tripleweave.sources.ntriples import parse_statements, read_ntriples, read_with_rejects, with_term_columns, write_ntriples
 from tripleweave.sources.tables import predicate_histogram
 from workloads import graphs as g
 from workloads import lexicons as lx
@@ -57,13 +58,59 @@ SELECT s, p, o, {q.local_name('s')} AS s_local, {q.local_name('p')} AS p_local,
   CASE WHEN o NOT LIKE '<%' THEN regexp_extract(o, '^"(.*)"(?:@[A-Za-z0-9\\-]+|\\^\\^<[^>]*>)?$', 1) END AS o_value,
   nullif(regexp_extract(o, '"@([A-Za-z0-9\\-]+)$', 1), '') AS o_lang,
   nullif(regexp_extract(o, '"\\^\\^<([^>]*)>$', 1), '') AS o_datatype
-FROM ({rows(g.CATALOGUE)})""")
+FROM ({rows(g.CATALOGUE)})
+UNION ALL SELECT s, p, o, {q.local_name('s')}, {q.local_name('p')}, 'literal', NULL, said, lang, NULL FROM ({g.NOTES_SQL})""")
 def ntriples_statements(spark, sf):
-    """Statement lines, parsed back to triples with term columns."""
-    lines = g.build(spark, sf, g.CATALOGUE).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
+    """Statement lines, parsed back to triples with term columns; whole texts with escapes among them."""
+    triples = g.build(spark, sf, g.CATALOGUE).unionByName(g.build(spark, sf, g.NOTES))
+    lines = triples.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
     return with_term_columns(filters.dedupe_triples(parse_statements(lines)))
 
 
+def _files(spark, sf, *specs):
+    """Graphs written as statement files to a new place in the shared folder."""
+    folder = new_path(spark, "files")
+    paths = [f"{folder}/{k}" for k in range(len(specs))]
+    for path, spec in zip(paths, specs):
+        write_ntriples(g.build(spark, sf, spec), path)
+    return folder, paths
+
+
+@register(f"{rows(g.CATALOGUE)} UNION ALL SELECT s, p, o FROM ({g.NOTES_SQL})")
+def triples_from_files(spark, sf):
+    """Triples read back from statement files, repeated statements once."""
+    _, paths = _files(spark, sf, [*g.CATALOGUE, *g.NOTES])
+    return read_ntriples(spark, paths[0])
+
+
+_BROKEN = {  # lines that say nothing or can't be read, made of suppliers and customers
+    "supplier": "case s_suppkey % 3 when 0 then '<http://a.example/s> \"' || s_name || '\" .' when 1 then '# ' || s_name else '' end",
+    "customer": "'<http://a.example/c> <http://a.example/p> \"' || c_name || case when c_custkey % 2 = 0 then '\" .' else ' .' end",
+}
+
+
+def _broken_file(spark, sf):
+    path = new_path(spark, "files")
+    lines = [spark.read.parquet(f"{sf}/{t}.parquet").select(F.expr(e)) for t, e in _BROKEN.items()]
+    lines[0].union(lines[1]).write.text(path)
+    return path
+
+
+@register("""SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) AS lines, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS statements,
+  (SELECT count(*) FROM supplier WHERE s_suppkey % 3 <> 0) AS silent,
+  (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0) + (SELECT count(*) FROM customer WHERE c_custkey % 2 <> 0) AS rejected""")
+def reading_report(spark, sf):
+    """How many lines of a file are statements, say nothing, or can't be read."""
+    return ntriples.reading_report(spark, _broken_file(spark, sf))
+
+
+@register(f"""SELECT {_BROKEN['supplier']} AS value FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT {_BROKEN['customer']} FROM customer WHERE c_custkey % 2 <> 0""")
+def rejected_lines(spark, sf):
+    """The lines of a file that can't be read."""
+    return read_with_rejects(spark, _broken_file(spark, sf))[1].select("value")
+
+
 @register(rows(g.CATALOGUE, meta=False))
 def prepared_triples(spark, sf):
     """Distinct triples without type and link statements."""
@@ -103,10 +150,11 @@ def pairs_of_host(spark, sf):
 SELECT term, {q.ending('term')} AS ending, {q.ending('term', False)} AS segment,
   {q.literal_value('term')} AS literal, {q.literal_or_ending('term')} AS shown, {q.comparable('term')} AS comparable,
   {q.lower_ending('term')} AS lowered
-FROM t""")
+FROM t UNION ALL SELECT DISTINCT o, NULL, NULL, said, said, said, {q.lower_ending('o')} FROM ({g.NOTES_SQL})""")
 def term_values(spark, sf):
-    """Endings, literal texts and comparable values of all objects."""
-    objects = g.build(spark, sf, g.CATALOGUE).unionByName(g.build(spark, sf, g.GEO)).select(F.col("o").alias("term"))
+    """Endings, literal texts and comparable values of all objects; whole texts with escapes among them."""
+    graphs = [g.build(spark, sf, s) for s in (g.CATALOGUE, g.GEO, g.NOTES)]
+    objects = reduce(DataFrame.unionByName, graphs).select(F.col("o").alias("term"))
     return objects.distinct().select(
         "term",
         terms.uri_ending("term").alias("ending"),
@@ -275,6 +323,23 @@ def match_predicates(spark, sf):
     return predicates.match_predicates(*graph(spark, sf, g.CATALOGUE, g.SHOP))
 
 
+@register(f"{_name_scores(g.CATALOGUE, g.SHOP)} SELECT predicate1, predicate2 FROM sc WHERE score > 0.7")
+def predicate_pairs_from_files(spark, sf):
+    """Matched predicates of two graphs in files: computed once, kept by the files they come from, exchanged as text."""
+    folder, paths = _files(spark, sf, g.CATALOGUE, g.SHOP)
+
+    def compute():
+        return predicates.match_predicates(*(read_ntriples(spark, p) for p in paths))
+
+    def refuse():
+        raise ValueError("the result is there already")
+
+    tables.stored_result(spark, folder, "pairs", paths, compute, "0.7")
+    kept = tables.stored_result(spark, folder, "pairs", paths, refuse, "0.7")
+    tables.write_pairs(kept, f"{folder}/pairs-text")
+    return tables.read_predicate_pairs(spark, f"{folder}/pairs-text")
+
+
 @register(f"{_name_scores(g.CATALOGUE, g.SHOP)} SELECT predicate1, predicate2, round(score, 6) AS score FROM sc WHERE score >= 0.4")
 def partitioned_name_scores(spark, sf):
     scored = predicates.partitioned_name_scores(*graph(spark, sf, g.CATALOGUE, g.SHOP), partitions=4)
@@ -392,6 +457,13 @@ pc AS MATERIALIZED (SELECT s1, s2, count(*) AS n FROM (SELECT a.s AS s1, b.s AS
   FROM (SELECT DISTINCT s, p1, p2 FROM a) a JOIN (SELECT DISTINCT s, p1, p2 FROM b) b ON a.p1 = b.p1 AND a.p2 = b.p2) GROUP BY s1, s2)"""
 
 
+_MATCHES = """tot AS (SELECT a.s AS s1, b.s AS s2, sum(score) AS total FROM a JOIN vp ON a.p1 = vp.p1 AND a.p2 = vp.p2 AND a.v = vp.v1
+  JOIN b ON b.p1 = vp.p1 AND b.p2 = vp.p2 AND b.v = vp.v2 GROUP BY a.s, b.s),
+every AS MATERIALIZED (SELECT s1, s2, total / n AS score, n FROM tot JOIN pc USING (s1, s2)
+  WHERE s1 <> s2 AND total / n > CASE n WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.8 ELSE 0.7 END),
+m AS MATERIALIZED (SELECT every.* FROM every, (SELECT min(n) AS lo, max(n) AS hi FROM pc) WHERE n > lo OR lo = hi)"""
+
+
 def _leaves(spec1: list, spec2: list, test: str | None = None, whole: str | None = None, exact: bool = False,
             pair_sql: str | None = None) -> str:
     """Scored value pairs ``vp`` and matches ``m`` over the full set of subject pairs."""
@@ -401,11 +473,7 @@ va AS MATERIALIZED (SELECT p1, p2, v, {q.value_tokens('v')} AS t FROM (SELECT DI
 vb AS MATERIALIZED (SELECT p1, p2, v, {q.value_tokens('v')} AS t FROM (SELECT DISTINCT p1, p2, v FROM b)),
 vp AS MATERIALIZED (SELECT * FROM (SELECT x.p1, x.p2, x.v AS v1, y.v AS v2, {sim} AS score
   FROM va x JOIN vb y ON x.p1 = y.p1 AND x.p2 = y.p2) WHERE score > 0.7),
-tot AS (SELECT a.s AS s1, b.s AS s2, sum(score) AS total FROM a JOIN vp ON a.p1 = vp.p1 AND a.p2 = vp.p2 AND a.v = vp.v1
-  JOIN b ON b.p1 = vp.p1 AND b.p2 = vp.p2 AND b.v = vp.v2 GROUP BY a.s, b.s),
-m AS MATERIALIZED (SELECT s1, s2, total / n AS score, n FROM tot JOIN pc USING (s1, s2), (SELECT min(n) AS lo, max(n) AS hi FROM pc)
-  WHERE s1 <> s2 AND (n > lo OR lo = hi)
-  AND total / n > CASE n WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.8 ELSE 0.7 END)"""
+{_MATCHES}"""
 
 
 def _blocked(spark, sf, spec1, spec2, literals=True):
@@ -491,7 +559,7 @@ def _rounded(df: DataFrame, column: str = "score") -> DataFrame:
 def align_entities(spark, sf):
     """Entity matches between catalogue and shop by literal values."""
     t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
-    return _rounded(align.align_entities(t1, t2))
+    return _rounded(align.align_entities(t1, t2, skip_lowest=True))
 
 
 _SAME = f"SELECT DISTINCT p AS predicate1, p AS predicate2 FROM ({g.sql(g.EDITION)})"
@@ -501,14 +569,42 @@ _SAME = f"SELECT DISTINCT p AS predicate1, p AS predicate2 FROM ({g.sql(g.EDITIO
 def align_exact(spark, sf):
     """Entity matches between two editions by identical values under identical predicates."""
     t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.EDITION))
-    return _rounded(align.align_entities(t1, t2, align.predicate_pairs(t1, t2, exact=True), mode="exact"))
+    return _rounded(align.align_entities(t1, t2, align.predicate_pairs(t1, t2, exact=True), mode="exact", skip_lowest=True))
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.SHOP)} SELECT s1, s2, round(score, 6) AS score FROM every")
+def align_all_levels(spark, sf):
+    """Entity matches between catalogue and shop, those of the fewest shared predicates included."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return _rounded(align.align_entities(t1, t2))
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.SHOP)} SELECT s1, s2, round(score, 6) AS score FROM every WHERE n >= 4")
+def align_min_shared(spark, sf):
+    """Entity matches of subjects that share four predicates or more."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return _rounded(align.align_entities(t1, t2, min_shared=4))
+
+
+_LEVELS = ", ".join(
+    f"x{n} AS MATERIALIZED (SELECT * FROM every WHERE n = {n}"
+    + "".join(f" AND s1 NOT IN (SELECT s1 FROM x{h}) AND s2 NOT IN (SELECT s2 FROM x{h})" for h in range(7, n, -1)) + ")"
+    for n in range(7, 0, -1)
+)
+
+
+@register(f"WITH {_leaves(g.CATALOGUE, g.SHOP)}, {_LEVELS} SELECT s1, s2, round(score, 6) AS score FROM ({' UNION ALL '.join(f'SELECT * FROM x{n}' for n in range(1, 8))})")
+def align_exclusive(spark, sf):
+    """Entity matches level by level, without subjects that are matched with more shared predicates."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
+    return _rounded(align.align_entities(t1, t2, exclusive=True))
 
 
 @register(f"WITH {_leaves(g.CATALOGUE, g.SHOP, q.EQUAL_WORDS, '0.0')} SELECT s1, s2, round(score, 6) AS score FROM m")
 def align_lexical(spark, sf):
     """Entity matches by equal words only."""
     t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.SHOP))
-    return _rounded(align.align_entities(t1, t2, mode="lexical"))
+    return _rounded(align.align_entities(t1, t2, mode="lexical", skip_lowest=True))
 
 
 @register(f"""WITH {_leaves(g.CATALOGUE, g.SHOP)}
@@ -527,7 +623,7 @@ ev AS (SELECT br.s1, br.literal1, br.s2, br.literal2, score FROM br JOIN vp ON v
 
 def _evidence(spark, sf):
     _, _, _, side1, side2 = _blocked(spark, sf, g.CATALOGUE, g.SHOP)
-    found = stored(matching.match_sides(side1, side2))
+    found = stored(matching.match_sides(side1, side2, skip_lowest=True))
     return stored(blocking.block_rows_of_pairs(side1, side2, found)), found
 
 
@@ -748,40 +844,48 @@ def related(spark, sf):
 def hypernym_closure(spark, sf):
     """All ancestors with their distance."""
     lex = lx.tables(spark, sf)
-    return lexicon.ancestors(lexicon.hypernym_paths(lex.synsets, lex.pointers))
+    return lexicon.hypernym_closure(lex.synsets, lex.pointers)
 
 
 @register(f"{_LEX} SELECT f.synset, path[-1] AS root, d::INT AS depth FROM full_paths f JOIN depth USING (synset)")
 def root_hypernyms(spark, sf):
     """Root and depth of all synsets."""
     lex = lx.tables(spark, sf)
-    paths = stored(lexicon.hypernym_paths(lex.synsets, lex.pointers))
-    return lexicon.root_hypernyms(paths).join(lexicon.min_depth(paths), "synset")
+    up = stored(lexicon.hypernym_closure(lex.synsets, lex.pointers))
+    roots = lexicon.root_hypernyms(up, lex.pointers).select("synset", "root")
+    return roots.join(lexicon.min_depth(up, lex.pointers), "synset")
 
 
-def _party_paths(spark, sf):
+def _parties(spark, sf):
+    """Pointers, what lies above customers and suppliers, and pairs of them."""
     lex = lx.tables(spark, sf)
     parties = lex.synsets.filter(F.col("synset").rlike("^[cs]"))
-    return stored(lexicon.hypernym_paths(parties, lex.pointers)), stored(lx.trading_pairs(spark, sf))
+    return lex.pointers, stored(lexicon.hypernym_closure(parties, lex.pointers)), stored(lx.trading_pairs(spark, sf))
+
 
+_MET = f"{_LEX}, {lx.TRADING}, {lx.LOWEST}"
 
-@register(f'{_LEX} SELECT a AS "left", b AS "right", common FROM lcs')
+
+@register(f'{_MET} SELECT a AS "left", b AS "right", common FROM lcs')
 def lowest_common_hypernym(spark, sf):
     """Nearest common place of all customers and their suppliers."""
-    paths, pairs = _party_paths(spark, sf)
-    return lexicon.lowest_common_hypernym(pairs, lexicon.ancestors(paths))
+    _, up, pairs = _parties(spark, sf)
+    return lexicon.lowest_common_hypernym(pairs, up)
 
 
-@register(f"""{_LEX} SELECT a AS "left", b AS "right", array_to_string(x.path[:list_position(x.path, common)], '/') AS left_path,
+def _joined_ways(ways):
+    return ways.select(
+        "left", "right", F.array_join("left_path", "/").alias("left_path"), F.array_join("right_path", "/").alias("right_path")
+    )
+
+
+@register(f"""{_MET} SELECT a AS "left", b AS "right", array_to_string(x.path[:list_position(x.path, common)], '/') AS left_path,
   array_to_string(y.path[:list_position(y.path, common)], '/') AS right_path
 FROM lcs JOIN full_paths x ON x.synset = a JOIN full_paths y ON y.synset = b""")
 def shortest_hypernym_path(spark, sf):
     """Ways of customers and suppliers to their nearest common place."""
-    paths, pairs = _party_paths(spark, sf)
-    ways = lexicon.shortest_hypernym_path(pairs, paths, lexicon.ancestors(paths))
-    return ways.select(
-        "left", "right", F.array_join("left_path", "/").alias("left_path"), F.array_join("right_path", "/").alias("right_path")
-    )
+    pointers, up, pairs = _parties(spark, sf)
+    return _joined_ways(lexicon.shortest_hypernym_path(pairs, pointers, up))
 
 
 @register(f"""{_LEX}, parts AS (SELECT synset, string_split(rtrim(gloss, ';'), ';') AS p FROM nodes)
@@ -795,7 +899,7 @@ def gloss_parts(spark, sf):
 @register(f"{_LEX} SELECT synset, round(ic, 6) AS ic, root_freq::BIGINT AS root_freq FROM ic")
 def information_content(spark, sf):
     lex = lx.tables(spark, sf)
-    up = stored(lexicon.ancestors(lexicon.hypernym_paths(lex.synsets, lex.pointers)))
+    up = stored(lexicon.hypernym_closure(lex.synsets, lex.pointers))
     return _rounded(lexicon.information_content(up, lex.freq), "ic")
 
 
@@ -851,3 +955,382 @@ def base_form(spark, sf):
     senses = words.select("lemma", F.lit("noun").alias("pos"))
     forms = F.array(F.concat("lemma", F.lit("s")), F.upper("lemma"), F.concat("lemma", F.lit("xyz")))
     return lexicon.base_form(words.select(F.explode(forms).alias("term")), senses)
+
+
+# --- lexicon of goods: several parents, senses, verbs, antonyms, synonyms -------------------------------------------
+
+_GOODS = f"WITH RECURSIVE {lx.GOODS}"
+
+
+def _goods(spark, sf):
+    return lexicon.Lexicon(*(stored(t) for t in vars(lx.goods(spark, sf)).values()))
+
+
+@register(f"{_GOODS} SELECT synset, ancestor, distance FROM up")
+def goods_closure(spark, sf):
+    """All ancestors where synsets have several hypernyms, by the shortest way."""
+    lex = _goods(spark, sf)
+    return lexicon.hypernym_closure(lex.synsets, lex.pointers)
+
+
+@register(f"{_GOODS} SELECT lemma AS term, pos, sense_no::INT AS sense_no, synset FROM senses")
+def goods_senses(spark, sf):
+    """All senses of all words, of any part of speech."""
+    lex = _goods(spark, sf)
+    return lexicon.senses_of(lex.senses.select(F.col("lemma").alias("term")).distinct(), lex.senses)
+
+
+@register(f"{_GOODS} SELECT t AS ptr_type, src AS synset, dst AS related FROM ptr")
+def goods_related(spark, sf):
+    """Every kind of pointer followed from all synsets."""
+    lex = _goods(spark, sf)
+    kinds = ("hypernym", "hyponym", "antonym", "part_holonym", "part_meronym", "entailment")
+    parts = [lexicon.related(lex.synsets, lex.pointers, k).select(F.lit(k).alias("ptr_type"), "synset", "related") for k in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_NAME_PAIRS = """pairs AS MATERIALIZED (SELECT DISTINCT 'n:' || split_part(p_name, ' ', 1) AS a, 'n:' || split_part(p_name, ' ', 2) AS b FROM part
+  UNION SELECT DISTINCT 'n:' || split_part(p_name, ' ', 2), 'b:' || p_brand FROM part UNION SELECT DISTINCT 'b:' || p_brand, 'q:brand' FROM part
+  UNION SELECT 'n:' || w, 'n:' || w FROM by_kind UNION SELECT DISTINCT 'v:' || lower(p_type), 'v:sell' FROM part UNION SELECT 'v:sell', 'goods')"""
+
+
+def _name_pairs(spark, sf):
+    """Pairs of synsets of the goods lexicon: words of one name, words and brands, and some of their own."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    first, second, brand = "'n:' || split_part(p_name, ' ', 1)", "'n:' || split_part(p_name, ' ', 2)", "'b:' || p_brand"
+    ends = [(first, second), (second, brand), (brand, "'q:brand'"), (first, first), (second, second), ("'v:' || lower(p_type)", "'v:sell'"), ("'v:sell'", "'goods'")]
+    pairs = part.select(F.inline(F.array(*[F.struct(F.expr(a).alias("left"), F.expr(b).alias("right")) for a, b in ends])))
+    return stored(pairs.distinct())
+
+
+@register(f"""{_GOODS}, {_NAME_PAIRS}, lines(synset, tip, path) AS (SELECT synset, synset, [synset] FROM nodes
+  UNION ALL SELECT synset, high, list_append(path, high) FROM lines JOIN edges ON tip = low),
+best AS MATERIALIZED (SELECT synset, tip, min({{'n': len(path), 'p': path}}) AS m FROM lines GROUP BY synset, tip),
+met AS (SELECT a, b, arg_min(x.tip, {{'d2': len(y.m.p), 'd1': len(x.m.p), 't': x.tip}}) AS common FROM pairs JOIN best x ON x.synset = a JOIN best y ON y.synset = b AND x.tip = y.tip GROUP BY a, b)
+SELECT a AS "left", b AS "right", array_to_string(x.m.p, '/') AS left_path, array_to_string(y.m.p, '/') AS right_path
+FROM met JOIN best x ON x.synset = a AND x.tip = common JOIN best y ON y.synset = b AND y.tip = common""")
+def goods_paths(spark, sf):
+    """Shortest ways to the lowest common hypernym where there are several."""
+    lex = _goods(spark, sf)
+    up = stored(lexicon.hypernym_closure(lex.synsets, lex.pointers))
+    return _joined_ways(lexicon.shortest_hypernym_path(_name_pairs(spark, sf), lex.pointers, up))
+
+
+@register(f"""{_GOODS}, {_NAME_PAIRS}, {lx.NEAREST}, {lx.WALKS}, {lx.MEASURE_ROWS}
+SELECT a AS "left", b AS "right", round(path, 6) AS path, {_SEVEN} FROM measures""")
+def goods_similarity(spark, sf):
+    """Eight measures in a taxonomy with several parents, antonyms and part relations."""
+    found = lexicon.synset_similarity(_name_pairs(spark, sf), _goods(spark, sf))
+    for m in ("path", "hso", "jcn", "lch", "lin", "res", "wup", "lesk"):
+        found = _rounded(found, m)
+    return found
+
+
+def _asked(spec: str) -> str:
+    """``word``: the words of a list ``(v, t)``, and its values of one word as they are."""
+    return (
+        f"SELECT unnest(t) AS word FROM ({spec}) WHERE v IS NOT NULL UNION SELECT v FROM ({spec}) WHERE v IS NOT NULL AND len(t) <= 1"
+    )
+
+
+def _name_list(spec: list, value: str = q.ending("p")) -> str:
+    return f"SELECT v, {q.camel('c')} AS t FROM (SELECT v, {q.clean('v')} AS c FROM (SELECT DISTINCT {value} AS v FROM ({g.sql(spec)})))"
+
+
+def _object_list(spec: list) -> str:
+    return f"SELECT v, {q.value_tokens('v')} AS t FROM (SELECT DISTINCT {q.comparable('o')} AS v FROM ({g.sql(spec)})) WHERE v IS NOT NULL"
+
+
+def _nonempty(*queries: str) -> str:
+    return f"SELECT word FROM ({' UNION '.join(queries)}) WHERE word <> ''"
+
+
+def _lexical(a: str, b: str, word: float, names: bool, keys: tuple[str, ...] = (), tag: str = "") -> str:
+    """``sc{tag} (keys, v1, v2, score)``: all pairs of the tables ``a`` and ``b`` ``(keys, v, t)``, by ``ws`` and equal words."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys) or "true"
+    cols = "".join(f"a.{k}, " for k in keys)
+    several = "len(a.t) > 1 OR len(b.t) > 1" if names else "len(a.t) > 1 AND len(b.t) > 1"
+    blank = "" if names else "WHEN a.t = [''] OR b.t = [''] THEN 0.0 "
+    same = "".join(f" AND h.{k} = a.{k}" for k in keys)
+    return f"""near{tag} AS MATERIALIZED (SELECT x, y FROM (SELECT DISTINCT unnest(t) AS x FROM {a}), (SELECT DISTINCT unnest(t) AS y FROM {b}) WHERE x <> '' AND lower(x) = lower(y)
+  UNION SELECT x, y FROM ws WHERE sim >= {word} AND lower(x) <> lower(y)),
+hits{tag} AS MATERIALIZED (SELECT {cols}a.v AS v1, b.v AS v2, count(*) AS hits FROM (SELECT *, unnest(t) AS x FROM {a}) a JOIN near{tag} n ON n.x = a.x
+  JOIN (SELECT *, unnest(t) AS y FROM {b}) b ON b.y = n.y AND {on} GROUP BY ALL),
+sc{tag} AS MATERIALIZED (SELECT {cols}a.v AS v1, b.v AS v2, CASE WHEN a.v <> '' AND lower(a.v) = lower(b.v) THEN 1.0 {blank}WHEN {several}
+  THEN {q.ratio('coalesce(h.hits, 0)', 'len(a.t)', 'len(b.t)')} ELSE coalesce(ws.sim, 0.0) END AS score
+  FROM {a} a JOIN {b} b ON {on} LEFT JOIN hits{tag} h ON h.v1 = a.v AND h.v2 = b.v{same} LEFT JOIN ws ON ws.x = a.v AND ws.y = b.v)"""
+
+
+def _sims(spark, sf, t1, t2, threshold):
+    return align.graph_sims(t1, t2, _goods(spark, sf), threshold)
+
+
+_STORE_WORDS = lx.word_scores(
+    _nonempty(_asked(_name_list(g.CATALOGUE)), _asked(_object_list(g.CATALOGUE))), _nonempty(_asked(_name_list(g.STORE)), _asked(_object_list(g.STORE))), q.stems
+)
+
+
+@register(f"{_GOODS}, {_STORE_WORDS} SELECT x, y, sim FROM ws WHERE sim >= 0.2 AND (lower(x) <> lower(y) OR (x, y) IN (SELECT x, y FROM best WHERE sim >= 0.2))")
+def vocabulary_similarity(spark, sf):
+    """Words of the catalogue and the store that the lexicon holds similar, out of the whole product."""
+    return _sims(spark, sf, *graph(spark, sf, g.CATALOGUE, g.STORE), 0.2)
+
+
+_STORE_NAMES = f"na AS MATERIALIZED ({_name_list(g.CATALOGUE)}), nb AS MATERIALIZED ({_name_list(g.STORE)})"
+_STORE_PAIRS = f"""{_STORE_NAMES}, {_lexical('na', 'nb', 0.7, True)},
+pp AS MATERIALIZED (SELECT x.p AS predicate1, y.p AS predicate2 FROM sc JOIN (SELECT DISTINCT p, {q.ending('p')} AS v FROM ({g.sql(g.CATALOGUE)})) x ON x.v = v1
+  JOIN (SELECT DISTINCT p, {q.ending('p')} AS v FROM ({g.sql(g.STORE)})) y ON y.v = v2 WHERE score > 0.7)"""
+
+
+@register(f"{_GOODS}, {_STORE_WORDS}, {_STORE_PAIRS} SELECT predicate1, predicate2 FROM pp")
+def match_predicates_lexicon(spark, sf):
+    """Predicates of the catalogue and the store, which names most of them by synonyms."""
+    t1, t2 = graph(spark, sf, g.CATALOGUE, g.STORE)
+    return predicates.match_predicates(t1, t2, sims=_sims(spark, sf, t1, t2, 0.5))
+
+
+@register(f"""{_GOODS}, {lx.word_scores(_nonempty(_asked(_name_list(g.CATALOGUE, q.local_name('p')))), _nonempty(_asked(_name_list(g.STORE, q.local_name('p')))), q.stems)},
+na AS MATERIALIZED ({_name_list(g.CATALOGUE, q.local_name('p'))}), nb AS MATERIALIZED ({_name_list(g.STORE, q.local_name('p'))}), {_lexical('na', 'nb', 0.2, True)}
+SELECT v1 AS term1, v2 AS term2, round(score, 6) AS score, 1::BIGINT AS copies FROM sc WHERE score >= 0.4""")
+def compare_predicates_lexicon(spark, sf):
+    """Similar predicate names of the catalogue and the store, by similar words."""
+    t1, t2 = graph(spark, sf, g.CATALOGUE, g.STORE)
+    names = [t.select(terms.local_name("p").alias("v")).distinct() for t in (t1, t2)]
+    sims = predicates.lexicon_sims(*names, _goods(spark, sf), 0.2, names=True)
+    return _rounded(align.compare_predicates(t1, t2, sims))
+
+
+@register(f"""{_GOODS}, va AS MATERIALIZED ({_value_list(g.CATALOGUE)}), vb AS MATERIALIZED ({_value_list(g.STORE)}),
+{lx.word_scores(_nonempty(_asked('SELECT * FROM va')), _nonempty(_asked('SELECT * FROM vb')), q.stems)}, {_lexical('va', 'vb', 0.2, False)}
+SELECT v1 AS term1, v2 AS term2, round(score, 6) AS score, 1::BIGINT AS copies FROM sc WHERE score >= 0.4""")
+def compare_literals_lexicon(spark, sf):
+    """Similar literals of the catalogue and the store, by similar words."""
+    t1, t2 = graph(spark, sf, g.CATALOGUE, g.STORE)
+    values = [t.filter(~terms.is_uri("o")).select(terms.lexical_form("o").alias("v")).distinct() for t in (t1, t2)]
+    sims = predicates.lexicon_sims(*values, _goods(spark, sf), 0.2)
+    return _rounded(align.compare_literals(t1, t2, sims))
+
+
+_STORE_SIDES = _sides(g.CATALOGUE, g.STORE, pair_sql="SELECT predicate1, predicate2 FROM ppl")
+_STORE_LEAVES = f"""{_STORE_PAIRS.replace('pp AS MATERIALIZED', 'ppl AS MATERIALIZED')}, {_STORE_SIDES},
+va AS MATERIALIZED (SELECT p1, p2, v, {q.value_tokens('v')} AS t FROM (SELECT DISTINCT p1, p2, v FROM a)),
+vb AS MATERIALIZED (SELECT p1, p2, v, {q.value_tokens('v')} AS t FROM (SELECT DISTINCT p1, p2, v FROM b)),
+{_lexical('va', 'vb', 0.5, False, ('p1', 'p2'), 'v')}, vp AS MATERIALIZED (SELECT * FROM scv WHERE score > 0.7), {_MATCHES}"""
+
+
+@register(f"{_GOODS}, {_STORE_WORDS}, {_STORE_LEAVES} SELECT s1, s2, round(score, 6) AS score FROM m")
+def align_lexicon(spark, sf):
+    """Entity matches between catalogue and store: predicates and values by similar words."""
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (g.CATALOGUE, g.STORE))
+    return _rounded(align.align_entities(t1, t2, mode="lexical", sims=_sims(spark, sf, t1, t2, 0.5), skip_lowest=True))
+
+
+@register(f"""{_GOODS}, r AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT DISTINCT p AS term FROM ({g.sql(g.CATALOGUE)} UNION ALL {g.sql(g.STORE)}))),
+rv AS MATERIALIZED (SELECT term, id, {q.lower_ending('term')} AS v FROM r), na AS MATERIALIZED (SELECT v, {q.camel('c')} AS t FROM (SELECT v, {q.clean('v')} AS c FROM (SELECT DISTINCT v FROM rv))),
+{lx.word_scores(_nonempty(_asked('SELECT * FROM na')), _nonempty(_asked('SELECT * FROM na')), q.stems)}, {_lexical('na', 'na', 0.5, True)}
+SELECT x.term AS term1, x.id AS id1, y.term AS term2, y.id AS id2, round(score, 6) AS score FROM sc JOIN rv x ON x.v = v1 JOIN rv y ON y.v = v2 WHERE score > 0.5""")
+def similar_relations_lexicon(spark, sf):
+    """Similar relations inside the merged graph of catalogue and store, by similar words."""
+    ids = encoding.relation_ids(encoding.merge_graphs(*graph(spark, sf, g.CATALOGUE, g.STORE)))
+    names = ids.select(terms.lower_ending("term").alias("v")).distinct()
+    sims = predicates.lexicon_sims(names, names, _goods(spark, sf), 0.5, names=True)
+    return _rounded(predicates.similar_relations(ids, sims))
+
+
+# --- small graphs whose block table is written out whole --------------------------------------------------------------
+
+_BLOCK_ROWS = f"""bl AS MATERIALIZED (SELECT a.s AS s1, {q.literal_value('a.o')} AS literal1, b.s AS s2, {q.literal_value('b.o')} AS literal2, a.p AS p1, b.p AS p2
+  FROM ({rows(g.LAND)}) a JOIN ({rows(g.PARTY)}) b ON {q.ending('a.p')} = {q.ending('b.p')}),
+bt AS MATERIALIZED (SELECT *, {q.value_tokens('literal1')} AS t1, {q.value_tokens('literal2')} AS t2 FROM bl)"""
+
+
+def _block_scores(mode: str) -> str:
+    sim = {
+        "string": q.literal_sim("literal1", "literal2", "t1", "t2", 0.7),
+        "lexical": q.literal_sim("literal1", "literal2", "t1", "t2", 0.7, q.EQUAL_WORDS, "0.0"),
+        "exact": "CASE WHEN literal1 = literal2 THEN 1.0 ELSE 0.0 END::DOUBLE",
+    }[mode]
+    return f"{_BLOCK_ROWS}, bs AS MATERIALIZED (SELECT * FROM (SELECT s1, s2, p1, p2, {sim} AS score FROM bt) WHERE score > 0.7)"
+
+
+def _land_blocks(spark, sf):
+    t1, t2 = graph(spark, sf, g.LAND, g.PARTY)
+    return stored(blocking.block_by_predicate(t1, t2, align.predicate_pairs(t1, t2, exact=True)))
+
+
+@register(f"WITH {_BLOCK_ROWS} SELECT * FROM bl")
+def block_by_predicate(spark, sf):
+    """The block table of countries and parties, a row per pair of values."""
+    return _land_blocks(spark, sf)
+
+
+def _score_blocks(mode: str) -> None:
+    def query(spark, sf):
+        return _rounded(matching.score_blocked(_land_blocks(spark, sf), mode))
+
+    query.__name__ = f"score_blocks_{mode}"
+    query.__doc__ = f"Scores of all similar values of a whole block table, {mode} mode."
+    register(f"WITH {_block_scores(mode)} SELECT s1, s2, round(score, 6) AS score FROM bs")(query)
+
+
+for _mode in ("string", "lexical", "exact"):
+    _score_blocks(_mode)
+
+_LAND_COUNTS = "bc AS MATERIALIZED (SELECT s1, s2, count(*) AS n FROM bl GROUP BY s1, s2), bp AS MATERIALIZED (SELECT s1, s2, count(DISTINCT p1 || p2) AS n FROM bl GROUP BY s1, s2)"
+
+
+@register(f"WITH {_block_scores('string')}, {_LAND_COUNTS} SELECT s1, s2, round(sum(score) / any_value(n), 6) AS score FROM bs JOIN bc USING (s1, s2) GROUP BY s1, s2 HAVING sum(score) / any_value(n) > 0.7")
+def aggregate_matches_cut(spark, sf):
+    """Pairs whose score over all their value pairs is above the threshold, many are not."""
+    blocks = _land_blocks(spark, sf)
+    return _rounded(matching.aggregate_matches(matching.score_blocked(blocks), blocking.common_value_counts(blocks)))
+
+
+@register(f"WITH {_block_scores('string')}, {_LAND_COUNTS} SELECT s1, s2, round(sum(score) / 3, 6) AS score FROM bs JOIN bp USING (s1, s2) WHERE n = 3 GROUP BY s1, s2 HAVING sum(score) / 3 > 0.8")
+def aggregate_matches_level(spark, sf):
+    """Pairs that share three predicates, at that level's threshold."""
+    blocks = _land_blocks(spark, sf)
+    level = matching.literals_of_cluster(blocks, blocking.common_predicate_counts(blocks), 3)
+    return _rounded(matching.aggregate_matches_level(matching.score_blocked(level), 3))
+
+
+@register(f"WITH {_block_scores('string')} SELECT s1, s2, round(max(score), 6) AS score FROM bs GROUP BY s1, s2")
+def match_parents(spark, sf):
+    """Pairs with one pair of similar values, together with what exact values gave before."""
+    blocks = _land_blocks(spark, sf)
+    return _rounded(matching.match_parents(blocks, matching.score_blocked(blocks, "exact")))
+
+
+_NORMED = f"{_block_scores('string')}, nm AS MATERIALIZED (SELECT s1, s2, avg(score) AS score FROM bs GROUP BY s1, s2 HAVING avg(score) > 0.93)"
+
+
+@register(f"WITH {_NORMED} SELECT s1, s2, round(score, 6) AS score FROM nm")
+def match_parents_normed(spark, sf):
+    """Pairs whose similar values have a mean score above the parent threshold."""
+    blocks = _land_blocks(spark, sf)
+    return _rounded(matching.match_parents(blocks, blocks.select("s1", "s2").limit(0).withColumn("score", F.lit(0.0)), "normed"))
+
+
+_TRUE_LAND = f"SELECT {g.uri(g.A + '/nation/', g.num('s_nationkey'))} AS s1, {g.uri(g.B + '/party/', g.num('s_suppkey'))} AS s2 FROM supplier"
+
+
+def _land_found(spark, sf):
+    gold = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.expr(g.uri(g.A + "/nation/", g.num("s_nationkey"))).alias("s1"), F.expr(g.uri(g.B + "/party/", g.num("s_suppkey"))).alias("s2")
+    )
+    return gold, match_parents_normed(spark, sf)
+
+
+@register(f"WITH {_NORMED}, f AS (SELECT s1, s2 FROM nm UNION SELECT s2, s1 FROM nm) SELECT * FROM ({_TRUE_LAND}) EXCEPT SELECT * FROM f")
+def missed_pairs(spark, sf):
+    """Parties' countries that normed matching misses."""
+    return evaluate.missed_pairs(*_land_found(spark, sf))
+
+
+@register(f"WITH {_NORMED}, f AS (SELECT s1, s2 FROM nm UNION SELECT s2, s1 FROM nm) SELECT * FROM f EXCEPT SELECT * FROM ({_TRUE_LAND})")
+def extra_pairs(spark, sf):
+    """What normed matching finds besides, in both directions."""
+    return evaluate.extra_pairs(*_land_found(spark, sf))
+
+
+@register(f"WITH {_NORMED} SELECT s1, s2, round(score, 6) AS score FROM nm")
+def matches_from_files(spark, sf):
+    """Matches written as text and read back."""
+    path = new_path(spark, "files")
+    tables.write_matches(match_parents_normed(spark, sf), path)
+    return spark.read.schema("s1 string, s2 string, score double").csv(path)
+
+
+@register(f"SELECT DISTINCT * FROM ({_TRUE_LAND})")
+def alignment_from_files(spark, sf):
+    """An alignment in three columns, written and read."""
+    path = new_path(spark, "files")
+    gold, _ = _land_found(spark, sf)
+    gold.select(F.concat_ws(" ", "s1", "s2", F.lit("1.0"))).write.text(path)
+    return tables.read_alignment(spark, path)
+
+
+@register(f"SELECT p, count(*) AS triples FROM ({rows(g.CATALOGUE)}) GROUP BY p")
+def histogram_from_files(spark, sf):
+    """Predicate counts written sorted and read back."""
+    path = new_path(spark, "files")
+    tables.write_predicate_histogram(*graph(spark, sf, g.CATALOGUE), path)
+    return spark.read.schema("p string, triples bigint").csv(path, sep="\t")
+
+
+@register(f"SELECT p, count(*) AS triples FROM ({rows(g.CATALOGUE)}) GROUP BY p ORDER BY triples DESC, p LIMIT 3")
+def top_predicates(spark, sf):
+    """The three most frequent predicates, a preview of the sorted counts."""
+    return filters.preview(predicate_histogram(*graph(spark, sf, g.CATALOGUE)), 3)
+
+
+@register(f"SELECT s, p, o FROM ({rows(g.CATALOGUE)})")
+def random_parts(spark, sf):
+    """A random split in four parts, which together are the graph."""
+    return reduce(DataFrame.unionByName, filters.random_split(stored(graph(spark, sf, g.CATALOGUE)[0]), 4))
+
+
+@register(f"WITH {_CODES} SELECT p_id::DOUBLE AS value FROM x WHERE s_id = (SELECT max(s_id) FROM x) AND o_id = (SELECT max(o_id) FROM x WHERE s_id = (SELECT max(s_id) FROM x))")
+def matrix_cell(spark, sf):
+    """The last entry of the last matrix row."""
+    entries = stored(encoding.adjacency_entries(_encoded(spark, sf)[0]))
+    last = entries.agg(F.max(F.struct("i", "j")).alias("e"))
+    return encoding.matrix_cell(entries, last.select("e.i").scalar(), last.select("e.j").scalar())
+
+
+_VALUE_PAIRS = [
+    ("p_name", "p_name || 's'"), ("'<' || p_type", "'<' || lower(p_type)"), ("'<' || p_type", "p_type"), ("'<' || replace(p_name, ' ', '-')", "'<' || p_name"),
+    ("'<' || p_name", "'<' || p_name || ' ' || p_type"), ("p_brand || ' ' || p_name", "p_name || ' ' || p_type"), ("'<'", "'<' || p_type"), ("p_name", "''"),
+]
+
+
+@register(f"""WITH p AS ({' UNION '.join(f'SELECT {a} AS v1, {b} AS v2 FROM part' for a, b in _VALUE_PAIRS)}),
+e AS (SELECT v1, v2, v1[1] = '<' AS m1, v2[1] = '<' AS m2, v1[2:] AS e1, v2[2:] AS e2 FROM p),
+n AS (SELECT *, {q.value_tokens('v1')} AS t1, {q.value_tokens('v2')} AS t2, {q.camel('c1')} AS n1, {q.camel('c2')} AS n2 FROM (SELECT *, {q.clean('e1')} AS c1, {q.clean('e2')} AS c2 FROM e)),
+s AS (SELECT *, CASE WHEN e1 = '' OR e2 = '' THEN 0.0 ELSE {q.name_sim('e1', 'e2', 'n1', 'n2')} END AS named FROM n)
+SELECT v1, v2, round(CASE WHEN m1 AND m2 THEN CASE WHEN named > 0.5 THEN 0.7 ELSE named END WHEN m1 <> m2 THEN 0.0 ELSE {q.literal_sim('v1', 'v2', 't1', 't2', 0.7)} END, 6) AS score FROM s""")
+def value_scores(spark, sf):
+    """Similarity of comparable values: names for URI endings, words and edits for literals."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    pairs = F.array(*[F.struct(F.expr(a).alias("v1"), F.expr(b).alias("v2")) for a, b in _VALUE_PAIRS])
+    return _rounded(predicates.value_scores(part.select(F.inline(pairs)), Thresholds.from_string(0.7)))
+
+
+@register(f"""WITH {_names(g.CATALOGUE, 1, q.local_name('p'))}, {_names(g.SHOP, 2, q.local_name('p'))}
+SELECT DISTINCT n1.v AS v1, n2.v AS v2 FROM n1 CROSS JOIN n2 WHERE {q.name_sim('n1.v', 'n2.v', 'n1.t', 'n2.t')} > 0.3""")
+def predicates_equal(spark, sf):
+    """Pairs of predicate names that count as equal, out of given pairs."""
+    names = [t.select(terms.local_name("p").alias(f"v{n}")).distinct() for n, t in enumerate(graph(spark, sf, g.CATALOGUE, g.SHOP), 1)]
+    return predicates.predicates_equal(names[0].join(names[1]), 0.3)
+
+
+@register("WITH s AS (" + q.stems("SELECT DISTINCT unnest(string_split(p_name || 's', ' ')) AS word FROM part") + """)
+SELECT p_partkey, s.word, stem FROM (SELECT p_partkey, unnest(string_split(p_name || 's', ' ')) AS word FROM part) p JOIN s ON s.word = p.word""")
+def stemmed_words(spark, sf):
+    """The words of part names with their stems, each stemmed once."""
+    words = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.explode(F.split(F.expr("p_name || 's'"), " ")).alias("word"))
+    return lexicon.with_stems(words, "word")
+
+
+# compounds of the lexicon: two words of a name, and a name with its type
+_COMPOUNDS = """c AS (SELECT DISTINCT replace(p_name, ' ', '_') AS lemma, 2 AS n, p_name AS plain FROM part
+  UNION SELECT DISTINCT replace(p_name, ' ', '-') || ' ' || lower(p_type), 3, p_name || ' ' || lower(p_type) FROM part WHERE p_size <= 10)"""
+_INFLECTED = [
+    "split_part(p_name, ' ', 1) || '-' || split_part(p_name, ' ', 2) || 's'", "upper(p_name) || 's ' || lower(p_type) || 's'",
+    "'very ' || split_part(p_name, ' ', 1) || 's ' || split_part(p_name, ' ', 2) || 's indeed'", "split_part(p_name, ' ', 2) || 's ' || split_part(p_name, ' ', 1)",
+]
+
+
+@register(f"""WITH {_COMPOUNDS}, t AS ({' UNION '.join(f'SELECT {e} AS term FROM part' for e in _INFLECTED)}),
+w AS (SELECT term, regexp_split_to_array(lower(term), '[ _-]+') AS w FROM t), cw AS (SELECT lemma, n, string_split(plain, ' ') AS p FROM c),
+f AS (SELECT term, lemma, n, i, list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN w[i + k] = p[k] THEN 0 ELSE 2 END)) AS ranks
+  FROM w, cw, range(0, 4) t(i) WHERE i + n <= len(w) AND list_bool_and(list_transform(range(1, n + 1), lambda k: w[i + k] IN (p[k], p[k] || 's'))))
+SELECT term, lemma AS base FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, i, ranks, lemma) AS turn FROM f) WHERE turn = 1""")
+def compound_base_form(spark, sf):
+    """Dictionary forms of inflected compounds of two and three words, inside longer terms too."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    two = part.select(F.expr("replace(p_name, ' ', '_')").alias("lemma"))
+    three = part.filter("p_size <= 10").select(F.expr("replace(p_name, ' ', '-') || ' ' || lower(p_type)").alias("lemma"))
+    senses = stored(two.unionByName(three).distinct()).select("lemma", F.lit("noun").alias("pos"))
+    terms_ = part.select(F.explode(F.array(*[F.expr(e) for e in _INFLECTED])).alias("term"))
+    return lexicon.base_form(terms_, senses)

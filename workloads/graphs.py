@@ -144,6 +144,27 @@ CELLS = [
     ]),
 ]
 
+
+
+def escaped(e: str) -> str:
+    """A text with the escapes that statement lines need."""
+    for plain, mark in (("chr(92)", "chr(92)"), ("chr(34)", "chr(34)"), ("chr(10)", "'n'"), ("chr(13)", "'r'")):
+        e = f"replace({e}, {plain}, chr(92) || {mark})"
+    return e
+
+
+# Texts as literals with escapes: documents with their language, conversation turns with code points and a raw tab.
+NOTES = [
+    ("documents", uri(f"{A}/doc/", num("doc_id")), [(f"<{A}/note#text>", f"{text(escaped('text'))} || '@' || lang")]),
+    ("conversations", uri(f"{B}/turn/", f"{num('conv_id')} || '-' || {num('turn')}"), [
+        (f"<{B}/note#said>", text(f"replace({escaped('text')}, 'é', chr(92) || 'u00E9') || chr(9) || chr(92) || 'U0001F600' || chr(92) || 'ud83d' || chr(92) || 'uDE00'")),
+    ]),
+]
+
+# What the literals of NOTES say, straight from the tables.
+NOTES_SQL = f"""SELECT {NOTES[0][1]} AS s, '{NOTES[0][2][0][0]}' AS p, {NOTES[0][2][0][1]} AS o, text AS said, lang FROM documents WHERE ({NOTES[0][2][0][1]}) IS NOT NULL
+UNION SELECT {NOTES[1][1]}, '{NOTES[1][2][0][0]}', {NOTES[1][2][0][1]}, text || chr(9) || '😀😀', NULL FROM conversations WHERE text IS NOT NULL"""
+
 # Texts as literals: documents on one side, conversation turns on the other.
 DOCUMENTS = [("documents", uri(f"{A}/doc/", num("doc_id")), [(f"<{A}/text#body>", text("replace(text, '\"', ' ')"))])]
 TURNS = [
@@ -151,3 +172,32 @@ TURNS = [
         (f"<{B}/text#body>", text("replace(text, '\"', ' ')")),
     ]),
 ]
+
+# A store that names things by other words: properties by a synonym, the second word of a name backwards.
+STORE = [
+    ("part", uri(f"{B}/good/", code(f"'store' || {num('p_partkey')}")), [
+        (f"<{B}/store/label>", text("split_part(p_name, ' ', 1) || ' ' || reverse(split_part(p_name, ' ', 2))")),
+        (f"<{B}/store/itemKind>", f"case when p_size <= 3 then null else {text('lower(p_type)')} end"),
+        (f"<{B}/store/cost>", text(_PRICE)),
+        (f"<{B}/store/extent>", text(num("p_size"))),
+        (f"<{B}/store/make>", f"case when p_type = 'LARGE' then null else {text('p_brand')} end"),
+    ]),
+]
+
+# Countries and regions, and parties that name their country: small enough to write the block table out.
+LAND = [
+    ("nation", uri(f"{A}/nation/", num("n_nationkey")), [
+        (f"<{A}/land#name>", text("n_name")),
+        (f"<{A}/land#key>", text(num("n_nationkey"))),
+        (f"<{A}/land#label>", text(f"'nationnumber' || {num('n_nationkey')}")),
+    ]),
+    ("region", uri(f"{A}/region/", num("r_regionkey")), [(f"<{A}/land#name>", text("r_name"))]),
+]
+PARTY = [
+    ("supplier", uri(f"{B}/party/", num("s_suppkey")), [
+        (f"<{B}/party#name>", text("s_name")),
+        (f"<{B}/party#key>", text(num("s_nationkey"))),
+        (f"<{B}/party#key>", f"case when s_suppkey % 2 = 0 then {text(num('s_suppkey % 25'))} else null end"),
+        (f"<{B}/party#label>", text(f"'nationnumber' || {num('s_nationkey')} || case when s_suppkey % 3 = 0 then 'x' else '' end")),
+    ]),
+]

@@ -15,7 +15,7 @@ from tripleweave.llm.common import stored, text_runs
 
 #: A span is at least so many sentences, and as many more as it takes to have so many words.
 SPAN_SENTENCES = 2
-SPAN_WORDS = 12
+SPAN_WORDS = 25
 #: A clause of at least so many words is cut at words that its text chooses, every CUT_EVERY words on average and after
 #: as many words at most, so that passages without punctuation meet wherever they stand; alone it is a span, too.
 CLAUSE_WORDS = 25

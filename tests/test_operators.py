@@ -239,7 +239,7 @@ def random_lexicon(spark, seed, size=40):
     return tables, pointers, sorted({s[0] for s in senses})
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_relation_paths_equal_enumeration(spark, seed):
     """All ways of up to five steps, written out, against the search by states."""
     import re
@@ -271,8 +271,7 @@ def test_relation_paths_equal_enumeration(spark, seed):
     assert {6.0, 5.0, 16.0} <= set(got.values())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("threshold", [0.15, 0.3, 0.6])
+@pytest.mark.parametrize("seed, threshold", [(1, 0.15), (2, 0.3), (1, 0.6)])
 def test_similar_words_equal_the_whole_product(spark, seed, threshold):
     lex, _, words = random_lexicon(spark, seed)
     left, right = words[::2] + words[1:9] + ["unknown", "ab"], words[1::2] + words[:8] + [words[0].upper()]

@@ -710,6 +710,57 @@ def deduce_relations(spark, sf):
     return _rounded(align.deduce_relations(t1, t2, found))
 
 
+def _own(host: str, kind: str, key: str) -> str:
+    return g.uri(f"{host}/{kind}/", g.code(f"'{host}{kind}' || {g.num(key)}"))
+
+
+_REGIONS = f"SELECT {_own(g.A, 'r', 'r_regionkey')} AS s1, {_own(g.B, 'r', 'r_regionkey')} AS s2, r_regionkey, r_name FROM region"
+_COUNTRIES = f"SELECT {_own(g.A, 'n', 'x.n_nationkey')} AS s1, {_own(g.B, 'n', 'y.n_nationkey')} AS s2, x.n_regionkey, x.n_nationkey AS k1, y.n_nationkey AS k2 FROM nation x JOIN nation y USING (n_regionkey)"
+# In the second round countries stand for their partners, so partners of one country are compared with each other, too.
+_ROUNDS = f"""SELECT s1, s2, 1.0::DOUBLE AS score, 0 AS stage FROM ({_REGIONS}) UNION ALL SELECT s1, s2, 1.0::DOUBLE, 1 FROM ({_COUNTRIES})
+UNION ALL SELECT {_own(g.A, 's', 'x.s_suppkey')}, {_own(g.B, 's', 'y.s_suppkey')}, 1.0::DOUBLE, 2 FROM supplier x JOIN nation nx ON nx.n_nationkey = x.s_nationkey
+  JOIN nation ny ON ny.n_regionkey = nx.n_regionkey JOIN supplier y ON y.s_nationkey = ny.n_nationkey
+UNION ALL SELECT {_own(g.B, 'n', 'x.n_nationkey')}, {_own(g.B, 'n', 'y.n_nationkey')}, 1.0::DOUBLE, 2 FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey"""
+
+
+def _chains(spark, sf, spec1=g.CHAIN1, spec2=g.CHAIN2):
+    t1, t2 = (align.prepare(g.build(spark, sf, s)) for s in (spec1, spec2))
+    codes = [t.filter(F.col("p").endswith("regionCode>")) for t in (t1, t2)]
+    return t1, t2, align.align_entities(*codes)
+
+
+@register(_ROUNDS)
+def deduce_rounds(spark, sf):
+    """Regions matched by code; countries follow in the first round, parties in the second."""
+    return _rounded(align.deduce_relations(*_chains(spark, sf), rounds=2))
+
+
+@register(_ROUNDS)
+def deduce_fixpoint(spark, sf):
+    """The same until nothing new is found."""
+    return _rounded(align.deduce_relations(*_chains(spark, sf), rounds=None))
+
+
+@register(f"""SELECT s1, s2, 1.0::DOUBLE AS score, CASE WHEN r_name = 'ASIA' THEN 0 ELSE 1 END AS stage FROM ({_REGIONS})
+UNION ALL SELECT c.s1, c.s2, 1.0::DOUBLE, 1 FROM ({_COUNTRIES}) c JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'""")
+def deduce_with_earlier(spark, sf):
+    """One region known, the others by their values: they join in the first round, the known one's countries as well."""
+    t1, t2, found = _chains(spark, sf)
+    asia = spark.read.parquet(f"{sf}/region.parquet").filter("r_name = 'ASIA'").select(F.expr(_own(g.A, "r", "r_regionkey")).alias("s1"))
+    earlier = align.value_level_matches(t1, t2, align.predicate_pairs(t1, t2))
+    return _rounded(align.deduce_relations(t1, t2, found.join(asia, "s1", "left_semi"), earlier=earlier))
+
+
+_LABEL_SIM = q.edit_sim("'regionlabel' || n_regionkey", "'regionlabel' || n_regionkey || 'x'")
+
+
+@register(f"""SELECT s1, s2, 1.0::DOUBLE AS score, 0 AS stage FROM ({_REGIONS})
+UNION ALL SELECT s1, s2, round((1.0 + {_LABEL_SIM}) / 2, 6), 1 FROM ({_COUNTRIES}) WHERE (1.0 + {_LABEL_SIM}) / 2 > 0.93""")
+def deduce_normed(spark, sf):
+    """Countries of matched regions whose similar values are similar enough on average; labels alone are not."""
+    return _rounded(align.deduce_relations(*_chains(spark, sf, g.LABELLED1, g.LABELLED2), mode="normed"))
+
+
 @register(f"WITH {_leaves(g.CATALOGUE, g.SHOP)} SELECT s1 AS s, '{OWL_SAME_AS}' AS p, s2 AS o FROM m")
 def same_as_triples(spark, sf):
     return neighbours.same_as_triples(align_entities(spark, sf))

@@ -201,3 +201,21 @@ PARTY = [
         (f"<{B}/party#label>", text(f"'nationnumber' || {num('s_nationkey')} || case when s_suppkey % 3 = 0 then 'x' else '' end")),
     ]),
 ]
+
+
+def _chain(host: str, labels: str | None = None) -> list:
+    """Regions with a code that both sites know; countries and parties that no literal identifies."""
+    own = lambda kind, key: uri(f"{host}/{kind}/", code(f"'{host}{kind}' || {num(key)}"))
+    region, nation = [(f"<{host}/regionCode>", text(code("r_name")))], [(f"<{host}/inRegion>", own("r", "n_regionkey"))]
+    if labels is not None:  # a text that a region shares with its countries
+        region.append((f"<{host}/label>", text(f"'regionlabel' || {num('r_regionkey')} || '{labels}'")))
+        nation.append((f"<{host}/label>", text(f"'regionlabel' || {num('n_regionkey')} || '{labels}'")))
+    return [
+        ("region", own("r", "r_regionkey"), region),
+        ("nation", own("n", "n_nationkey"), nation),
+        ("supplier", own("s", "s_suppkey"), [(f"<{host}/inNation>", own("n", "s_nationkey"))]),
+    ]
+
+
+CHAIN1, CHAIN2 = _chain(A), _chain(B)
+LABELLED1, LABELLED2 = _chain(A, ""), _chain(B, "x")

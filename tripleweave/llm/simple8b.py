@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleweave.llm.common import offsets_of, stored, text_runs, typed
@@ -193,13 +193,17 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = stored(files.mapInArrow(decode, schema))
     # one row per file: part number, then the running number of the task's files
-    totals = found.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumns(
+    files = stored(found.groupBy("file").agg(F.sum("n_tokens").alias("total"))).withColumns(
         {"part": F.regexp_extract("file", r"part-(\d+)-", 1).cast("int"), "turn": F.regexp_extract("file", r"-c(\d+)[^/]*$", 1).cast("int")}
     )
-    rows = sorted(totals.collect(), key=lambda r: (r["part"], r["turn"]))
-    starts = offsets_of(np.array([r["total"] for r in rows], np.int64))[:-1].tolist()
-    table = spark.createDataFrame([(r["file"], s) for r, s in zip(rows, starts)], "file string, base bigint")
-    return found.join(F.broadcast(table), "file").select(
+    before = Window.partitionBy("part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    summed = files.withColumn("inside", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    # one number per part, of which there are as many as tasks that wrote
+    parts = files.groupBy("part").agg(F.sum("total").alias("total")).orderBy("part").collect()
+    starts = offsets_of(np.array([r["total"] for r in parts], np.int64))[:-1].tolist()
+    table = spark.createDataFrame([(r["part"], s) for r, s in zip(parts, starts)], "part int, first bigint")
+    bases = stored(summed.join(F.broadcast(table), "part").select("file", (F.col("first") + F.col("inside")).alias("base")))
+    return found.join(bases, "file").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
 

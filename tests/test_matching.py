@@ -248,7 +248,7 @@ def test_plans_hit_every_match(spark):
     for g in range(300):
         n = rng.randint(1, 7)
         entries = [
-            (rng.random() ** 3, b, float(rng.choice([1, 1, 1, 8, float("inf")])) * rng.choice([1.0, 2.0]), rng.choice([0.5, 1.0, 40.0])) for b in range(n)
+            (rng.random() ** rng.choice([0.3, 3]), b, float(rng.choice([1, 1, 1, 8, float("inf")])) * rng.choice([1.0, 2.0]), rng.choice([0.5, 1.0, 40.0])) for b in range(n)
         ]
         rows.append((f"l{g}", f"r{g}", 1000, 1000, n, {1: 0.95, 2: 0.9, 3: 0.8}.get(n, 0.7), entries))
         entries_of[f"l{g}"] = entries
@@ -265,7 +265,7 @@ def test_plans_hit_every_match(spark):
                 assert r["sets"] is None or any(set(x) <= similar for x in r["sets"])
     wide = [(0.001 * b, b, 1.0, 1.0) for b in range(40)]
     one = matching.key_plan(spark.createDataFrame([("l", "r", 10, 10, 40, 0.7, wide)], schema)).first()
-    assert len(one["head"]) == 12 + one["size"]  # twelve may differ, whatever the number of sets
+    assert len(one["head"]) == 11 + one["size"]  # eleven may differ, whatever the number of sets
 
 
 def test_modes_on_blocks(spark):

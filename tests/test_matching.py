@@ -152,95 +152,6 @@ def test_frequent_keys_are_dealt_out(spark):
     assert cells.count() and spread[-1] <= 10 * spread[len(spread) // 2]
 
 
-def test_rounds_equal_full_recomputation(spark):
-    """Semi-naive rounds against rounds that compare the whole neighbourhood again, on chains that need several."""
-
-    def naive(t1, t2, known, rounds):
-        from tripleweave.operators.neighbours import neighbour_triples, substitute_matched
-
-        for stage in range(1, rounds + 1):
-            s1 = spark.createDataFrame([(a,) for a, _ in known], "s string")
-            s2 = spark.createDataFrame([(b,) for _, b in known], "s string")
-            links = spark.createDataFrame(list(known), "s1 string, s2 string")
-            around1 = substitute_matched(neighbour_triples(t1, s1), links)
-            around2 = neighbour_triples(t2, s2)
-            pairs = blocking.with_block(predicates.match_predicates(around1, around2))
-            sides = [blocking.blocked_side(t, pairs, n) for n, t in ((1, around1), (2, around2))]
-            for r in align.similar_subjects(*sides).collect():
-                known.setdefault((r.s1, r.s2), (round(r.score, 6), stage))
-        return known
-
-    rng = random.Random(12)
-    rows = {}
-    for host in (tiny.A, tiny.B):
-        facts = [(f"<{host}/0>", f"<{host}/name>", '"start here now"')]
-        for k in range(9):
-            facts.append((f"<{host}/{k + 1}>", f"<{host}/next>", f"<{host}/{k}>"))
-            facts.append((f"<{host}/{k}>", f"<{host}/kind>", f'"kind{k % 2} {"same" if rng.random() < 0.5 else host[7]}"'))
-            facts.append((f"<{host}/{k}>", f"<{host}/near>", f"<{host}/{rng.randint(0, 9)}>"))
-        rows[host] = sorted(set(facts))
-    t1, t2 = tiny.triples(spark, rows[tiny.A]), tiny.triples(spark, rows[tiny.B])
-    first = {(f"<{tiny.A}/0>", f"<{tiny.B}/0>"): (1.0, 0)}
-    start = spark.createDataFrame([(a, b, 1.0) for a, b in first], "s1 string, s2 string, score double")
-    for rounds in (2, 4):
-        want = naive(t1, t2, dict(first), rounds)
-        got = {(r.s1, r.s2): (round(r.score, 6), r.stage) for r in align.deduce_relations(t1, t2, start, rounds=rounds).collect()}
-        assert got == want and max(s for _, s in got.values()) >= 2
-    fixed = align.deduce_relations(t1, t2, start, rounds=None)
-    assert {(r.s1, r.s2) for r in fixed.collect()} >= set(want)
-    assert fixed.filter("stage = 0").count() == 1
-
-
-def test_similar_values_equal_brute_force(spark):
-    rng = random.Random(7)
-    letters = "abcd"
-    values = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 24))) for _ in range(60)}
-    values |= {v[: len(v) // 2] + "x" + v[len(v) // 2 :] for v in list(values)[:30]}
-    values |= {" ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 7))) for _ in range(60)}
-    values |= {"", "a-b", "New York, New York", "new new new", "Ünïcode wörter", "prefix00001", "prefix00002"}
-    tail = " ".join(WORDS * 3)
-    values |= {"Red Gear Bolt " + tail, "red gear bolt " + tail.upper(), "reds gears bolts " + tail, "x" * 100, "x" * 90 + "y" * 5}
-    ordered = sorted(values)
-    left, right = ordered[::2], ordered[1::2] + ordered[:10]
-    frames = [spark.createDataFrame([(1, v) for v in side], "b int, v string") for side in (left, sorted(set(right)))]
-    got = {
-        (r.v1, r.v2): round(r.score, 6) if r.score != float("inf") else r.score
-        for r in matching.literal_pairs(*frames, 0.7, ["b"]).collect()
-    }
-    want = {}
-    for a in left:
-        for b in right:
-            s = brute.literal_sim(a, b, 0.7)
-            if s > 0.7:
-                want[a, b] = round(s, 6) if s != float("inf") else s
-    assert got == want
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_long_texts_equal_brute_force(spark, seed):
-    """All words count: behind the fifth one, and repeated ones as often as they are there."""
-    rng = random.Random(seed)
-    base = " ".join(rng.choice(WORDS) for _ in range(40))
-    texts = {" ".join(rng.choices(WORDS + [f"rare{i}x{i}" for i in range(60)], k=rng.randint(2, 45))) for _ in range(12)}
-    texts |= {base, "red gear bolt plate york " + base, base + " trailing", "one two three four five six", "one two three four five 7777"}
-    texts |= {"the " * 12 + "end", "the the end of", "single", "singles", "", "new york new york", "a-b"}
-    values = sorted(texts)
-    left, right = values[::2] + values[1:6], values[1::2] + values[:6]
-    frames = [spark.createDataFrame([(1, v) for v in sorted(set(d))], "b int, v string") for d in (left, right)]
-    grid = spark.createDataFrame([(a, b) for a in set(left) for b in set(right)], "v1 string, v2 string")
-
-    def plain(score):
-        return score if score == float("inf") else round(score, 6)
-
-    scored = {(r.v1, r.v2): plain(r.score) for r in value_join.literal_scores(grid, 0.7).collect()}
-    want = {(a, b): plain(brute.literal_sim(a, b, 0.7)) for a in set(left) for b in set(right)}
-    assert scored == want
-    for cut in (0.7, 0.3):
-        found = {(r.v1, r.v2): plain(r.score) for r in value_join.literal_pairs(*frames, cut, ["b"]).collect()}
-        near = {(a, b): plain(brute.literal_sim(a, b, cut)) for a in set(left) for b in set(right)}
-        assert found == {k: s for k, s in near.items() if s > cut}
-
-
 def test_plans_hit_every_match(spark):
     """Any way to exceed the needed score is similar in as many blocks of the head as the plan says."""
     rng = random.Random(3)

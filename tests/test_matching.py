@@ -5,7 +5,7 @@ import pytest
 import tiny
 from pyspark.sql import functions as F
 
-from tripleweave.operators import blocking, matching, predicates, skew, value_join
+from tripleweave.operators import blocking, evaluate, matching, predicates, skew, value_join
 from tripleweave.operators.filters import literal_triples
 from tripleweave.plans import align
 
@@ -214,3 +214,30 @@ def test_parent_modes(spark):
     earlier = spark.createDataFrame([("k", "l", 0.8)], "s1 string, s2 string, score double")
     assert set(result(matching.match_parents(blocks, earlier))) == {("a", "b"), ("k", "l")}
     assert set(result(matching.match_parents(blocks, earlier, "normed"))) == {("a", "b")}
+
+
+def test_equal_subjects_are_matched_as_one(spark, monkeypatch):
+    seen = []
+
+    def equal_values(side1, side2, *options):
+        seen.append((side1.count(), side2.count()))
+        left, right = side1.select(F.col("s").alias("s1"), "b", "v"), side2.select(F.col("s").alias("s2"), "b", "v")
+        return left.join(right, ["b", "v"]).filter("s1 != s2").select("s1", "s2", F.lit(1.0).alias("score"))
+
+    monkeypatch.setattr(matching, "match_classes", equal_values)
+    for copies in (1, 6):
+        rows = [(f"{host}{v}-{k}", "b", v, 1) for host in "xy" for v in ("red", "blue") for k in range(copies)]
+        # one subject that both sides have, with the values of the copied ones
+        sides = [spark.createDataFrame([r for r in rows if r[0][0] == h] + [("both", "b", "red", 1)], "s string, b string, v string, m long") for h in "xy"]
+        found = collect(matching.match_sides(*sides), "s1", "s2")
+        one, two = ([r for r in d.collect()] for d in sides)
+        assert found == {(x.s, y.s) for x in one for y in two if x.v == y.v and x.s != y.s}
+    assert seen == [(3, 3), (3, 3)]
+
+
+def test_evaluation_of_unknown_ends(spark):
+    gold = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", None), ("c", None), ("d", "e")], "s1 string, s2 string")
+    found = spark.createDataFrame([("b", "a"), ("b", "a"), ("c", None), ("x", "y")], "s1 string, s2 string")
+    row = evaluate.evaluate_alignment(gold, found).collect()[0]
+    # directed: ba, ab, (c, ?), (?, c), xy, yx
+    assert (row.gold_pairs, row.found_pairs, row.missed, row.extra, row.hits) == (3, 2, 2, 5, 1)

@@ -284,6 +284,17 @@ def test_similar_words_equal_the_whole_product(spark, seed, threshold):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_pairs_are_not_multiplied_by_ancestors(spark, lex):
+    """A pair meets each end once; it is neither exploded into common ancestors nor grouped again."""
+    pairs = spark.createDataFrame([("car", "boat"), ("car", "person")], "left string, right string")
+    nowhere = spark.createDataFrame([("boat", "hypernym", None), ("person", "hypernym", None)], "src string, ptr_type string, dst string")
+    pointers = lex.pointers.filter("ptr_type = 'hypernym'").unionByName(nowhere)
+    plain = lexicon.Lexicon(lex.senses, lex.synsets, pointers, lex.freq)
+    assert {r.right: r.hso for r in lexicon.hirst_st_onge(pairs, pointers).collect()} == {"boat": 5.0, "person": 3.0}
+    plan = lexicon.synset_similarity(pairs, plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [left" not in plan and "Aggregate [right" not in plan
+
+
 def test_measures(spark, lex):
     import math
 

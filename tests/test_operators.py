@@ -90,6 +90,36 @@ def test_factored_clusters_equal_counts(spark):
     assert ordered.count() == full.count()
 
 
+def test_deduced_pairs_are_not_stored_in_the_last_round(spark):
+    from tripleweave.operators import checkpoints
+
+    n, end = 120, "<http://{}.example/{}>"
+    graphs = [
+        spark.createDataFrame([(end.format(h, f"s{i}"), end.format(h, "inNode"), end.format(h, "node")) for i in range(n)], "s string, p string, o string")
+        for h in "ab"
+    ]
+    found = spark.createDataFrame([(end.format("a", "node"), end.format("b", "node"), 1.0)], "s1 string, s2 string, score double")
+    at = len(checkpoints._written)
+    every = align.deduce_relations(*graphs, found)
+    assert max(spark.read.parquet(p).count() for p in checkpoints._written[at:]) <= 2 * n
+    pairs = {(r.s1, r.s2, r.score, r.stage) for r in every.collect()}
+    late = {(end.format("a", f"s{i}"), end.format("b", f"s{j}"), 1.0, 1) for i in range(n) for j in range(n)}
+    assert pairs == late | {(end.format("a", "node"), end.format("b", "node"), 1.0, 0)} and every.count() == n * n + 1
+
+
+def test_deduction_leaves_out_a_subject_with_itself(spark):
+    end = "<http://{}.example/{}>".format
+    t1 = [(end("a", s), end("a", "inNode"), end("a", "node")) for s in ("x", "y")] + [(end("b", "z"), end("a", "inNode"), end("a", "node"))]
+    t2 = [(end("b", s), end("b", "inNode"), end("b", "node")) for s in ("x", "y", "z")]
+    graphs = [spark.createDataFrame(t, "s string, p string, o string") for t in (t1, t2)]
+    known = [(end("a", "node"), end("b", "node"), 1.0), (end("a", "x"), end("b", "y"), 0.9)]
+    every = align.deduce_relations(*graphs, spark.createDataFrame(known, "s1 string, s2 string, score double"))
+    # a's x stands for b's y; neither it nor z, which both graphs have, is a pair with itself
+    left, right = [end("b", "y"), end("a", "y"), end("b", "z")], [end("b", s) for s in ("x", "y", "z")]
+    late = {(x, y, 1.0, 1) for x in left for y in right if x != y}
+    assert {tuple(r) for r in every.collect()} == late | {(*k, 0) for k in known} and every.count() == len(late) + 2
+
+
 def test_value_level_matches_and_rounds(spark):
     t1, t2 = tiny.triples(spark, tiny.CARS1), tiny.triples(spark, tiny.CARS2)
     pairs = predicates.match_predicates(t1, t2)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -384,6 +385,23 @@ def test_huge_components_are_exact(spark):
     assert got == [(2, 256 * 3 * 256 * 9), (1, 256 * 3 * 256 * 5), (3, -(2**63))] or [v for v, _ in got] == [2, 1, 3]
 
 
+def test_queries_come_to_a_lot_of_leaves_once_and_are_not_broadcast(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(400, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    tree = kmeans_tree.fit_tree(kmeans_tree.units(rows), leaf_rows=2)
+    leaf = {i: int(x) for i, x in enumerate(tree.leaf_of(kmeans_tree.units(rows)))}
+    bins = kmeans_tree.blocks(table.withColumn("leaf", F.udf(leaf.get, "int")("vec_id")), 4096, ["leaf"])
+    queries = table.filter("vec_id < 20").withColumn("qkey", F.col("vec_id"))
+    met = kmeans_tree._meetings(queries, bins, tree, tree.leaves)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == tree.leaves and kmeans_tree._packed(queries, tree, tree.leaves, 32).agg(F.sum("qn")).first()[0] == 20 * 32
+    for most in (1, 3, tree.leaves):
+        got = sorted((r["query_id"], r["vec_id"]) for r in kmeans_tree._search_lots(queries, bins, tree, most, 400).collect())
+        ways = {q: set(tree.visits(v, most)) for q, v in enumerate(kmeans_tree.units(rows)[:20])}
+        assert got == sorted((q, i) for q, own in ways.items() for i in leaf if leaf[i] in own and i != q)
+
+
 def test_approximate_search_recall(vectors):
     rows, table = vectors
     good = [r for r in rows if usable(r) and any(r[1])]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tripleweave.llm.common import stored, typed
 from tripleweave.llm.kdtree import _rows
 from tripleweave.llm.vectors import blocks, doubles, matrix
+from tripleweave.operators.checkpoints import tasks_for
 
 K = 5
 BRANCHES = 8
@@ -24,6 +25,8 @@ CALIBRATION_QUERIES = 200
 RECALL = 0.97
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
+#: Lots of neighbouring leaves, at least, that a query is sent to once each, however many leaves it visits there.
+LOTS = 32
 
 
 @dataclass
@@ -216,41 +219,82 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, recall: float) -> DataFra
 
 
 def _visit(numbered: DataFrame, bins: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
-    schema, arrow = typed("leaf int, part int, qkey bigint, query_id bigint, embedding array<double>")
+    found = stored(_best(_search_lots(numbered, bins, tree, visits, k), k))
+    if visits < tree.leaves:  # queries whose leaves held fewer than k rows visit all
+        full = found.filter(F.col("rank") == k).select("qkey")
+        short = stored(numbered.join(full, "qkey", "left_anti"))
+        if short.isEmpty():
+            return found.select("query_id", "rank", "vec_id", "score")
+        found = found.join(short.select("qkey"), "qkey", "left_anti").unionByName(_best(_search_lots(short, bins, tree, tree.leaves, k), k))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _lots(tree: Tree, tasks: int) -> int:
+    """How many lots the leaves make that queries are sent to; neighbouring leaves lie in one lot."""
+    return min(tree.leaves, max(LOTS, tasks))
 
-    def route(batches, most=visits):
+
+def _packed(queries: DataFrame, tree: Tree, most: int, lots: int) -> DataFrame:
+    """Queries with the leaves that they visit, put together by lot of leaves; each comes to a lot once, with all it visits there.
+
+    ``seen`` has a byte per query and leaf of the lot, ``low`` is the lot's first leaf.
+    """
+    starts = -(-np.arange(lots + 1) * tree.leaves // lots)  # the first leaf of each lot
+    schema, arrow = typed("lot int, part int, qkey bigint, query_id bigint, embedding array<double>, seen binary")
+
+    def route(batches):
         for batch in batches:
-            ids, keys, lists = batch.column(0), batch.column(2), batch.column(1)
-            ways = [tree.visits(v, most) for v in units(matrix(lists))]
-            of = pa.array(np.repeat(np.arange(len(ways)), [len(w) for w in ways]))
-            leaf = pa.array([x for w in ways for x in w], pa.int32())
-            part = pa.array(np.asarray(keys.take(of)) // QUERY_ROWS % (1 << 30), pa.int32())
-            yield pa.RecordBatch.from_arrays([leaf, part, keys.take(of), ids.take(of), lists.take(of)], names=arrow.names)
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                of, lot, seen = [], [], []
+                for q, v in enumerate(units(matrix(few.column(1)))):
+                    here = np.zeros(tree.leaves, np.uint8)
+                    here[tree.visits(v, most)] = 1
+                    for g in np.flatnonzero(np.add.reduceat(here, starts[:-1])):
+                        of.append(q), lot.append(g), seen.append(here[starts[g] : starts[g + 1]].tobytes())
+                of = pa.array(of, pa.int64())
+                keys = few.column(2).take(of)
+                part = pa.array(np.asarray(keys) // QUERY_ROWS % (1 << 30), pa.int32())
+                columns = [pa.array(lot, pa.int32()), part, keys, few.column(0).take(of), few.column(1).take(of), pa.array(seen, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def pack(key, table):
-        rows = matrix(table.column("embedding").combine_chunks())
+        rows, g = matrix(table.column("embedding").combine_chunks()), key[0].as_py()
         return pa.table({
-            "leaf": pa.array([key[0].as_py()], pa.int32()), "qn": pa.array([len(rows)], pa.int32()),
-            "qkeys": [table.column("qkey").to_numpy().tobytes()], "qids": [table.column("query_id").to_numpy().tobytes()], "qvecs": [rows.tobytes()],
+            "lot": pa.array([g], pa.int32()), "low": pa.array([starts[g]], pa.int32()), "qn": pa.array([len(rows)], pa.int32()),
+            "qkeys": [table.column("qkey").to_numpy().tobytes()], "qids": [table.column("query_id").to_numpy().tobytes()],
+            "qvecs": [rows.tobytes()], "seen": [b"".join(table.column("seen").to_pylist())],
         })
 
+    routed = queries.select("vec_id", "embedding", "qkey").mapInArrow(route, schema)
+    return routed.groupBy("lot", "part").applyInArrow(pack, "lot int, low int, qn int, qkeys binary, qids binary, qvecs binary, seen binary")
+
+
+def _meetings(queries: DataFrame, bins: DataFrame, tree: Tree, most: int) -> DataFrame:
+    """Blocks of leaves with the packs of queries that come to their lot.
+
+    Sorted and merged: packs grow out of rows that each become many, which size estimates do not see, so neither side may be
+    taken for small and sent whole to the driver. A task holds the packs of a lot and streams the blocks.
+    """
+    lots = _lots(tree, tasks_for(queries.sparkSession))
+    placed = bins.select((F.col("leaf") * lots / tree.leaves).cast("int").alias("lot"), "leaf", "n", "ids", "vecs")
+    packed = _packed(queries, tree, most, lots)
+    joined = placed.hint("merge").join(packed.hint("merge"), "lot")
+    return joined.select("leaf", "n", "ids", "vecs", "low", "qn", "qkeys", "qids", "qvecs", "seen")
+
+
+def _search_lots(queries: DataFrame, bins: DataFrame, tree: Tree, most: int, k: int) -> DataFrame:
+    _, out = typed(_FOUND)
+
     def search(batches):
-        _, out = typed(_FOUND)
         for batch in batches:
-            for n, ids, vecs, qn, qkeys, qids, qvecs in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, own = np.frombuffer(qkeys, np.int64), np.frombuffer(qids, np.int64)
-                best = nearest(np.frombuffer(ids, np.int64), doubles(vecs, n), doubles(qvecs, qn), own, k)
+            for at in range(batch.num_rows):  # rows hold large blocks, so one at a time
+                leaf, n, ids, vecs, low, qn, qkeys, qids, qvecs, seen = (c[at].as_py() for c in batch.columns)
+                come = np.flatnonzero(np.frombuffer(seen, np.uint8).reshape(qn, -1)[:, leaf - low])
+                if not len(come):
+                    continue
+                keys, own = np.frombuffer(qkeys, np.int64)[come], np.frombuffer(qids, np.int64)[come]
+                best = nearest(np.frombuffer(ids, np.int64), doubles(vecs, n), doubles(qvecs, qn)[come], own, k)
                 yield _flat([(int(keys[q]), int(own[q]), i, s) for q, found in enumerate(best) for s, i in found], out)
 
-    def run(queries: DataFrame, most: int) -> DataFrame:
-        routed = queries.select("vec_id", "embedding", "qkey").mapInArrow(lambda b: route(b, most), schema)
-        packed = routed.groupBy("leaf", "part").applyInArrow(pack, "leaf int, qn int, qkeys binary, qids binary, qvecs binary")
-        joined = packed.join(bins, "leaf").select("n", "ids", "vecs", "qn", "qkeys", "qids", "qvecs")
-        return joined.mapInArrow(search, _FOUND)
-
-    found = stored(_best(run(numbered, visits), k))
-    if visits < tree.leaves:  # queries whose leaves held fewer than k rows visit all
-        full = found.filter(F.col("rank") == k).select("qkey")
-        short = stored(numbered.join(full, "qkey", "left_anti"))
-        found = found.join(short.select("qkey"), "qkey", "left_anti").unionByName(_best(run(short, tree.leaves), k))
-    return found.select("query_id", "rank", "vec_id", "score")
+    return _meetings(queries, bins, tree, most).mapInArrow(search, _FOUND)

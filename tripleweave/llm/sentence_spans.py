@@ -64,7 +64,8 @@ def spans(text: str, least: int = SPAN_SENTENCES, words: int = SPAN_WORDS) -> tu
 
     From every sentence on, the shortest run of at least ``least`` sentences and ``words`` words; words in lower case,
     white space between them doesn't count. Near the end, where there is no such run, none begins, but the shortest
-    one that reaches the end is a span. A clause of CLAUSE_WORDS words is a span of its own, too.
+    one that reaches the end is a span; a whole text of fewer words is one, too, if it has ``least`` sentences, and so is a
+    clause of CLAUSE_WORDS words.
     """
     cut = sentences(text)
     marked = "\0".join([text[a:b] for a, b in cut] if "\0" not in text else [text[a:b].replace("\0", " ") for a, b in cut])
@@ -88,7 +89,8 @@ def spans(text: str, least: int = SPAN_SENTENCES, words: int = SPAN_WORDS) -> tu
     while first and (held < words or n - first < least):
         first -= 1
         held += counts[first]
-    last = [(first, n)] if held >= words and n - first >= least and (not out or out[-1] != (first, n)) else []
+    # a text too short for a run counts as a whole, which meets only texts of the same words
+    last = [(first, n)] if held and n - first >= least and (not out or out[-1] != (first, n)) else []
     for a, b in [*last, *((k, k + 1) for k in range(n) if counts[k] >= CLAUSE_WORDS)]:
         out.append((a, b))
         hashes.append(_run_digest(b"".join(keys[a:b])))

@@ -5,7 +5,7 @@ import pytest
 import tiny
 from pyspark.sql import functions as F
 
-from tripleweave.operators import blocking, evaluate, matching, predicates, skew, value_join
+from tripleweave.operators import blocking, classes, evaluate, matching, predicates, skew, value_join
 from tripleweave.operators.filters import literal_triples
 from tripleweave.plans import align
 
@@ -290,3 +290,61 @@ def test_lots_are_multiplied_densely_and_one_by_one(monkeypatch):
     hits, total = counts[0] @ counts[1].T, np.add.outer(counts[0].sum(1), counts[1].sum(1))
     want = {(i, j, hits[i, j]) for i, j in zip(*np.nonzero((hits > 0) & (hits > total * 0.3) & (hits <= total)))}
     assert want and set(zip(*cells.cell_hits(*lots, 0.3))) == want
+
+
+def test_lots_meet_without_shuffling_pairs(spark, monkeypatch):
+    """Pairs are found and scored where two lots meet: what is shuffled or stored is the sides, whatever the values."""
+    rng = random.Random(8)
+    rows = [
+        sorted({(f"{host}{i}", "abcd"[k], f"v{rng.randint(0, 2 + 3 * k)}", rng.choice([1, 1, 2])) for i in range(90) for k in range(4) if rng.random() < 0.8})
+        for host in "xy"
+    ]
+    many = [("x\x01\x03b", "a", "v0", 1), ("both", "a", "v0", 1), ("both", "b", "v1", 1)] + [(f"n{i}", "a", "v0", 1) for i in range(7)]
+    rows = [rows[0] + many, rows[1] + many[1:3]]
+    held = [{}, {}]
+    for own, side in zip(held, rows):
+        for s, b, v, m in side:
+            own.setdefault(s, {}).setdefault(b, {})[v] = own.get(s, {}).get(b, {}).get(v, 0) + m
+    need = {1: 0.95, 2: 0.9, 3: 0.8}
+    want = {}
+    for s1, x in held[0].items():
+        for s2, y in held[1].items():
+            shared = len(set(x) & set(y))
+            total = sum(m * y[b][v] for b in set(x) & set(y) for v, m in x[b].items() if v in y[b])
+            if shared and s1 != s2 and total / shared > need.get(shared, 0.7):
+                want[s1, s2] = round(total / shared, 6)
+    assert len(want) > 100
+    monkeypatch.setattr(matching, "_LOT_ROWS", 40)
+    monkeypatch.setattr(classes, "_MOST", 3)
+    sides = [spark.createDataFrame([(s, b, v, m) for s, own in d.items() for b, vs in own.items() for v, m in vs.items()], "s string, b string, v string, m long") for d in held]
+    found = matching.match_sides(*sides, "exact")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0]
+    assert result(found) == want
+
+
+def test_runs_of_meetings_and_keys(monkeypatch):
+    """A run ends with a row; keys of several values may be made some rows at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tripleweave.functions import pairing
+
+    rnd = np.random.default_rng(4)
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("block", pa.int64()), ("w", pa.float64())]))
+    rows = [[[{"id": int(10 * b + v), "block": b, "w": 1.0} for b in range(5) for v in sorted(set(rnd.integers(0, 3, rnd.integers(1, 3))))] for _ in range(n)] for n in (40, 30)]
+    lots = [pa.table({"s": [f"{i}" for i in range(len(r))], "g": ["g"] * len(r), "e": pa.array(r, kind)}) for r in rows]
+    ids = [[{e["id"] for e in r} for r in side] for side in rows]
+    for size, head in ((1, [0]), (2, [0, 1, 2]), (3, [0, 1, 2, 3, 4])):
+        want = {
+            (f"{i}", f"{j}"): float(len(x & y)) / 5 for i, x in enumerate(ids[0]) for j, y in enumerate(ids[1])
+            if len({e // 10 for e in x & y} & set(head)) >= size and len(x & y) / 5 > 0.5
+        }
+        for meetings, keys in ((7, 1 << 20), (1 << 20, 1 << 20), (50, 400)):
+            monkeypatch.setattr(pairing, "_MEETINGS", meetings)
+            monkeypatch.setattr(pairing, "_KEYS", keys)
+            plan = [{"g1": "g", "g2": "g", "size": size, "head": head, "count": 5, "threshold": 0.5}]
+            got = [(a.table["s"][int(x)].as_py(), b.table["s"][int(y)].as_py(), z) for a, b, i, j, score, _ in pairing.lot_matches(*lots, plan) for x, y, z in zip(i, j, score)]
+            assert len(got) == len({g[:2] for g in got})
+            assert want.items() <= {g[:2]: g[2] for g in got}.items()
+            assert all(len(ids[0][int(a)] & ids[1][int(b)]) / 5 > 0.5 for a, b, _ in got)

@@ -5,6 +5,7 @@ import tiny
 from pyspark.sql import functions as F
 
 from tripleweave.operators import blocking, encoding, evaluate, lexicon, neighbours, predicates, stats
+from tripleweave.operators.checkpoints import stored
 from tripleweave.plans import align
 
 
@@ -55,6 +56,16 @@ def test_neighbourhood_equals_sets(spark, seed):
     assert links.columns == ["s", "p", "o"] and links.count() == 4
 
 
+def test_partners_are_not_broadcast_and_ends_are_replaced_in_turn(spark):
+    """Pairs of repeated names are small in files; partners of both ends of equal triples don't multiply."""
+    pairs = stored(spark.range(90_000).select(F.concat(F.lit("<http://a/subject-"), (F.col("id") % 300).cast("string")).alias("s1"), F.concat(F.lit("<http://b/subject-"), F.floor(F.col("id") / 300).cast("string")).alias("s2")))
+    triples = stored(spark.range(300).select(F.concat(F.lit("<http://a/subject-"), F.col("id").cast("string")).alias("s"), F.lit("p").alias("p"), F.lit("<http://a/subject-0").alias("o")))
+    replaced = neighbours.substitute_matched(triples, pairs)
+    plan = replaced._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "LeftOuter, BuildRight" not in plan
+    assert replaced.count() == 300 * 300 and replaced.filter("s like '<http://a%' or o like '<http://a%'").isEmpty()
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_shared_values_equal_pair_counts(spark, least):
     rng = random.Random(least)

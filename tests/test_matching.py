@@ -348,3 +348,19 @@ def test_runs_of_meetings_and_keys(monkeypatch):
             assert len(got) == len({g[:2] for g in got})
             assert want.items() <= {g[:2]: g[2] for g in got}.items()
             assert all(len(ids[0][int(a)] & ids[1][int(b)]) / 5 > 0.5 for a, b, _ in got)
+
+
+def test_evaluation_shuffles_no_names(spark):
+    """Each found pair travels once, as 16 bytes for both directions, and the found pairs are read once."""
+    rng = random.Random(6)
+    names = ["a", "item1", "item2", "", "item'\"3", "b"]
+    for _ in range(3):
+        gold, found = ([(rng.choice(names), rng.choice(names)) for _ in range(n)] for n in (9, 14))
+        one, two = (spark.createDataFrame(x, "s1 string, s2 string") for x in (gold, found))
+        row = evaluate.evaluate_alignment(one, two, "item")
+        g, d = set(gold), set(found) | {(b, a) for a, b in found}
+        inside = lambda x: sum("item" in a and "item" in b for a, b in x)
+        want = (len(g), len(set(found)), len(g - d), len(d - g), len(g & d), inside(d - g), len(d) - inside(d))
+        assert tuple(row.first())[:7] == want
+    plan = row._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(name" in plan and plan.count("Scan ") == 2
